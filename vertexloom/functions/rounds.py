@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for frame in frames[1:]:
         result = result.unionByName(frame)
     return result
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name next to the checkpoints, for tables and files that all executors must see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
