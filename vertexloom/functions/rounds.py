@@ -35,6 +35,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, Row]:
+    """``checkpointed`` for a loop whose next round joins the frame with itself; also returns whole-frame aggregates.
+
+    A bare checkpoint inherits the size estimate of its plan. Joins multiply estimates, so where a round joins frames
+    that both stem from the previous round, the digits of the estimate double or triple every round, until planning
+    takes minutes. Here the aggregates, the stop test of the loop, fill a cache; the checkpoint is written from it and
+    inherits the size that was measured.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    row = measure(cached, **aggregates)
+    kept = cached.select("*").checkpoint(eager=True)
+    cached.unpersist()
+    return kept, row
+
+
 def measure(df: DataFrame, **aggregates: Column) -> Row:
     """One row of whole-frame aggregates, the only thing a loop brings to the driver."""
     return df.agg(*[column.alias(name) for name, column in aggregates.items()]).first()

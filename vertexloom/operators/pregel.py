@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.functions.rounds import checkpointed, row_count
+from vertexloom.functions.rounds import checkpointed, settle
 from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.graph import Graph, neighbors
 
@@ -127,14 +127,14 @@ def pregel(
 
     done = 0
     while max_iter is None or done < max_iter:
-        inbox = checkpointed(passing.send(state, to_src, to_dst, combine))
-        if not row_count(inbox):
-            break
+        inbox = passing.send(state, to_src, to_dst, combine)
         received = state.drop("_active").join(inbox.withColumn("_active", F.lit(True)), keys, "left")
         got = F.coalesce("_active", F.lit(False))
         changed = {name: F.when(got, update[name]).otherwise(F.col(name)) for name in update}
-        state = checkpointed(received.withColumns({**changed, "_active": got}).drop(MESSAGE))
+        state, row = settle(received.withColumns({**changed, "_active": got}).drop(MESSAGE), any=F.max("_active"))
         done += 1
+        if not row["any"]:
+            break
     passing.adjacency.release()
     return state.select(*keys, *attributes)
 
