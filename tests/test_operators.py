@@ -67,8 +67,9 @@ def test_graph_projections(spark):
     assert same[0] == same[1] and len(same[0]) == 1
 
 
-def test_line_graph(spark):
-    lines = graph.line_graph(edge_frame(spark, DAG))
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_line_graph(spark, hot_rows):
+    lines = graph.line_graph(edge_frame(spark, DAG), hot_rows=hot_rows)
     found = {((r.src.src, r.src.dst), (r.dst.src, r.dst.dst)) for r in lines.collect()}
     assert found == {((0, 1), (1, 2)), ((0, 1), (1, 4)), ((0, 4), (4, 3)), ((1, 2), (2, 3)), ((1, 4), (4, 3))}
 

@@ -34,9 +34,10 @@ def hot_keys(
     return checkpointed(counts.filter(F.col("_n") > limit).select(*keys, salts))
 
 
-def salted(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Add ``_salt``: rows of a hot key are spread by a hash of their other columns (the same on every retry)."""
-    other = [name for name in df.columns if name not in keys]
+def salted(df: DataFrame, keys: Sequence[str], hot: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Add ``_salt``: rows of a hot key are spread by a hash of ``by`` (default: their other columns), so a retried
+    task gives a row the same salt."""
+    other = by or [name for name in df.columns if name not in keys]
     spread = F.pmod(F.xxhash64(*other), F.coalesce("_salts", F.lit(1))).cast("int")
     return df.join(F.broadcast(hot), list(keys), "left").withColumn(SALT, spread).drop("_salts")
 
@@ -65,3 +66,19 @@ def join_spread(
     if hot is None:
         return many.join(one, keys, how)
     return salted(many, keys, hot).join(repeated(one, keys, hot), [*keys, SALT], how).drop(SALT)
+
+
+def join_spread_both(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int | None = None
+) -> DataFrame:
+    """Inner join in which both sides may hold any number of rows per key.
+
+    Hot keys of ``left`` are spread over salts and those rows of ``right`` repeated, then the same the other way round.
+    """
+    keys = list(keys)
+    hot = hot_keys(left, keys, hot_rows)
+    if hot is None:
+        return join_spread(right, left, keys, hot_rows=hot_rows)
+    left = salted(left, keys, hot).withColumnRenamed(SALT, "_left_salt")
+    right = repeated(right, keys, hot).withColumnRenamed(SALT, "_left_salt")
+    return join_spread(right, left, [*keys, "_left_salt"], hot_rows=hot_rows).drop("_left_salt")

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.ordering import with_position
-from vertexloom.functions.skew import join_spread
-from vertexloom.operators.adjacency import Adjacency
+from vertexloom.functions.skew import join_spread, join_spread_both
 
 
 @dataclass(frozen=True)
@@ -120,17 +119,20 @@ def neighbors(edges: DataFrame, direction: str = "out", group_cols: Sequence[str
     return pairs.groupBy(*group_cols, "id").agg(F.sort_array(F.collect_list("other")).alias("neighbors"))
 
 
-def line_graph(edges: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+def line_graph(edges: DataFrame, group_cols: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
     """Directed line graph: each edge (u, v) becomes a vertex, joined to (v, w) for every successor w of v.
 
     Parallel edges collapse first. ``src`` and ``dst`` of the result are structs (src, dst), so no numbering of the
-    edges is needed. Edges without a neighbour in the line graph do not occur.
+    edges is needed. Edges without a neighbour in the line graph do not occur. A vertex with many edges in and out is
+    a hot key on both sides of the join and is spread on both.
     """
     groups = list(group_cols)
     simple = simplify(edges, groups)
-    entering = simple.select(*groups, F.col("dst").alias("id"), F.struct("src", "dst").alias("first"))
-    followed = Adjacency(simple, "src", groups).attach(entering)
-    return followed.select(*groups, F.col("first").alias("src"), F.struct("src", "dst").alias("dst"))
+    pair = F.struct("src", "dst")
+    entering = simple.select(*groups, F.col("dst").alias("via"), pair.alias("first"))
+    leaving = simple.select(*groups, F.col("src").alias("via"), pair.alias("second"))
+    joined = join_spread_both(entering, leaving, [*groups, "via"], hot_rows)
+    return joined.select(*groups, F.col("first").alias("src"), F.col("second").alias("dst"))
 
 
 def index_vertices(vertices: DataFrame, name: str = "index") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.rounds import checkpointed, settle
+from vertexloom.functions.skew import SALT, hot_keys, repeated, salted
 from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.graph import Graph, neighbors
 
@@ -43,6 +44,8 @@ class _MessagePass:
         self.edge_cols = edges.columns
         self.first = "src" if "src" in self.reads else "dst"
         self.adjacency = Adjacency(edges, self.first, groups, hot_rows)
+        self.far_keys = [*groups, self.adjacency.far]
+        self.far_hot = hot_keys(edges, self.far_keys, hot_rows) if len(self.reads) > 1 else None
 
     def send(
         self, vertices: DataFrame, to_src: Column | None, to_dst: Column | None, combine: Column
@@ -61,7 +64,11 @@ class _MessagePass:
         else:
             rows = self.adjacency.attach(vertices.select(*self.groups, "id", *end(self.first)))
             other = vertices.select(*self.groups, F.col("id").alias(self.adjacency.far), *end(self.adjacency.far))
-            rows = rows.join(other, [*self.groups, self.adjacency.far])
+            if self.far_hot is None:
+                rows = rows.join(other, self.far_keys)
+            else:
+                rows = salted(rows, self.far_keys, self.far_hot, by=[self.first])
+                rows = rows.join(repeated(other, self.far_keys, self.far_hot), [*self.far_keys, SALT]).drop(SALT)
             rows = rows.filter(F.col("_src_active") | F.col("_dst_active"))
 
         targets = [(name, column) for name, column in (("src", to_src), ("dst", to_dst)) if column is not None]

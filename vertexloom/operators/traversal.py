@@ -15,6 +15,7 @@ from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.graph import simplify, vertices_from_edges
 
 MAX_PAIRS = 2_000_000_000  # (root, vertex) rows that one batch of roots may reach, which bounds the state on disk
+HUB_EDGES = 10_000  # hubs are split finer than in other loops: each of their edges meets as many rows as there are roots
 
 
 def simple_edges(edges: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -93,7 +94,7 @@ def shortest_path_lengths(
     simple = checkpointed(simple_edges(edges, groups))
     everyone = checkpointed(all_vertices(edges, vertices, groups))
     roots = everyone if landmarks is None else landmarks.select(*groups, "id").distinct()
-    adjacency = Adjacency(simple, "dst", groups, hot_rows)
+    adjacency = Adjacency(simple, "dst", groups, hot_rows or HUB_EDGES)
     parts = []
     for batch in root_batches(roots, everyone, groups, max_pairs):
         reached = with_hops(levels(adjacency, batch, groups))
@@ -119,7 +120,7 @@ def closeness_centrality(
     groups = list(group_cols)
     simple = checkpointed(simple_edges(edges, groups))
     everyone = checkpointed(all_vertices(edges, vertices, groups))
-    adjacency = Adjacency(simple, "src", groups, hot_rows)
+    adjacency = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
     parts = []
     for batch in root_batches(everyone, everyone, groups, max_pairs):
         reached = with_hops(levels(adjacency, batch, groups))
@@ -145,7 +146,7 @@ def reachable(
     """
     groups = list(group_cols)
     simple = checkpointed(simple_edges(edges, groups))
-    adjacency = Adjacency(simple, "src", groups, hot_rows)
+    adjacency = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
     found = union_all(levels(adjacency, sources.select(*groups, "id").distinct(), groups))
     adjacency.release()
     result = found.select(*groups, F.col("root").alias("src"), F.col("id").alias("dst"))
@@ -186,7 +187,7 @@ def _extend_paths(
     remaining = to_target.select(
         *groups, F.col("src").alias("dst"), F.col("dst").alias("to"), (F.col("distance") + 1).alias("left")
     )
-    adjacency = Adjacency(simple, "src", groups, hot_rows)
+    adjacency = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
     finished = [open_paths.filter(F.lit(False)).select(*head, "path")]
     while row_count(open_paths):
         nearer = adjacency.attach(open_paths).drop("src").join(remaining, [*groups, "dst", "to", "left"])
