@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.llm.common import table
+from vertexloom.llm.duck_bpe import encode_digests
+from vertexloom.llm.language import train_and_predict
 from vertexloom.llm.packing import pack_documents
+from vertexloom.llm.quality_crf import train_and_score
 from vertexloom.llm.token_counts import token_counts
 from vertexloom.llm.token_files import token_file_round_trip
 
@@ -15,6 +18,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op2_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
@@ -23,9 +31,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_duck_bpe": op2_duck_bpe,
     "op3_packing": op3_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
+    "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
