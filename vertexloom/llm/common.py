@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def arrow_map(
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``most_bytes`` of text, whatever the length of the rows."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text_column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text_column)).fill_null(0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > most_bytes:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def _count_small(path: str):
         for batch in slices(batches, "text"):
             texts = batch.column("text")
             counts = [len(ids) // 4 for ids in library.encode(texts.to_pylist())]
-            sizes = pa.compute.binary_length(texts).cast(pa.int64())
+            sizes = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), sizes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
     return run
