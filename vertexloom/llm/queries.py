@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vertexloom.llm.ann import nearest
 from vertexloom.llm.common import table
 from vertexloom.llm.duck_bpe import encode_digests
 from vertexloom.llm.language import train_and_predict
+from vertexloom.llm.near_vectors import near_vectors
 from vertexloom.llm.packing import pack_documents
 from vertexloom.llm.quality_crf import train_and_score
 from vertexloom.llm.token_counts import token_counts
@@ -27,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -43,8 +53,10 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_duck_bpe": op2_duck_bpe,
     "op3_packing": op3_packing,
+    "op4_near_vectors": op4_near_vectors,
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
     "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
