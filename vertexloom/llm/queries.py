@@ -12,6 +12,7 @@ from vertexloom.llm.language import train_and_predict
 from vertexloom.llm.near_vectors import near_vectors
 from vertexloom.llm.packing import pack_documents
 from vertexloom.llm.quality_crf import train_and_score
+from vertexloom.llm.shingle_join import linked_documents
 from vertexloom.llm.token_counts import token_counts
 from vertexloom.llm.token_files import token_file_round_trip
 
@@ -45,6 +46,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_nearest": op7_nearest,
+    "op8_shingle_join": op8_shingle_join,
     "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
