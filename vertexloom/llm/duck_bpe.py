@@ -54,8 +54,10 @@ FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS sw
 WHERE NOT swallowed
 """
 
+# One thread reads the sorted rows, so the aggregation takes them in order; `decode` is checked against the texts.
 DECODE = """
-SELECT string_agg(vocabulary.hex, '' ORDER BY pos) AS hex, doc FROM ids JOIN vocabulary USING (id) GROUP BY doc
+SELECT string_agg(hex, '') AS hex, doc FROM (
+    SELECT doc, hex, pos FROM ids JOIN vocabulary USING (id) ORDER BY pos) AS sorted GROUP BY doc
 """
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -164,6 +166,13 @@ class Coder:
         return result
 
 
+    def round_trip(self, encoded: list[bytes], texts: pa.Array) -> list[bytes]:
+        decoded = self.decode(encoded)
+        if decoded != texts.cast(pa.binary()).to_pylist():
+            raise ValueError("decoded ids differ from the text")
+        return decoded
+
+
 def coder(path: str, pattern: str) -> Coder:
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = Coder(path, pattern)
@@ -186,7 +195,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         for batch in slices(batches, "text"):
             ids = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(own.decode(ids), pa.binary())],
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(own.round_trip(ids, batch.column("text")), pa.binary())],
                 ["doc_id", "ids", "decoded"])
     return arrow_map(documents_with_ids(docs), run, "doc_id long, ids binary, decoded binary")
 
@@ -202,7 +211,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             columns = [
                 batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids)], pa.string())]
+                pa.array([hashlib.sha256(x).hexdigest() for x in own.round_trip(ids, batch.column("text"))], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return arrow_map(
         documents_with_ids(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
