@@ -11,6 +11,7 @@ from vertexloom.llm.duck_bpe import encode_digests
 from vertexloom.llm.language import train_and_predict
 from vertexloom.llm.near_vectors import near_vectors
 from vertexloom.llm.packing import pack_documents
+from vertexloom.llm.passages import repeated_passages
 from vertexloom.llm.quality_crf import train_and_score
 from vertexloom.llm.shingle_join import linked_documents
 from vertexloom.llm.token_counts import token_counts
@@ -54,6 +55,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage and source, counted in words of the two texts."""
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_duck_bpe": op2_duck_bpe,
@@ -64,5 +70,6 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_shingle_join": op8_shingle_join,
     "op9_language": op9_language,
+    "op10_passages": op10_passages,
 }
 ORACLES: dict[str, str] = {}
