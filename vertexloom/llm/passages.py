@@ -107,8 +107,10 @@ def windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, b
         key = mixed(hashed[2 * band][ca] * np.uint64(0x9E3779B97F4A7C15) + hashed[2 * band + 1][cb] + np.uint64(band))
         segment = np.searchsorted(low, start, side="right") - 1
         end = np.minimum(np.append(start[1:], high[-1]) - 1, high[segment] - least)
-        same = np.append(False, (key[1:] == key[:-1]) & (segment[1:] == segment[:-1]))  # repeated text: one window
-        opens = np.flatnonzero(~same)
+        # Text that repeats itself has one key for long: one window per `least` starts.
+        fresh = np.append(True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1]))
+        part = (start - start[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]) // least
+        opens = np.flatnonzero(fresh | np.append(False, part[1:] != part[:-1]))
         last = np.append(opens[1:], len(key)) - 1
         joined.append((start[opens], end[last], ca[opens], key[opens]))
     rows = []
@@ -293,10 +295,11 @@ def row_key(doc_id, text):
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, n_words, source_doc_id, source_start, similarity, row)``: a passage and its partner elsewhere.
 
-    Every document that shares a passage of 50 words or more with another one is in a row as ``doc_id`` or as
-    ``source_doc_id``: exactly repeated passages always, others with a shingle similarity of at least 0.8 by the chance
-    that a signature agrees. Sources come before the passages that point to them in one fixed order, so chains end in a
-    document that keeps its copy. ``start`` and ``n_words`` count lower-cased words between white space. Null, empty and
+    Documents that share a passage of 50 words or more are in a row as ``doc_id`` or as ``source_doc_id``: equal passages
+    have equal signatures throughout, others with a shingle similarity of at least 0.8 by chance. A window that is alike its
+    partner is not held against further ones. So a passage is reported with one source per part, not with all others, and
+    its edges reach as far as it and that source agree. Sources come before the passages that point to them in one fixed
+    order: chains end in a document that keeps its copy. ``start`` and ``n_words`` count lower-cased words between white space. Null, empty and
     short texts have no passages; rows with equal id and text count once; other columns are not read.
     """
     rows = keyed_rows(docs)
