@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vertexloom.functions.rounds import scratch_path
 
@@ -32,12 +33,8 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(name: str) -> str:
-    return f"{name}_{uuid.uuid4().hex[:8]}"
-
-
 def arrow_map(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     return df.mapInArrow(function, schema)
 
@@ -54,3 +51,24 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int
             held += size + 1
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under the names ``_c0, _c1, ...``, so that names differing by case alone do not clash."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, for whose texts ``keep`` says true; a null text counts as empty."""
+    plain, at = numbered(docs), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, f"_c{at}", 1_000_000):
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+    return arrow_map(plain, run, plain.schema).toDF(*docs.columns)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of a document's id (a long) and text (not null): equal for equal rows only."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, slices
+from vertexloom.llm.common import arrow_map, exact, kept_rows, slices
 
 TRAIN_DOCS = 500  # documents per language that the probabilities are learned from, about
 TRAIN_WORDS = 300_000  # most frequent (language, word) pairs of them that go to the driver
@@ -248,21 +248,37 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     a letter. Rows with equal or null ``doc_id`` are predicted each for itself; other columns are not read."""
     rows = exact(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    languages, vocabulary, probability = model.languages, model.vocabulary, model.probability
-    key = zlib.crc32(probability.tobytes())
+    parts = model.languages, model.vocabulary, model.probability
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(languages, vocabulary, probability)
         for batch in slices(batches, "text"):
-            predicted, posterior = _MODELS[key].predict(batch.column("text").to_pylist())
+            predicted, posterior = _of_worker(*parts).predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(predicted, pa.string()), pa.array(posterior, pa.float64())],
                 ["doc_id", "lang_pred", "score"])
     return arrow_map(rows, run, "doc_id long, lang_pred string, score double")
 
 
+def _of_worker(languages: list[str], vocabulary: Vocabulary, probability: np.ndarray) -> Model:
+    """The model as this Python worker knows it, with the scores of the tokens it has met."""
+    key = zlib.crc32(probability.tobytes())
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(languages, vocabulary, probability)
+    return _MODELS[key]
+
+
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, whose language is recognised with a score of at least ``least``: null and
+    empty texts and texts without a letter go. A model without languages rejects nothing."""
+    parts = model.languages, model.vocabulary, model.probability
+
+    def keep(texts: list[str]) -> np.ndarray:
+        predicted, posterior = _of_worker(*parts).predict(texts)
+        return (np.array(predicted, dtype=object) != "und") & (np.array(posterior) >= least)
+    return kept_rows(docs, keep) if model.languages else docs
+
+
 def held_out(doc_id: str = "doc_id", fold: int = 5, left: int = 0):
     """Whether crc32 of the id as text leaves ``left`` when divided by ``fold``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(fold)) == left

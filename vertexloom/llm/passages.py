@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, slices, stored
+from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
 from vertexloom.llm.shingles import mixed, shingles, words
 
 SIZE = 5  # words in a shingle
@@ -288,10 +288,6 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
 
 
-def row_key(doc_id, text):
-    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text)
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, n_words, source_doc_id, source_start, similarity, row)``: a passage and its partner elsewhere.
 
@@ -356,9 +352,9 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     at = {name: names.index(name) for name in ("doc_id", "text", "n_chars")}
-    numbered = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    plain = numbered(docs)
     spans = repeated_passages(docs).groupBy("row").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
-    keyed = numbered.withColumn("row", row_key(F.col(f"_c{at['doc_id']}").cast("long"), F.coalesce(f"_c{at['text']}", F.lit(""))))
+    keyed = plain.withColumn("row", row_key(F.col(f"_c{at['doc_id']}").cast("long"), F.coalesce(f"_c{at['text']}", F.lit(""))))
     joined = keyed.join(spans, "row", "left").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +372,7 @@ def cut_passages(docs: DataFrame) -> DataFrame:
             if empty := {i for i in cut if not texts[i].split()}:
                 made = made.take(pa.array([i for i in range(made.num_rows) if i not in empty], pa.int64()))
             yield made
-    return arrow_map(joined, run, numbered.schema).toDF(*names)
+    return arrow_map(joined, run, plain.schema).toDF(*names)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

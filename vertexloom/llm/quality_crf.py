@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, slices
+from vertexloom.llm.common import arrow_map, exact, kept_rows, slices
 
 TRAIN_DOCS = 4000  # labelled documents that the weights are learned from, about
 BINS = 8
@@ -232,6 +232,13 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, score double")
 
 
+def of_quality(docs: DataFrame, field: Field | None, threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, with a score of at least ``threshold``; all without a trained field."""
+    if field is None:
+        return docs
+    return kept_rows(docs, lambda texts: field.score([text.encode() for text in texts]) >= threshold)
+
+
 def train_and_score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``; learned from labels of the rows that are not held out."""
     from vertexloom.llm.language import held_out

@@ -48,7 +48,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_documents(table(spark, sf_dir, "documents"))
+    return linked_documents(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

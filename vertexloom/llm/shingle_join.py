@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, slices, stored
+from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
 from vertexloom.llm.linking import components, runs
 from vertexloom.llm.shingles import mixed, shingle_sets
 
@@ -26,8 +26,8 @@ BUCKET_BITS = 20  # shingles are counted in this many bits of their hash
 CHUNK = 1024  # counts in one row, so that they are summed by many tasks
 BLOCK = 1024  # sets of a list that are held against as many others at once
 
-DESCRIBED = "doc_id long, n long, node long, chunk int, counts binary"
-PREFIXES = "doc_id long, node long, n long, prefix array<long>"
+DESCRIBED = "doc_id long, row long, n long, node long, chunk int, counts binary"
+PREFIXES = "row long, node long, n long, prefix array<long>"
 
 
 def least_overlap(a, b):
@@ -40,23 +40,24 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, row)``, one row per row of ``docs``; ``row`` is a hash of id and text.
 
     ``n_shingles`` is the number of distinct shingles of five lower-cased words; a text with fewer words has its whole
     sequence as its only one; a null text and one without words have none and link with nothing. ``component_id`` is the
     smallest id that is reachable by links. Rows with equal ids are compared each for itself; a row with a null id takes
-    part, and counts as larger than any id. Other columns are not read.
+    part but names no component unless all its ids are null. Other columns are not read.
     """
     rows = exact(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     described = stored(arrow_map(rows, _describe, DESCRIBED), "described")
-    known = described.filter("chunk IS NULL").select("doc_id", "n", "node")
+    known = described.filter("chunk IS NULL").select("doc_id", "row", "n", "node")
     order = _bucket_order(described.filter("chunk IS NOT NULL").select("chunk", "counts"))
 
     # One row per distinct set goes on.
-    first = known.filter("n > 1").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = arrow_map(rows.filter("doc_id IS NOT NULL"), _prefixes(order), PREFIXES)
-    lists = prefixes.join(first, ["node", "doc_id"]).select("node", "n", F.posexplode("prefix").alias("place", "key"))
+    first = known.filter("n > 1").groupBy("node").agg(F.min("row").alias("row"))
+    prefixes = arrow_map(rows.select("row", "text"), _prefixes(order), PREFIXES)
+    lists = prefixes.join(first, ["node", "row"]).select("node", "n", F.posexplode("prefix").alias("place", "key"))
     lists = stored(lists.select("key", "node", "n", "place").distinct(), "lists")
 
     rank = F.xxhash64("node")
@@ -65,13 +66,12 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     shared = stored(shared.select("key", "node", "n", "place", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.place").alias("leader_place")), "shared")
     first_pairs = shared.filter("node <> leader").filter(_possible("n", "place", "leader_n", "leader_place")).select(
         F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    sets = _Sets(rows, first, order)
-    overlaps = sets.overlaps(stored(first_pairs, "first_pairs"))
+    overlaps = _overlaps(rows, first, stored(first_pairs, "first_pairs"))
 
     linked = overlaps.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
     groups = components(linked)
     pairs = _open_pairs(shared, overlaps, groups)
-    more = sets.overlaps(stored(pairs, "open_pairs"))
+    more = _overlaps(rows, first, stored(pairs, "open_pairs"))
     late = more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
     everything = components(linked.unionByName(late))
 
@@ -80,8 +80,21 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     nodes = nodes.join(everything.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = nodes.groupBy("component").agg(F.min("lowest").alias("component_id"))
     of_node = nodes.select("node", "component").join(named, "component").select("node", "component_id")
-    joined = known.join(of_node, "node", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when((F.col("n") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return known.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked documents the one with the smallest id, all
+    columns unchanged. Documents without words stay; of rows equal in id and text one stays."""
+    plain, names = numbered(docs), docs.columns
+    linked = linked_documents(docs)
+    grouped = linked.filter("n_shingles > 0").groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row")).select("row")
+    keep = grouped.unionByName(linked.filter("n_shingles = 0").select("row")).distinct()
+    doc_id, text = F.col(f"_c{names.index('doc_id')}").cast("long"), F.coalesce(f"_c{names.index('text')}", F.lit(""))
+    kept = plain.withColumn("row", row_key(doc_id, text)).join(keep, "row")
+    return kept.dropDuplicates(["row"]).drop("row").toDF(*names)
 
 
 def least_sql(a: str, b: str):
@@ -107,7 +120,7 @@ def _node(found: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray,
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and name of every set, and at the end how many sets of the task have shingles in each bucket."""
-    names = ["doc_id", "n", "node", "chunk", "counts"]
+    names = ["doc_id", "row", "n", "node", "chunk", "counts"]
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for batch in slices(batches, "text", 1_000_000):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -115,12 +128,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
         n, node = _node(found, owner, len(texts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node), pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())], names)
+            [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node),
+             pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())], names)
     parts = counts.reshape(-1, CHUNK)
     used = np.flatnonzero(parts.any(axis=1))
     none = pa.nulls(len(used), pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [none, none, none, pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
+        [none, none, none, none, pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
 
 
 def _bucket_order(parts: DataFrame) -> np.ndarray:
@@ -161,28 +175,22 @@ def _prefixes(order: np.ndarray):
             some = np.flatnonzero(n > 1)  # a single shingle links only with an equal set
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))
             made = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node), pa.array(n, pa.int64()), arrays], ["doc_id", "node", "n", "prefix"])
+                [batch.column("row"), pa.array(node), pa.array(n, pa.int64()), arrays], ["row", "node", "n", "prefix"])
             yield made.take(pa.array(some))
     return run
 
 
-class _Sets:
-    """Whole sets, made again from the texts of those documents that some pair asks for."""
-
-    def __init__(self, rows: DataFrame, first: DataFrame, order: np.ndarray):
-        self.rows, self.first = rows, first
-
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """``(a, b, n_a, n_b, overlap)`` of pairs of nodes."""
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = self.first.join(asked, "node").select(F.col("node").alias("asked"), F.col("doc_id").alias("asked_id"))
-        texts = self.rows.join(wanted, F.col("doc_id") == F.col("asked_id")).select("doc_id", "text", "asked")
-        made = stored(arrow_map(texts, _whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"]), "sets")
-        left = made.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
-        right = made.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        overlap = F.size(F.array_intersect("in_a", "in_b")).cast("long")
-        return stored(both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")), "overlaps")
+def _overlaps(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes. The sets are made again from the texts that the pairs ask for."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = first.join(asked, "node").select(F.col("node").alias("asked"), "row")
+    texts = rows.join(wanted, "row").select("row", "text", "asked")
+    made = stored(arrow_map(texts, _whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    left = made.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
+    right = made.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    overlap = F.size(F.array_intersect("in_a", "in_b")).cast("long")
+    return stored(both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")), "overlaps")
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +199,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, owner = shingle_sets(texts)
         n, node = _node(found, owner, len(texts))
         arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(found.view(np.int64)))
-        same = np.flatnonzero(node == batch.column("asked").to_numpy())  # an id may stand for several rows
+        same = np.flatnonzero(node == batch.column("asked").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n, pa.int64()), arrays], ["node", "n", "hashes"]).take(pa.array(same))
 
 
