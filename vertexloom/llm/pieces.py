@@ -12,10 +12,12 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 900_000  # remembered per worker, about 200 bytes each; beyond that the memory starts anew
+MOST_PIECES = 1_100_000  # remembered per worker, about 200 bytes each; beyond that those not met for long are forgotten
 DOUBLED = re.compile(r"\s\s|\0")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -39,14 +41,19 @@ class PieceEncoder:
         self.library.no_padding()
         self.id_type = np.dtype(id_type)
         self.known: dict[str, bytes] = {"": b""}
+        self.earlier: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         special = [token["content"] for token in described["added_tokens"]]
         plain = not any(re.search(r"\s", token) for token in special) and not any(
             token["lstrip"] or token["rstrip"] or token["single_word"] for token in described["added_tokens"])
         self.cut = (self._keeping_spaces if described["normalizer"] is None else self._dropping_spaces) if plain else None
+        self.closing = None  # of a tokenizer that marks word ends: which ids close a word
+        if self.cut == self._dropping_spaces and (mark := described["model"].get("end_of_word_suffix")):
+            self.closing = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            self.closing[[i for token, i in described["model"]["vocab"].items() if token.endswith(mark)]] = True
         if not plain or not self._rules_hold():
-            self.cut = self._whole
+            self.cut, self.closing = self._whole, None
 
     def _rules_hold(self) -> bool:
         """The cuts are known to be right for the two pre-tokenizers of the public files; compare on a probe."""
@@ -62,7 +69,9 @@ class PieceEncoder:
 
     @staticmethod
     def _dropping_spaces(text: str) -> list[str]:
-        """For a tokenizer that drops white space: any space or line break parts two pieces."""
+        """For a tokenizer of lower case that drops white space: any space or line break parts two pieces."""
+        if "<|" not in text:  # a special token's string only counts as it is
+            text = text.encode().translate(LOWER).decode()
         return text.replace("\n", " ").split(" ")
 
     @staticmethod
@@ -82,26 +91,54 @@ class PieceEncoder:
         wanted: set[str] = set()
         for pieces in cuts:
             wanted.update(pieces)
-        missing = [piece for piece in wanted if piece not in known]
-        if len(known) + len(missing) > MOST_PIECES:
-            known.clear()
-            known[""] = b""
-            missing = [piece for piece in wanted if piece]
+        if len(known) + len(wanted) > MOST_PIECES // 2:
+            self.earlier, known = known, {"": b""}
+            self.known = known
+        missing = []
+        for piece in wanted.difference(known):
+            if (ids := self.earlier.get(piece)) is not None:
+                known[piece] = ids
+            else:
+                missing.append(piece)
         for at in range(0, len(missing), 20_000):
             self._learn(missing[at : at + 20_000])
         return [b"".join([known[piece] for piece in pieces]) for pieces in cuts]
 
     def _learn(self, pieces: list[str]) -> None:
         """One call for many pieces; the library says of each id which piece it is from."""
+        if self.closing is not None:
+            pieces = self._learn_words(pieces)
         found = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype=self.id_type).tobytes()
-        owners = found.word_ids
-        if None in owners:  # a special token's string stands in a piece
+        if None in found.word_ids:  # a special token's string stands in a piece
             for piece in pieces:
                 self.known[piece] = self._library_ids(piece)
             return
-        ends = np.cumsum(np.bincount(np.array(owners, dtype=np.int64), minlength=len(pieces))) * self.id_type.itemsize
+        owners = np.array(found.word_ids, dtype=np.int64)
+        self._keep(pieces, np.array(found.ids, dtype=self.id_type), np.bincount(owners, minlength=len(pieces)))
+
+    def _learn_words(self, pieces: list[str]) -> list[str]:
+        """Learn those pieces that are a word, or a word and a mark, from one text of them all: each word and mark ends
+        with an id that closes a word, which tells the pieces apart without offsets. Returns the other pieces."""
+        plain, marked, other = [], [], []
+        for piece in pieces:
+            if piece.isalpha():
+                plain.append(piece)
+            elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                marked.append(piece)
+            else:
+                other.append(piece)
+        for own, words in ((plain, 1), (marked, 2)):
+            ids = np.array(self.library.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, dtype=self.id_type)
+            ends = np.flatnonzero(self.closing[ids])[words - 1 :: words] + 1
+            if len(ends) != len(own) or (len(own) and ends[-1] != len(ids)):
+                other += own  # not as expected: let the library tell
+            else:
+                self._keep(own, ids, np.diff(np.append(0, ends)))
+        return other
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        raw = ids.tobytes()
         start = 0
-        for piece, end in zip(pieces, ends.tolist()):
-            self.known[piece] = ids[start:end]
+        for piece, end in zip(pieces, (np.cumsum(sizes) * self.id_type.itemsize).tolist()):
+            self.known[piece] = raw[start:end]
             start = end
