@@ -27,6 +27,7 @@ PER_LIST = 400  # vectors that a list is meant to have
 MOST_LISTS = 4096
 COLUMNS = 16  # dimensions added per step
 EPSILON = 2.1  # of the test: larger abandons later and errs less
+SEEDS = 8  # times as many rows as are wanted are measured in full first, to have a distance to beat
 PART = 2048  # vectors of a list that are scanned together; larger lists are cut into parts
 
 
@@ -175,9 +176,10 @@ def survivors(queries: np.ndarray, rows: np.ndarray, keep: int) -> tuple[np.ndar
     dim = queries.shape[1]
     first = min(COLUMNS, dim)
     partial = _distance(queries[:, :first], rows[:, :first])
-    seeds = np.argpartition(partial, min(keep, partial.shape[1]) - 1, axis=1)[:, :keep]
+    measured = min(SEEDS * keep, partial.shape[1])
+    seeds = np.argpartition(partial, measured - 1, axis=1)[:, :measured]
     full = ((queries[:, None, :] - rows[seeds]) ** 2).sum(axis=2)
-    beat = full.max(axis=1) if seeds.shape[1] == keep else np.full(len(queries), np.inf)
+    beat = np.partition(full, keep - 1, axis=1)[:, keep - 1] if measured >= keep else np.full(len(queries), np.inf)
     q, r = np.nonzero(partial * (dim / first) <= (beat * (1 + EPSILON / math.sqrt(first)) ** 2 + 1e-9)[:, None])
     so_far = partial[q, r]
     for start in range(first, dim, COLUMNS):
