@@ -21,7 +21,7 @@ QUALITY_SCORE = 0.5  # documents below are rejected
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; learned from the languages given for documents of this input."""
-    model = language.train(docs.filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    model = language.train(exact(docs, "doc_id", "text", "lang").filter(~language.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
     return language.in_known_language(docs, model, LANGUAGE_SCORE)
 
 

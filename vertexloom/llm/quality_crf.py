@@ -56,7 +56,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     kind = _CLASS[data]
     line_of = np.repeat(np.arange(lines), np.append(ends[:-1] + 1, len(data)) - starts)
-    by_kind = np.bincount(line_of * 6 + kind, minlength=lines * 6).reshape(lines, 6).astype(np.float64)
+    inner = data != 10
+    by_kind = np.bincount((line_of * 6 + kind)[inner], minlength=lines * 6).reshape(lines, 6).astype(np.float64)
     size = np.maximum(length, 1)
 
     blank = kind == 4
