@@ -1,4 +1,4 @@
-"""Rows that link, and the groups they form: runs of equal keys in sorted batches, and connected components."""
+"""Rows that link, and the groups they form: runs of equal keys in sorted batches, connected components, filters of ids."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm.common import arrow_map, stored
 
 LINKS_PER_TASK = 500_000
+BLOOM_BITS = 25  # of a filter of ids: 4 MB, whatever the input
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
@@ -121,3 +122,29 @@ def components(links: DataFrame) -> DataFrame:
     members = final.unionByName(final.select(F.col("root").alias("id"), "root").distinct())
     names = members.groupBy("root").agg(F.min("id").alias("component"))
     return stored(members.join(names, "root").select("id", "component"), "components")
+
+
+def bloom_filter(ids: DataFrame) -> np.ndarray:
+    """Bits at two hashes of every id in the only column. The size is fixed: a full filter lets everything pass."""
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        for batch in batches:
+            own[_places(batch.column(0).to_numpy())] = True
+        packed = np.packbits(own).reshape(-1, 1 << 12)
+        used = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["part", "bits"])
+    result = np.zeros(((1 << BLOOM_BITS) // 8 >> 12, 1 << 12), dtype=np.uint8)
+    for row in arrow_map(ids.coalesce(8), bits, "part long, bits binary").toLocalIterator():
+        result[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return result.ravel()
+
+
+def maybe_in(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """False for ids that are surely not in the filter."""
+    at = _places(ids)
+    return (bloom[at >> 3] >> (7 - (at & 7)) & 1).astype(bool).reshape(2, -1).all(axis=0)
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    first = _rank(ids.astype(np.int64), 0)
+    return np.concatenate([first >> np.uint64(63 - BLOOM_BITS), first & np.uint64((1 << BLOOM_BITS) - 1)]).astype(np.int64)

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
+from vertexloom.llm.linking import bloom_filter, maybe_in
 from vertexloom.llm.shingles import mixed, shingles, words
 
 SIZE = 5  # words in a shingle
 LEAST = 46  # shingles of the shortest passage: 50 words
 SIMILAR = 0.8
 BANDS = 2  # signatures of a window; each is of two functions, so that two bands take four
-BLOOM_BITS = 25  # of the filter of asked documents: 4 MB, whatever the input
 
 PLACE = ["sub", "row", "i0", "i1", "anchor"]
 LEAD = ["lead_sub", "lead", "lead_i0", "lead_i1", "lead_anchor"]
@@ -185,34 +185,11 @@ def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- verification ----
 
 
-def _bloom(rows: DataFrame) -> np.ndarray:
-    """Bits at two hashes of every id; the size is fixed, a full filter passes everything."""
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << BLOOM_BITS, dtype=bool)
-        for batch in batches:
-            own[_bits(batch.column("row").to_numpy())] = True
-        packed = np.packbits(own).reshape(-1, 1 << 12)
-        used = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["part", "bits"])
-    result = np.zeros(((1 << BLOOM_BITS) // 8 >> 12, 1 << 12), dtype=np.uint8)
-    parts = arrow_map(rows.select("row").coalesce(8), bits, "part long, bits binary")
-    for row in parts.toLocalIterator():
-        result[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return result.ravel()
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    first = mixed(ids.astype(np.int64).view(np.uint64))
-    return np.concatenate([first >> np.uint64(64 - BLOOM_BITS), first & np.uint64((1 << BLOOM_BITS) - 1)]).astype(np.int64)
-
-
 def _sequences(bloom: np.ndarray):
     """The shingle sequence, 32 bits each, of documents that may be asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            at = _bits(batch.column("row").to_numpy())
-            asked = (bloom[at >> 3] >> (7 - (at & 7)) & 1).astype(bool).reshape(2, -1).all(axis=0)
-            own = batch.filter(pa.array(asked))
+            own = batch.filter(pa.array(maybe_in(bloom, batch.column("row").to_numpy())))
             if not own.num_rows:
                 continue
             values, low, high = sequences(own.column("text").cast(pa.binary()).to_pylist())
@@ -302,7 +279,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     made = arrow_map(rows.select("row", "text"), _windows, WINDOWS)
     pairs = stored(arrow_map(made.repartition("deal").sortWithinPartitions("deal", "key", "row", "i0"), _with_first, PAIRS), "pairs")
     asked = pairs.select("row").unionByName(pairs.select(F.col("lead").alias("row"))).distinct()
-    known = stored(arrow_map(rows, _sequences(_bloom(asked)), "row long, doc_id long, sequence binary").dropDuplicates(["row"]), "sequences")
+    known = stored(arrow_map(rows, _sequences(bloom_filter(asked)), "row long, doc_id long, sequence binary").dropDuplicates(["row"]), "sequences")
 
     results = []
     while True:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
-from vertexloom.llm.linking import components, runs
+from vertexloom.llm.linking import bloom_filter, components, maybe_in, runs
 from vertexloom.llm.shingles import mixed, shingle_sets
 
 SHARE, OF = 80, 100  # sets link from this share of their union
@@ -28,6 +28,8 @@ BLOCK = 1024  # sets of a list that are held against as many others at once
 
 DESCRIBED = "doc_id long, row long, n long, node long, chunk int, counts binary"
 PREFIXES = "row long, node long, n long, prefix array<long>"
+SHARED = "key long, node long, n long, place long, leader long, leader_n long, leader_place long"
+LISTED = f"deal long, led boolean, {SHARED}"
 
 
 def least_overlap(a, b):
@@ -57,13 +59,9 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     # One row per distinct set goes on.
     first = known.filter("n > 1").groupBy("node").agg(F.min("row").alias("row"))
     prefixes = arrow_map(rows.select("row", "text"), _prefixes(order), PREFIXES)
-    lists = prefixes.join(first, ["node", "row"]).select("node", "n", F.posexplode("prefix").alias("place", "key"))
-    lists = stored(lists.select("key", "node", "n", "place").distinct(), "lists")
-
-    rank = F.xxhash64("node")
-    leaders = lists.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(rank.alias("r"), "node", "n", "place")).alias("leader")).filter("m > 1")
-    shared = lists.join(leaders, "key").select("key", "node", "n", "place", "leader")
-    shared = stored(shared.select("key", "node", "n", "place", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.place").alias("leader_place")), "shared")
+    single = prefixes.join(first, ["node", "row"]).dropDuplicates(["node", "row"]).select("node", "n", "prefix")
+    listed = arrow_map(single, _lists, LISTED).repartition("deal").sortWithinPartitions("deal", "key", "node")
+    shared = stored(arrow_map(listed, _led, SHARED), "shared")
     first_pairs = shared.filter("node <> leader").filter(_possible("n", "place", "leader_n", "leader_place")).select(
         F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     overlaps = _overlaps(rows, first, stored(first_pairs, "first_pairs"))
@@ -180,12 +178,67 @@ def _prefixes(order: np.ndarray):
     return run
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted lists of a task. The first set of a list there leads the others, which need not meet the rest of the list
+    in one task; ``led`` marks a leader that has such followers."""
+    made = [np.empty((0, 4), dtype=np.int64)]
+    for batch in batches:
+        prefix = batch.column("prefix")
+        length = prefix.value_lengths().to_numpy()
+        first = np.repeat(np.cumsum(length) - length, length)
+        made.append(np.stack([
+            prefix.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), length), np.repeat(batch.column("n").to_numpy(), length),
+            np.arange(len(first)) - first], axis=1))
+    rows = np.concatenate(made)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    opens = np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)]
+    leader = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(rows) else np.empty(0, np.int64)
+    led = opens & np.append(~opens[1:], False)[: len(rows)]
+    deal = np.where(opens, rows[:, 0], mixed((rows[:, 0] ^ rows[:, 1]).view(np.uint64)).view(np.int64))
+    for at in range(0, len(rows), 50_000):
+        part = slice(at, at + 50_000)
+        lead = rows[leader[part]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(deal[part]), pa.array(led[part]), *[pa.array(rows[part, i]) for i in range(4)],
+             *[pa.array(lead[:, i], mask=opens[part]) for i in (1, 2, 3)]],
+            ["deal", "led", "key", "node", "n", "place", "leader", "leader_n", "leader_place"])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of two sets or more. Rows come sorted by key: the first without a leader leads the others, and itself."""
+    names = ["key", "node", "n", "place"]
+    leads = ["leader", "leader_n", "leader_place"]
+    last = None
+    for batch in batches:
+        free = batch.column("leader").is_null()
+        followers = batch.filter(batch.column("leader").is_valid())
+        if followers.num_rows:
+            yield followers.select([*names, *leads])
+        own = batch.filter(free)
+        if not own.num_rows:
+            continue
+        columns = [own.column(name).to_numpy(zero_copy_only=False) for name in (*names, "led")]
+        if last is not None:
+            columns = [np.append(x, y) for x, y in zip(last, columns)]
+        key, led = columns[0], columns[4].astype(bool)
+        opens = np.append(True, key[1:] != key[:-1])
+        leader = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        last = [column[leader[-1] : leader[-1] + 1] for column in columns]
+        last[4] = np.zeros(1, dtype=bool)  # a leader's own row is given where it has followers or company in this batch
+        kept = np.flatnonzero(~opens | led | np.append(~opens[1:], False))
+        if len(kept):
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(column[kept]) for column in columns[:4]], *[pa.array(column[leader[kept]]) for column in columns[1:4]]],
+                [*names, *leads])
+
+
 def _overlaps(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes. The sets are made again from the texts that the pairs ask for."""
+    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes. The sets are made again from the texts that the pairs ask for; a
+    filter of fixed size keeps most other texts from being looked at, the join does so exactly."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = first.join(asked, "node").select(F.col("node").alias("asked"), "row")
-    texts = rows.join(wanted, "row").select("row", "text", "asked")
-    made = stored(arrow_map(texts, _whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    wanted = stored(first.join(asked, "node"), "wanted")
+    made = arrow_map(rows.select("row", "text"), _whole_sets(bloom_filter(wanted.select("row"))), "row long, node long, n long, hashes array<long>")
+    made = stored(made.join(wanted, ["row", "node"], "left_semi").dropDuplicates(["row", "node"]), "sets")
     left = made.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
     right = made.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -193,14 +246,18 @@ def _overlaps(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")), "overlaps")
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1_000_000):
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        found, owner = shingle_sets(texts)
-        n, node = _node(found, owner, len(texts))
-        arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(found.view(np.int64)))
-        same = np.flatnonzero(node == batch.column("asked").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n, pa.int64()), arrays], ["node", "n", "hashes"]).take(pa.array(same))
+def _whole_sets(bloom: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1_000_000):
+            own = batch.filter(pa.array(maybe_in(bloom, batch.column("row").to_numpy())))
+            texts = own.column("text").cast(pa.binary()).to_pylist()
+            if not texts:
+                continue
+            found, owner = shingle_sets(texts)
+            n, node = _node(found, owner, len(texts))
+            arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([own.column("row"), pa.array(node), pa.array(n, pa.int64()), arrays], ["row", "node", "n", "hashes"])
+    return run
 
 
 def _open_pairs(shared: DataFrame, overlaps: DataFrame, groups: DataFrame) -> DataFrame:
@@ -218,7 +275,7 @@ def _open_pairs(shared: DataFrame, overlaps: DataFrame, groups: DataFrame) -> Da
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     groups_by = ["key", "low", "high"]
-    dealt = rows.select(*groups_by, "block", "place", "node", "n", "leader_n", "overlap", "component")
+    dealt = rows.select(*groups_by, "block", "place", "node", "n", "leader", "overlap", "component")
     dealt = dealt.repartition(*groups_by).sortWithinPartitions(*groups_by, "place")
     found = arrow_map(dealt, _skip(groups_by), "a long, b long").distinct()
     return found.join(known, ["a", "b"], "left_anti")
@@ -248,8 +305,8 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 def _block_pairs(rows: pa.Table) -> np.ndarray:
     """Open pairs between two blocks of a list. Rows come by rising place, so later places leave less and less room."""
     low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-    names = ("block", "place", "node", "n", "leader_n", "overlap", "component")
-    block, place, node, n, leader_n, overlap, component = (rows.column(name).to_numpy() for name in names)
+    names = ("block", "place", "node", "n", "leader", "overlap", "component")
+    block, place, node, n, leader, overlap, component = (rows.column(name).to_numpy() for name in names)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(left) or not len(right):
         return np.empty((0, 2), dtype=np.int64)
@@ -263,11 +320,10 @@ def _block_pairs(rows: pa.Table) -> np.ndarray:
             continue
         need = -(-(n[i][:, None] + n[j]) * SHARE // (OF + SHARE))
         room = np.minimum((n[i] - place[i])[:, None], n[j] - place[j])
-        lead = leader_n[0]
-        # |x n y| <= |l n y| + |x \\ l|, and the same with x and y exchanged, where the overlaps with leader l are known.
-        by_x = np.where((overlap[j] >= 0) & (overlap[i] >= 0)[:, None], overlap[j] + (n[i] - overlap[i])[:, None], lead + n[i][:, None] + n[j])
-        by_y = np.where((overlap[j] >= 0) & (overlap[i] >= 0)[:, None], overlap[i][:, None] + (n[j] - overlap[j]), lead + n[i][:, None] + n[j])
-        open_ = (room >= need) & (by_x >= need) & (by_y >= need) & (component[i][:, None] != component[j])
+        # |x n y| <= |l n y| + |x \\ l|, and the same with x and y exchanged, where both overlaps with one leader l are known.
+        known = (overlap[j] >= 0) & (overlap[i] >= 0)[:, None] & (leader[j] == leader[i][:, None])
+        bound = np.minimum(overlap[j] + (n[i] - overlap[i])[:, None], overlap[i][:, None] + (n[j] - overlap[j]))
+        open_ = (room >= need) & (~known | (bound >= need)) & (component[i][:, None] != component[j])
         a, b = np.nonzero(open_)
         a, b = node[i[a]], node[j[b]]
         result.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
