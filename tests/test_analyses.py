@@ -2,6 +2,7 @@ import pytest
 
 from tests import brute
 from tests.graphs import ALL, CYCLE, DAG, DAG13, PATH, RING, as_map, edge_frame, grouped_frame
+from vertexloom.operators import components
 from vertexloom.operators.betweenness import betweenness_centrality, edge_centrality, edge_removal_communities, top_edge
 from vertexloom.operators.components import connected_components, strongly_connected_components
 from vertexloom.operators.pagerank import pagerank
@@ -130,6 +131,33 @@ def test_long_path_components(spark):
     assert set(as_map(connected_components(edges)).values()) == {0}
 
 
+def rounds_of(monkeypatch) -> list[int]:
+    """Collects the seeds of the outer rounds of the search for strong components."""
+    seeds: list[int] = []
+    original = components.first_origin
+
+    def counted(vertices, edges, seed, *rest):
+        seeds.append(seed)
+        return original(vertices, edges, seed, *rest)
+    monkeypatch.setattr(components, "first_origin", counted)
+    return seeds
+
+
+def test_strong_components_of_a_long_path(spark, monkeypatch):
+    seeds = rounds_of(monkeypatch)
+    edges = spark.range(60).selectExpr("id AS src", "id + 1 AS dst")
+    assert as_map(strongly_connected_components(edges)) == {v: v for v in range(61)}
+    assert not seeds  # peeled off
+
+
+def test_strong_components_of_a_chain_of_cycles(spark, monkeypatch):
+    seeds = rounds_of(monkeypatch)
+    n = 40
+    edges = [(2 * i, 2 * i + 1) for i in range(n)] + [(2 * i + 1, 2 * i) for i in range(n)] + [(2 * i + 1, 2 * i + 2) for i in range(n - 1)]
+    assert as_map(strongly_connected_components(edge_frame(spark, edges))) == {v: v - v % 2 for v in range(2 * n)}
+    assert len(seeds) <= 12
+
+
 def test_edge_centrality_and_communities(spark):
     edges = edge_frame(spark, DAG)
     assert as_map(edge_centrality(edges)) == pytest.approx(brute.edge_centrality(DAG), abs=2e-6)

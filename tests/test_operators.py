@@ -115,8 +115,12 @@ def test_text_forms(spark, tmp_path):
     (tmp_path / "recs.csv").write_text("# c\n1,5,1\n1,7,2\n")
     assert rows(text.read_recommendations(spark, str(tmp_path / "recs.csv"))) == [(1, 5, 1), (1, 7, 2)]
     (tmp_path / "ratings.csv").write_text("1,5,2.5\n2,7\n")
-    with pytest.raises(Exception, match="Malformed"):
-        text.read_ratings(spark, str(tmp_path / "ratings.csv")).collect()
+    ratings, bad = text.read_ratings(spark, str(tmp_path / "ratings.csv")), text.read_edge_list(spark, str(tmp_path / "bad.txt"))
+    for pruned in (ratings, ratings.select("user"), bad.select("src")):
+        with pytest.raises(Exception, match="expected . fields"):
+            pruned.collect()
+        with pytest.raises(Exception, match="expected . fields"):
+            pruned.count()
 
 
 def test_upserts(spark):
@@ -127,13 +131,27 @@ def test_upserts(spark):
     stray = spark.createDataFrame([(8, 1.0)], "id long, value double")
     with pytest.raises(Exception, match="no vertex with id 8"):
         upserts.set_property(vertices, stray, "p").collect()
+    with pytest.raises(Exception, match="no vertex with id 8"):
+        upserts.set_property(vertices, stray, "p").count()
+    with pytest.raises(Exception, match="no vertex with id 8"):
+        upserts.set_property(vertices, stray, "q").select("id").collect()
+    twice = spark.createDataFrame([(1, 3.0), (1, 4.0)], "id long, value double")
+    for unknown in ("raise", "ignore"):
+        assert rows(upserts.set_property(vertices, twice, "p", unknown=unknown)) == [(1, 4.0), (2, 6.0)]
     assert rows(upserts.set_property(vertices, stray, "p", unknown="ignore")) == [(1, 5.0), (2, 6.0)]
     assert rows(upserts.unknown_ids(vertices, stray)) == [(8,)]
     hundred = spark.range(100).selectExpr("1000L AS partition_id", "id", "0.001D AS value")
     once = upserts.upsert_partition_relationships(spark.createDataFrame([], "partition_id long, id long, analysis string, value double"), hundred, "a")
     assert upserts.upsert_partition_relationships(once, hundred, "a").count() == 100
+    again = hundred.unionByName(hundred.selectExpr("partition_id", "id", "0.002D AS value"))
+    assert rows(upserts.upsert_partition_relationships(once, again, "a").groupBy("value").count()) == [(0.002, 100)]
+    large = spark.createDataFrame([(1, 2, 2**53 + 1)], "partition_id long, id long, component long")
+    longs = spark.createDataFrame([(1, 3, "a", 2**53 + 3)], "partition_id long, id long, analysis string, value long")
+    assert rows(upserts.upsert_partition_relationships(longs, large, "a")) == [(1, 2, "a", 2**53 + 1), (1, 3, "a", 2**53 + 3)]
+    with pytest.raises(ValueError, match="existing values are double"):
+        upserts.upsert_partition_relationships(once, large, "a")
     old = spark.createDataFrame([(1, 50, 1), (1, 51, 2), (2, 50, 1)], "user long, item long, rank int")
-    new = spark.createDataFrame([(1, 60, 1), (1, 51, 2), (1, 70, 3)], "user long, item long, rank int")
+    new = spark.createDataFrame([(1, 60, 1), (1, 61, 1), (1, 51, 2), (1, 70, 3)], "user long, item long, rank int")
     assert rows(upserts.upsert_recommendations(old, new)) == [(1, 51, 2), (1, 60, 1), (1, 70, 3), (2, 50, 1)]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vertexloom.operators.betweenness import betweenness_centrality, edge_removal_communities
 from vertexloom.operators.components import connected_components, strongly_connected_components
@@ -72,8 +73,8 @@ def analyze_partitions(
     edges = partition_edges(vertices, relationships, label, group_rel, target_rel)
     result = run_analysis(name, edges, ["partition_id"], **options)
     if existing is None:
-        schema = "partition_id long, id long, analysis string, value double"
-        existing = vertices.sparkSession.createDataFrame([], schema)
+        value = F.col(result.columns[-1]).alias("value")
+        existing = result.select("partition_id", "id", F.lit(name).alias("analysis"), value).limit(0)
     return upsert_partition_relationships(existing, result, name)
 
 

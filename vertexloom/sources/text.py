@@ -6,7 +6,7 @@ of its form fails the read with the line in the message.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.operators.graph import canonicalize
@@ -21,19 +21,20 @@ def content_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((F.length(text) > 0) & ~text.startswith("#"))
 
 
-def fields(separator: str, at_least: int, at_most: int | None = None) -> Column:
-    """The fields of a line, or an error that shows the line."""
+def with_fields(lines: DataFrame, separator: str, at_least: int, at_most: int | None = None) -> DataFrame:
+    """Add ``_parts``, the fields of a line. A line that does not have the fields of its form fails the read, also where
+    only rows are counted: the check is a filter, which no pruning of columns removes."""
     parts = F.split(F.trim("value"), separator)
     fits = F.size(parts) >= at_least
     if at_most is not None:
         fits = fits & (F.size(parts) <= at_most)
-    problem = F.raise_error(F.concat(F.lit(f"expected {at_least} fields: "), F.col("value")))
-    return F.when(fits, parts).otherwise(problem.cast("array<string>"))
+    problem = F.raise_error(F.concat(F.lit(f"expected {at_least} fields: "), F.col("value"))).cast("boolean")
+    return lines.filter(F.when(fits, True).otherwise(problem)).withColumn("_parts", parts)
 
 
 def parse_updates(lines: DataFrame) -> DataFrame:
     """``id value`` lines of a frame with a ``value`` column; other columns are kept."""
-    kept = content_lines(lines).withColumn("_parts", fields(r"\s+", 2, 2))
+    kept = with_fields(content_lines(lines), r"\s+", 2, 2)
     others = [name for name in lines.columns if name != "value"]
     return kept.select(*others, F.col("_parts")[0].cast("long").alias("id"), F.col("_parts")[1].cast("double").alias("value"))
 
@@ -43,14 +44,19 @@ def read_edge_list(spark: SparkSession, path: str, canonical: bool = False) -> D
 
     Parallel edges and self-loops are kept. ``canonical`` orients every edge from the lower to the higher id.
     """
-    parts = content_lines(spark.read.text(path)).select(fields(r"\s+", 2).alias("p"))
-    edges = parts.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"))
+    parts = with_fields(content_lines(spark.read.text(path)), r"\s+", 2)
+    edges = parts.select(F.col("_parts")[0].cast("long").alias("src"), F.col("_parts")[1].cast("long").alias("dst"))
     return canonicalize(edges) if canonical else edges
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """``(user, item, rating)`` from CSV lines of exactly three fields, without header or comments."""
-    return spark.read.schema("user int, item int, rating double").csv(path, mode="FAILFAST")
+    parts = with_fields(spark.read.text(path), ",", 3, 3)
+    return parts.select(
+        F.col("_parts")[0].cast("int").alias("user"),
+        F.col("_parts")[1].cast("int").alias("item"),
+        F.col("_parts")[2].cast("double").alias("rating"),
+    )
 
 
 def read_property_updates(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +66,11 @@ def read_property_updates(spark: SparkSession, path: str) -> DataFrame:
 
 def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
     """``(user, item, rank)`` from ``user,item,rank`` lines."""
-    parts = content_lines(spark.read.text(path)).select(fields(r"\s*,\s*", 3, 3).alias("p"))
+    parts = with_fields(content_lines(spark.read.text(path)), r"\s*,\s*", 3, 3)
     return parts.select(
-        F.col("p")[0].cast("long").alias("user"),
-        F.col("p")[1].cast("long").alias("item"),
-        F.col("p")[2].cast("int").alias("rank"),
+        F.col("_parts")[0].cast("long").alias("user"),
+        F.col("_parts")[1].cast("long").alias("item"),
+        F.col("_parts")[2].cast("int").alias("rank"),
     )
 
 
