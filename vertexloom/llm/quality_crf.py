@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, kept_rows, slices
 
-TRAIN_DOCS = 4000  # labelled documents that the weights are learned from, about
+TRAIN_DOCS = 3000  # labelled documents that the weights are learned from, about
 BINS = 8
 PASSES = 2  # trainings; between two of them the lines of bad documents are labelled anew
 STEPS = 250  # gradient steps of a training
@@ -125,15 +125,22 @@ class Field:
         return cls(edges, np.zeros(3 * len(FEATURES) * (BINS + 1)), np.zeros((2, 2)))
 
     def indices(self, features: np.ndarray, document: np.ndarray) -> np.ndarray:
-        """Weight index of each feature of the line and of its neighbours; outside of the document there is a bin of its own."""
+        """Weight index of each feature of the line and of its neighbours, a row per feature and place; outside of the
+        document there is a bin of its own."""
         own = np.column_stack([np.searchsorted(edges, column, side="left") for edges, column in zip(self.edges, features.T)])
         before = np.full_like(own, BINS)
         after = np.full_like(own, BINS)
         inside = document[1:] == document[:-1]
         before[1:][inside] = own[:-1][inside]
         after[:-1][inside] = own[1:][inside]
-        columns = np.concatenate([own, before, after], axis=1)
-        return columns + np.arange(columns.shape[1]) * (BINS + 1)
+        rows = np.concatenate([own, before, after], axis=1).T.astype(np.int32, order="C")
+        return rows + np.arange(len(rows), dtype=np.int32)[:, None] * np.int32(BINS + 1)
+
+    def emission(self, indices: np.ndarray) -> np.ndarray:
+        total = np.zeros(indices.shape[1])
+        for row in indices:
+            total += self.weights[row]
+        return total
 
     def marginals(self, emission: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of good per line, and the expected transitions ``(2, 2)``, by forward-backward over all documents
@@ -169,9 +176,11 @@ class Field:
         mean, square, n = np.zeros_like(parameters), np.zeros_like(parameters), len(good)
         for step in range(1, STEPS + 1):
             self.weights, self.transition = parameters[:-4], parameters[-4:].reshape(2, 2)
-            marginal, pairs = self.marginals(self.weights[indices].sum(axis=1), document)
-            difference = np.repeat(((good - marginal) * weight)[:, None], indices.shape[1], axis=1)
-            own = np.bincount(indices.ravel(), difference.ravel(), minlength=len(self.weights)) / n
+            marginal, pairs = self.marginals(self.emission(indices), document)
+            difference = (good - marginal) * weight / n
+            own = np.zeros(len(self.weights))
+            for row in indices:
+                own += np.bincount(row, difference, minlength=len(own))
             gradient = np.concatenate([own, (seen - pairs).ravel() / n]) - RIDGE * parameters
             mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
             parameters = parameters + 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -179,7 +188,7 @@ class Field:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         features, weight, document = line_features(texts)
-        good, _ = self.marginals(self.weights[self.indices(features, document)].sum(axis=1), document)
+        good, _ = self.marginals(self.emission(self.indices(features, document)), document)
         total = np.bincount(document, weight, minlength=len(texts))
         return np.clip(np.bincount(document, weight * good, minlength=len(texts)) / total, 0.0, 1.0)
 
@@ -194,7 +203,7 @@ def learned(texts: list[bytes], quality: np.ndarray) -> Field:
     for training in range(PASSES):
         field.fit(indices, document, labels, weight)
         if training + 1 < PASSES:
-            good, _ = field.marginals(field.weights[indices].sum(axis=1), document)
+            good, _ = field.marginals(field.emission(indices), document)
             flipped = (labels == 0) & (good > SURE)
             rest = np.bincount(document[(labels == 0) & ~flipped], minlength=len(texts))
             labels = np.where(flipped & (rest[document] > 0), 1.0, labels)

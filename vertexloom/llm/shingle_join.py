@@ -24,6 +24,8 @@ from vertexloom.llm.shingles import mixed, shingle_sets
 SHARE, OF = 80, 100  # sets link from this share of their union
 BUCKET_BITS = 20  # shingles are counted in this many bits of their hash
 CHUNK = 1024  # counts in one row, so that they are summed by many tasks
+LEADERS = 8  # further sets of a list that lead it in each round
+FEW = 100  # rounds end when fewer than one in so many of the pairs links
 BLOCK = 1024  # sets of a list that are held against as many others at once
 
 DESCRIBED = "doc_id long, row long, n long, node long, chunk int, counts binary"
@@ -66,12 +68,23 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     overlaps = _overlaps(rows, first, stored(first_pairs, "first_pairs"))
 
-    linked = overlaps.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
-    groups = components(linked)
-    pairs = _open_pairs(shared, overlaps, groups)
-    more = _overlaps(rows, first, stored(pairs, "open_pairs"))
+    # Groups grow by more leaders per list until a round finds hardly any link; then all pairs still open are looked at.
+    links = overlaps.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
+    groups, compared, seed = components(links), overlaps, 0
+    while True:
+        pairs = stored(_led_pairs(shared, groups, compared, range(seed, seed + LEADERS)), "led_pairs")
+        more = _overlaps(rows, first, pairs)
+        fresh = stored(more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b"), "fresh")
+        found, asked = fresh.count(), pairs.count()
+        if not found:
+            break
+        links, compared, seed = links.unionByName(fresh), compared.unionByName(more), seed + LEADERS
+        groups = components(links)
+        if found * FEW < asked:
+            break
+    more = _overlaps(rows, first, stored(_open_pairs(shared, compared, groups), "open_pairs"))
     late = more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
-    everything = components(linked.unionByName(late))
+    everything = components(links.unionByName(late))
 
     # Ids of a component: the smallest over all its documents, equal sets included.
     nodes = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))
@@ -168,7 +181,7 @@ def _prefixes(order: np.ndarray):
             keys = keys[np.lexsort((keys, owner))]
             place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
             length = np.where(n > 0, prefix_length(n), 0)
-            kept = keys[place < np.repeat(length, n)].view(np.int64)
+            kept = (keys[place < np.repeat(length, n)] ^ np.uint64(1 << 63)).view(np.int64)  # signed numbers in the same order
             offsets = np.append(0, np.cumsum(length)).astype(np.int32)
             some = np.flatnonzero(n > 1)  # a single shingle links only with an equal set
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))
@@ -260,22 +273,43 @@ def _whole_sets(bloom: np.ndarray):
     return run
 
 
+def _mixed(shared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of lists with their component, and ``(key, m)`` of the lists that hold more than one."""
+    grouped = shared.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lists = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return grouped, lists.filter("low <> high AND m > 2").select("key", "m")
+
+
+def _led_pairs(shared: DataFrame, groups: DataFrame, known: DataFrame, seeds: range) -> DataFrame:
+    """Pairs of a set and one that leads its list, for sets not yet connected; a few leaders per list, others each time."""
+    grouped, lists = _mixed(shared, groups)
+    kept = grouped.join(lists.select("key"), "key").select("key", "node", "n", "place", "component")
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "n", "place", "component")) for seed in seeds]
+    leaders = kept.groupBy("key").agg(F.array(*chosen).alias("leaders")).select("key", F.explode("leaders").alias("l"))
+    joined = kept.join(leaders.select("key", F.col("l.node").alias("ln"), F.col("l.n").alias("lm"), F.col("l.place").alias("lp"), F.col("l.component").alias("lc")), "key")
+    pairs = joined.filter("component <> lc").filter(_possible("n", "place", "lm", "lp"))
+    pairs = pairs.select(F.least("ln", "node").alias("a"), F.greatest("ln", "node").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _open_pairs(shared: DataFrame, overlaps: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of a list that are not known to be connected and that neither places nor the leader's overlaps rule out."""
-    known = overlaps.select("a", "b", "overlap")
+    known = overlaps.select("a", "b", "overlap")  # of leaders and others
     both_ways = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
-    grouped = shared.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_lists = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed_lists = mixed_lists.filter("low <> high AND m > 2").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("key", "blocks")
+    grouped, mixed_lists = _mixed(shared, groups)
+    mixed_lists = mixed_lists.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     kept = grouped.join(mixed_lists, "key")
     # The leader itself overlaps with itself in full; a member that was not compared with it has an unknown overlap, -1.
     measured = kept.join(both_ways.withColumnRenamed("a", "leader").withColumnRenamed("b", "node"), ["leader", "node"], "left")
     rows = measured.withColumn("overlap", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.coalesce("overlap", F.lit(-1))))
+    # A pair is looked at in the first list that has both, so a set takes the keys of its other open lists along.
+    keys = kept.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(keys, "node").withColumn("earlier", F.filter("keys", lambda key: key < F.col("key"))).drop("keys")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     groups_by = ["key", "low", "high"]
-    dealt = rows.select(*groups_by, "block", "place", "node", "n", "leader", "overlap", "component")
+    dealt = rows.select(*groups_by, "block", "place", "node", "n", "leader", "overlap", "component", "earlier")
     dealt = dealt.repartition(*groups_by).sortWithinPartitions(*groups_by, "place")
     found = arrow_map(dealt, _skip(groups_by), "a long, b long").distinct()
     return found.join(known, ["a", "b"], "left_anti")
@@ -308,8 +342,9 @@ def _block_pairs(rows: pa.Table) -> np.ndarray:
     names = ("block", "place", "node", "n", "leader", "overlap", "component")
     block, place, node, n, leader, overlap, component = (rows.column(name).to_numpy() for name in names)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    if not len(left) or not len(right):
+    if not len(left) or not len(right) or (component == component[0]).all():
         return np.empty((0, 2), dtype=np.int64)
+    earlier = _members(rows.column("earlier"))
     result = []
     step = 64
     for at in range(0, len(left), step):
@@ -324,7 +359,22 @@ def _block_pairs(rows: pa.Table) -> np.ndarray:
         known = (overlap[j] >= 0) & (overlap[i] >= 0)[:, None] & (leader[j] == leader[i][:, None])
         bound = np.minimum(overlap[j] + (n[i] - overlap[i])[:, None], overlap[i][:, None] + (n[j] - overlap[j]))
         open_ = (room >= need) & (~known | (bound >= need)) & (component[i][:, None] != component[j])
+        open_ &= earlier[i] @ earlier[j].T == 0
         a, b = np.nonzero(open_)
         a, b = node[i[a]], node[j[b]]
         result.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
     return np.concatenate(result) if result else np.empty((0, 2), dtype=np.int64)
+
+
+def _members(lists: pa.ChunkedArray) -> np.ndarray:
+    """One row per list, with a 1 in the column of each of its numbers that another list has too."""
+    sizes = np.array([len(own or ()) for own in lists.to_pylist()], dtype=np.int64)
+    flat = np.concatenate([np.array(own or (), dtype=np.int64) for own in lists.to_pylist()])
+    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    row, column = np.repeat(np.arange(len(sizes)), sizes), place[column]
+    result = np.zeros((len(sizes), max(1, len(shared))), dtype=np.float32)
+    result[row[column >= 0], column[column >= 0]] = 1
+    return result
