@@ -185,7 +185,8 @@ def test_bounds_never_rule_out_a_link():
     rows = pa.table({
         "key": [0] * len(shared), "low": [0] * len(shared), "high": [0] * len(shared), "block": [0] * len(shared),
         "place": [0] * len(shared), "node": list(range(len(shared))), "n": [len(s) for s in shared], "leader": [0] * len(shared),
-        "overlap": [len(lead & set(s)) for s in shared], "component": list(range(len(shared)))})
+        "overlap": [len(lead & set(s)) for s in shared],
+        "component": list(range(len(shared))), "earlier": [[]] * len(shared)})
     open_ = set(map(tuple, shingle_join._block_pairs(rows).tolist()))
     for a in range(len(shared)):
         for b in range(a):
