@@ -44,13 +44,14 @@ def ungroup(groups: list[str], alias: str = "g") -> str:
     return "".join(f"{alias}.{name} AS {name}, " for name in groups)
 
 
-# Hops by levels; the cap exceeds the longest distance in every graph used here.
-DISTANCES = """f(g, s, v, l) AS (
-    SELECT g, id, id, 0 FROM v UNION SELECT f.g, f.s, e.dst, f.l + 1 FROM f JOIN e ON e.g = f.g AND e.src = f.v WHERE f.l < 40),
-  d AS MATERIALIZED (SELECT g, s, v, min(l) AS d FROM f GROUP BY ALL)"""
+# Breadth-first: a pair that has a distance keeps it.
+DISTANCES = """d(g, s, v, d) USING KEY (g, s, v) AS (
+    SELECT g, id, id, 0 FROM v UNION
+    SELECT d.g, d.s, e.dst, min(d.d) + 1 FROM d JOIN e ON e.g = d.g AND e.src = d.v
+      LEFT JOIN recurring.d AS old ON old.g = d.g AND old.s = d.s AND old.v = e.dst WHERE old.g IS NULL GROUP BY d.g, d.s, e.dst)"""
 # Distances of the few roots in root(g, id) only.
 ROOT_DISTANCES = DISTANCES.replace("FROM v UNION", "FROM root UNION")
-BACKWARD_ROOT_DISTANCES = ROOT_DISTANCES.replace("e.dst, f.l + 1", "e.src, f.l + 1").replace("e.src = f.v", "e.dst = f.v")
+BACKWARD_ROOT_DISTANCES = ROOT_DISTANCES.replace("e.src", "e.near").replace("e.dst", "e.src").replace("e.near", "e.dst")
 # Breadth-first levels with path counts; a new level excludes all pairs reached before, by the distances.
 COUNTS = """sg(g, s, v, l, n) AS (
     SELECT g, id, id, 0, 1.0::DOUBLE FROM v UNION ALL
@@ -62,8 +63,8 @@ COUNTS = """sg(g, s, v, l, n) AS (
       JOIN sg st ON st.g = a.g AND st.s = a.s AND st.v = b.v AND st.l = a.l + b.l GROUP BY a.g, b.s)"""
 
 
-def pagerank_rounds(source: str, groups: str, rounds: int, tol: float) -> str:
-    """CTE r(it, g, id, rank, gain); a vertex passes on only a gain above ``tol``."""
+def pagerank_rounds(source: str, groups: str, tol: float = 1e-4) -> str:
+    """CTE r(it, g, id, rank, gain); a vertex passes on only a gain above ``tol``, and rounds end when none is."""
     return f"""pe AS MATERIALIZED (SELECT {groups} AS g, src, dst FROM {source}),
   w AS MATERIALIZED (
     SELECT g, src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY g, src) AS p, false AS own FROM pe
@@ -73,7 +74,9 @@ def pagerank_rounds(source: str, groups: str, rounds: int, tol: float) -> str:
     SELECT any_value(r.it) + 1, r.g, w.dst,
            max(CASE WHEN own THEN rank END) + 0.85 * sum(CASE WHEN own OR gain <= {tol} THEN 0 ELSE gain * p END),
            0.85 * sum(CASE WHEN own OR gain <= {tol} THEN 0 ELSE gain * p END)
-    FROM r JOIN w ON w.g = r.g AND w.src = r.id WHERE r.it < {rounds} GROUP BY r.g, w.dst)"""
+    FROM r JOIN w ON w.g = r.g AND w.src = r.id WHERE (SELECT max(gain) FROM r) > {tol} GROUP BY r.g, w.dst)"""
+LAST = "(SELECT * FROM r WHERE it = (SELECT max(it) FROM r)) AS r"
+MICROS = "floor(rank * 1e6 + 0.318309886)::DOUBLE AS pagerank_micros"
 
 
 def reach(directed: bool) -> str:
@@ -159,9 +162,9 @@ ORACLES: dict[str, str] = {
     + f"SELECT id + 2 AS id FROM ({order_counts()}) WHERE id + 2 NOT IN (SELECT id FROM vtx)",
     "upsert_partition_relationships": with_(
         CHAIN,
-        "new AS (SELECT partition_id, src AS id, 'degree' AS analysis, count(*)::DOUBLE AS value FROM chain GROUP BY 1, 2)",
+        "new AS (SELECT partition_id, src AS id, 'degree' AS analysis, count(*)::BIGINT AS value FROM chain GROUP BY 1, 2)",
         "old AS (SELECT partition_id, dst AS id, CASE WHEN dst % 4 = 1 THEN 'degree' ELSE 'other' END AS analysis, "
-        "min(src)::DOUBLE AS value FROM chain GROUP BY 1, 2)",
+        "min(src) AS value FROM chain GROUP BY 1, 2)",
     )
     + "SELECT partition_id, id, analysis, coalesce(new.value, old.value) AS value "
     "FROM old FULL JOIN new USING (partition_id, id, analysis)",
@@ -206,10 +209,8 @@ ORACLES: dict[str, str] = {
     + "SELECT v.id, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS successors "
     "FROM (SELECT src AS id FROM chain UNION SELECT dst FROM chain) v "
     "LEFT JOIN (SELECT DISTINCT src, dst FROM chain) c ON c.src = v.id GROUP BY 1",
-    "pagerank_to_tolerance": with_(CHAIN, pagerank_rounds("chain", "0", 100, 1e-4))
-    + "SELECT id, round(rank + 0.318309886e-6, 6) AS pagerank FROM r WHERE it = 100",
-    "pagerank_by_type": with_(CHAIN, pagerank_rounds("chain", "rel_type", 12, 0))
-    + "SELECT g AS rel_type, id, round(rank + 0.318309886e-6, 6) AS pagerank FROM r WHERE it = 12",
+    "pagerank_to_tolerance": with_(CHAIN, pagerank_rounds("chain", "0")) + f"SELECT id, {MICROS} FROM {LAST}",
+    "pagerank_by_type": with_(CHAIN, pagerank_rounds("chain", "rel_type")) + f"SELECT g AS rel_type, id, {MICROS} FROM {LAST}",
     "connected_components": weak_components([]),
     "connected_components_by_type": weak_components(["rel_type"]),
     "strongly_connected_components": strong_components([]),
@@ -256,9 +257,9 @@ ORACLES: dict[str, str] = {
     + triangle_counts([]),
     "analyze": with_(
         CHAIN, VERTICES, "typed AS (SELECT src, dst FROM chain WHERE rel_type = '1-URGENT')",
-        pagerank_rounds("typed", "0", 100, 1e-4),
+        pagerank_rounds("typed", "0"),
     )
-    + "SELECT vtx.id, label, name, round(rank + 0.318309886e-6, 6) AS pagerank FROM vtx LEFT JOIN (SELECT * FROM r WHERE it = 100) r ON r.id = vtx.id",
+    + f"SELECT vtx.id, label, name, {MICROS} FROM vtx LEFT JOIN {LAST} ON r.id = vtx.id",
     "analyze_partitions": with_(
         CHAIN, BALANCES, "typed AS (SELECT partition_id, src, dst FROM chain WHERE rel_type = '3-MEDIUM')",
         *graph(NATION, "typed"), DISTANCES,
@@ -267,6 +268,15 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT g AS partition_id, id, 'closeness_centrality' AS analysis, round(coalesce(c, balance), 6) AS value "
     "FROM owned FULL JOIN close USING (g, id)",
+    "analyze_components": with_(
+        CHAIN, VERTICES, "typed AS (SELECT src, dst FROM chain WHERE rel_type = '1-URGENT')", *graph([], "typed"), reach(False)
+    )
+    + "SELECT vtx.id, label, name, coalesce(c.component, -1) AS connected_components FROM vtx "
+    "LEFT JOIN (SELECT v AS id, min(s) AS component FROM reach GROUP BY v) c ON c.id = vtx.id",
+    "analyze_partitions_components": with_(
+        CHAIN, "typed AS (SELECT partition_id, src, dst FROM chain WHERE rel_type = '3-MEDIUM')", *graph(NATION, "typed"), reach(False)
+    )
+    + "SELECT g AS partition_id, v AS id, 'connected_components' AS analysis, min(s) AS value FROM reach GROUP BY g, v",
     "apply_updates_stream": with_(VERTICES)
     + f"SELECT vtx.id, label, name, coalesce(f.value, n.value) AS orders FROM vtx LEFT JOIN ({order_counts()}) n ON n.id = vtx.id "
     f"""LEFT JOIN ({order_counts("o_orderstatus = 'F'")}) f ON f.id = vtx.id""",

@@ -32,10 +32,10 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in names})
 
 
-def rounded_ranks(df: DataFrame, name: str = "pagerank") -> DataFrame:
-    """Ranks near sources are simple fractions such as 0.3741875, right on a rounding boundary, where the order of
-    summation decides. A small shift that is no simple fraction of the last digit puts them off the boundary."""
-    return rounded(df.withColumn(name, F.col(name) + F.lit(0.318309886e-6)), name)
+def micros(df: DataFrame, name: str) -> DataFrame:
+    """Ranks as whole millionths, for comparison: floor(rank * 10^6 + 0.318). Ranks near sources are simple fractions such
+    as 0.3741875, right on a boundary of rounding, where the order of summation would decide; the odd offset avoids it."""
+    return df.withColumn(f"{name}_micros", F.floor(F.col(name) * 1e6 + 0.318309886).cast("double")).drop(name)
 
 
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def unknown_ids(spark, sf_dir):
 def upsert_partition_relationships(spark, sf_dir):
     chain = trade_graph.order_chain(spark, sf_dir)
     degree = chain.groupBy("partition_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("value"))
-    existing = chain.groupBy("partition_id", F.col("dst").alias("id")).agg(F.min("src").cast("double").alias("value"))
+    existing = chain.groupBy("partition_id", F.col("dst").alias("id")).agg(F.min("src").alias("value"))
     existing = existing.withColumn("analysis", F.when(F.col("id") % 4 == 1, "degree").otherwise("other"))
     once = upserts.upsert_partition_relationships(existing, degree, "degree")
     return upserts.upsert_partition_relationships(once, degree, "degree")
@@ -330,12 +330,12 @@ def collect_successors(spark, sf_dir):
 
 @query
 def pagerank_to_tolerance(spark, sf_dir):
-    return rounded_ranks(pagerank(trade_graph.order_chain(spark, sf_dir)))
+    return micros(pagerank(trade_graph.order_chain(spark, sf_dir)), "pagerank")
 
 
 @query
 def pagerank_by_type(spark, sf_dir):
-    return rounded_ranks(pagerank(trade_graph.order_chain(spark, sf_dir), max_iter=12, group_cols=TYPE))
+    return micros(pagerank(trade_graph.order_chain(spark, sf_dir), group_cols=TYPE), "pagerank")
 
 
 @query
@@ -494,13 +494,13 @@ def rank_candidates(spark, sf_dir):
 @query
 def predict(spark, sf_dir):
     ratings = checkpointed(trade_graph.ratings(spark, sf_dir))
-    model = recommend.train_implicit(ratings, reg=0.1, iterations=5)
+    model = recommend.train_implicit(ratings, reg=0.1)
     return recommend.predict(model, ratings)
 
 
 @query
 def recommend_items(spark, sf_dir):
-    return recommend.recommend(trade_graph.ratings(spark, sf_dir), reg=0.1, iterations=5)
+    return recommend.recommend(trade_graph.ratings(spark, sf_dir), reg=0.1)
 
 
 # --- jobs ------------------------------------------------------------------------------------------------------------
@@ -512,11 +512,29 @@ def run_analysis(spark, sf_dir):
     return jobs.run_analysis("triangle_count", edges)
 
 
+def urgent_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of the customers linked by urgent orders, as a property of all vertices."""
+    vertices, relationships = trade_graph.vertices(spark, sf_dir), trade_graph.relationships(spark, sf_dir)
+    return jobs.analyze(vertices, relationships, "1-URGENT", "pagerank")
+
+
 @query
 def analyze(spark, sf_dir):
-    """PageRank of the customers linked by urgent orders, as a property of all vertices."""
+    return micros(urgent_ranks(spark, sf_dir), "pagerank")
+
+
+@query
+def analyze_components(spark, sf_dir):
+    """Components of the customers linked by urgent orders, as a property of all vertices; -1 without such an order."""
+    vertices, relationships = trade_graph.vertices(spark, sf_dir), trade_graph.relationships(spark, sf_dir)
+    return jobs.analyze(vertices, relationships, "1-URGENT", "connected_components").fillna(-1, "connected_components")
+
+
+@query
+def analyze_partitions_components(spark, sf_dir):
+    """Components inside each nation; whole numbers stay whole numbers."""
     vertices, relationships = trade_graph.vertices(spark, sf_dir), trade_graph.relationships(spark, sf_dir)
-    return rounded_ranks(jobs.analyze(vertices, relationships, "1-URGENT", "pagerank"))
+    return jobs.analyze_partitions(vertices, relationships, "Nation", "HAS_CUSTOMER", "3-MEDIUM", "connected_components")
 
 
 @query
@@ -537,7 +555,7 @@ def analyze_partitions(spark, sf_dir):
 def recommend_from_query(spark, sf_dir):
     ratings = trade_graph.ratings(spark, sf_dir)
     old = recommend.rank_candidates(ratings.withColumnRenamed("rating", "score"), 3)
-    return jobs.recommend_from_query(spark, ratings, old.select("user", "item", "rank"), reg=0.1, iterations=5)
+    return jobs.recommend_from_query(spark, ratings, old.select("user", "item", "rank"), reg=0.1)
 
 
 @query
