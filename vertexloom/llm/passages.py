@@ -9,7 +9,7 @@ verified by their shingles.
 
 Windows of one signature are never compared all with all. Each task holds its windows against the first one there, a
 shuffle holds these first ones against the first of all, and those that differ from their partner go on to lists with
-twice the signatures.
+longer and longer signatures.
 """
 
 from __future__ import annotations
@@ -228,8 +228,23 @@ def aligned(x: np.ndarray, y: np.ndarray, window: dict) -> tuple[int, int, int,
     return (a, b, c, d, score) if score >= SIMILAR and b - a >= SIMILAR * LEAST else None
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per pair of documents: the windows that differ, and the passages that those alike add up to."""
+def longer_signature(sub: int, x: np.ndarray, window: dict, function: int) -> int:
+    """``sub`` together with the min-hash, under one more function, of the part of the window around its anchor."""
+    start = min(max(window["anchor"] - LEAST // 2, window["i0"]), window["i1"])
+    values = mixed(x[start : start + LEAST].astype(np.uint64) + np.uint64((function + 1) * 0xD1342543DE82EF95 % (1 << 64)))
+    total = np.array([sub], dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + values.min()
+    return int(mixed(total).view(np.int64)[0])
+
+
+def _verify(round_: int):
+    """Per pair of documents: the windows that differ, and the passages that those alike add up to. After the second round
+    a window that differs gets one more min-hash into its signature, so lists of many different texts fall apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _verified_batches(batches, round_)
+    return run
+
+
+def _verified_batches(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[kind])
                         for name, kind in (part.split() for part in VERIFIED.split(", "))])
     for batch in batches:
@@ -242,7 +257,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if span := aligned(x, y, window):
                     alike.append((window["lead_anchor"] - window["anchor"], *span[:4]))
                 else:
-                    found.append({**window, "row": row["row"], "lead": row["lead"], "matched": False})
+                    sub = longer_signature(window["sub"], x, window, round_) if round_ else window["sub"]
+                    found.append({**window, "sub": sub, "row": row["row"], "lead": row["lead"], "matched": False})
             for shift, a, b, c, d in alike:
                 if passages and passages[-1][0] == shift and a <= passages[-1][2]:
                     passages[-1][2], passages[-1][4] = max(b, passages[-1][2]), max(d, passages[-1][4])
@@ -283,7 +299,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     results = []
     while True:
-        verified = stored(_verified(pairs, known), "verified")
+        verified = stored(_verified(pairs, known, len(results)), "verified")
         results.append(verified.filter("matched"))
         differing = verified.filter("NOT matched")
         if differing.isEmpty():
@@ -297,13 +313,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return everything.select("doc_id", "start", "n_words", "source_doc_id", "source_start", "similarity", "row").distinct()
 
 
-def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, round_: int) -> DataFrame:
     window = F.struct("key", "sub", "i0", "i1", "anchor", "lead_sub", "lead_i0", "lead_i1", "lead_anchor")
     grouped = pairs.groupBy("row", "lead").agg(F.collect_set(window).alias("windows"))  # of two documents: as long as the shorter
     own = known
     source = known.select(F.col("row").alias("lead"), F.col("doc_id").alias("source_doc_id"), F.col("sequence").alias("source"))
     return arrow_map(grouped.join(own, "row").join(source, "lead").select(
-        "row", "lead", "windows", "doc_id", "sequence", "source_doc_id", "source"), _verify, VERIFIED)
+        "row", "lead", "windows", "doc_id", "sequence", "source_doc_id", "source"), _verify(round_), VERIFIED)
 
 
 def _next_pairs(differing: DataFrame, again: bool) -> DataFrame:
