@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm.common import arrow_map, stored
 
 LINKS_PER_TASK = 500_000
+FEW_LINKS = 20_000  # so many links or fewer are left to one task
 BLOOM_BITS = 25  # of a filter of ids: 4 MB, whatever the input
 
 
@@ -98,13 +99,14 @@ def components(links: DataFrame) -> DataFrame:
     A round replaces the links of each task by stars. Ids that are a star's centre in some task go on to the next round,
     linked with the first centre of each id that they share; all other ids hang on their first centre. "First" is by an
     order that is shuffled anew every round, so a constant share of the ids is expected to go in each, on long paths too.
-    Links are dealt out evenly, whatever their ids, and minima combine before the shuffle: no hub meets in one task.
+    Links are dealt out evenly, whatever their ids, and minima combine before the shuffle: no hub meets in one task. Only
+    when few links are left, a fixed number, one task ends the search.
     """
     a, b = links.columns
     links = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b"), "links")
     hanging: list[DataFrame] = []
     while size := links.count():
-        dealt = links.repartition(max(4, size // LINKS_PER_TASK + 1))
+        dealt = links.repartition(1 if size < FEW_LINKS else max(4, size // LINKS_PER_TASK + 1))
         forest = stored(arrow_map(dealt, _forest(len(hanging)), "id long, root long, rank long"), "forest")
         best = forest.groupBy("id").agg(F.min(F.struct("rank", "root"))["root"].alias("best"))
         chosen = stored(best.join(forest.select(F.col("root").alias("id")).distinct().withColumn("centre", F.lit(True)), "id", "left"), "chosen")
