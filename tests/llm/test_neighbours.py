@@ -36,7 +36,9 @@ def lowest_reachable(links) -> dict[int, int]:
     np.random.default_rng(1).integers(0, 900, (800, 2)).tolist(),
     [],
 ])
-def test_components(spark, links, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components(spark, links, monkeypatch, few):
+    monkeypatch.setattr("vertexloom.llm.linking.FEW_LINKS", few)
     expected = lowest_reachable([(a, b) for a, b in links if a != b])
     got = {row.id: row.component for row in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == expected
