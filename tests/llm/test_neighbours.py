@@ -284,3 +284,34 @@ def test_every_start_has_the_node_of_its_smallest_value():
     for a, b in zip(low, high):
         for s in range(a, b - 45):
             assert c[np.searchsorted(starts, s, side="right") - 1] == s + np.argmin(values[s : s + 46])
+
+
+def fresh_words(random, count: int) -> list[str]:
+    return [f"w{x}" for x in random.integers(0, 10**9, count)]
+
+
+def placed(passage: list[str], random) -> str:
+    return " ".join([*fresh_words(random, int(random.integers(20, 60))), *passage, *fresh_words(random, int(random.integers(20, 60)))])
+
+
+def named_documents(spark, texts: list[str]) -> set[int]:
+    found = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(row.similarity >= 0.8 for row in found)
+    return {row.doc_id for row in found} | {row.source_doc_id for row in found}
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_passages_among_many_texts_of_one_key(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    random = np.random.default_rng(5)
+    line = fresh_words(random, 24)
+    alone = [placed(line, random) for _ in range(120)]
+    pairs = []
+    for i in range(60):
+        own = [*fresh_words(random, 13), *line, *fresh_words(random, 13)]
+        other = list(own)
+        if i % 2:
+            other[6] = "edited"
+        pairs += [placed(own, random), placed(other, random)]
+    named = named_documents(spark, [*alone, *pairs])
+    assert named == set(range(120, 240))

@@ -1,15 +1,14 @@
-"""Near-duplicate passages by compact windows.
-
-A text is its sequence of shingles. Under a min-hash function, the node of the Cartesian tree over the hashes at place c
-with extent [l, r] stands for all subsequences within [l, r] that hold c: they share c's hash as signature (Deng, Li, Feng:
-"Near-duplicate sequence search at scale for large language model memorization evaluation", 2022). Subsequences of at
-least ``LEAST`` shingles cut a text into runs of starts with one node each; interval joins of the runs of several functions
-give windows whose subsequences share several signatures. Windows with equal signatures in different documents are
-verified by their shingles.
-
-Windows of one signature are never compared all with all. Each task holds its windows against the first one there, a
-shuffle holds these first ones against the first of all, and those that differ from their partner go on to lists with
-longer and longer signatures.
+"""Near-duplicate passages by exact runs and compact windows.
+
+A text is its sequence of shingles, a run is ``LEAST`` of them in a row. Under a min-hash function, the node of the
+Cartesian tree over the hashes at place c with extent [l, r] stands for all subsequences within [l, r] that hold c: they
+share c's hash as signature (Deng, Li, Feng: "Near-duplicate sequence search at scale for large language model
+memorization evaluation", 2022). So the runs of a text fall into windows of consecutive starts with one signature each.
+
+Equal runs have equal signatures under every function. The runs of windows whose first signature stands in two documents
+are dealt by a hash of their whole content: every run but that of one document has its source then, without any comparison.
+Of the runs that are left, no two in different documents are equal. Those that share a signature under any function are
+held against each other, all with all, in blocks; a block is first thinned by the number of shared shingles.
 """
 
 from __future__ import annotations
@@ -22,20 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
-from vertexloom.llm.linking import bloom_filter, maybe_in
-from vertexloom.llm.shingles import mixed, shingles, words
+from vertexloom.llm.linking import bloom_filter, maybe_in, runs
+from vertexloom.llm.shingles import _power, mixed, shingles, words
 
 SIZE = 5  # words in a shingle
 LEAST = 46  # shingles of the shortest passage: 50 words
 SIMILAR = 0.8
-BANDS = 2  # signatures of a window; each is of two functions, so that two bands take four
+FUNCTIONS = 4  # min-hash functions; runs are compared if they agree in one
+BLOCK = 1024  # windows of one signature that are held against as many others at once
 
-PLACE = ["sub", "row", "i0", "i1", "anchor"]
-LEAD = ["lead_sub", "lead", "lead_i0", "lead_i1", "lead_anchor"]
-PAIRS = ("key long, sub long, row long, i0 int, i1 int, anchor int, "
-         "lead_sub long, lead long, lead_i0 int, lead_i1 int, lead_anchor int")
-WINDOWS = f"deal long, {PAIRS}"
-VERIFIED = f"{PAIRS}, matched boolean, doc_id long, source_doc_id long, start int, n_words int, source_start int, similarity double"
+SIGNED = "key long, low long, high long, open boolean"
+RUNS = "run long, row long, start int, lead long, lead_start int"
+FOUND = "row long, start int, n int, lead long, lead_start int, similarity double"
+WINDOWS = "key long, row long, start int, anchor int, open long, content binary"
 
 
 # ---- windows of a batch of texts ----
@@ -84,41 +82,17 @@ def starts_of(tree: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> tu
     return start[order], c[order]
 
 
-def windows(values: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, bands: int) -> np.ndarray:
-    """Rows ``(key, sub, first start, last start, anchor)`` as 64 bit numbers, for the segments of one array of shingles.
-
-    ``key`` is the signature under two functions, ``sub`` that under the functions of the next band at the first start.
-    """
-    long = high - low >= least
+def signed(values: np.ndarray, low: np.ndarray, high: np.ndarray, function: int) -> tuple[np.ndarray, ...]:
+    """``(key, first start, last start, anchor)`` of the windows of all segments under one function, in order of place."""
+    long = high - low >= LEAST
     low, high = low[long], high[long]
-    if not len(low):
-        return np.empty((0, 5), dtype=np.int64)
-    trees, hashed = [], []
-    for function in range(2 * bands):
-        own = mixed(values ^ np.uint64((function + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-        hashed.append(own)
-        trees.append(starts_of(nodes(own, low, high, least), least))
-    joined = []
-    for band in range(bands):
-        a, b = trees[2 * band], trees[2 * band + 1]
-        start = np.union1d(a[0], b[0])
-        ca = a[1][np.searchsorted(a[0], start, side="right") - 1]
-        cb = b[1][np.searchsorted(b[0], start, side="right") - 1]
-        key = mixed(hashed[2 * band][ca] * np.uint64(0x9E3779B97F4A7C15) + hashed[2 * band + 1][cb] + np.uint64(band))
-        segment = np.searchsorted(low, start, side="right") - 1
-        end = np.minimum(np.append(start[1:], high[-1]) - 1, high[segment] - least)
-        # Text that repeats itself has one key for long: one window per `least` starts.
-        fresh = np.append(True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1]))
-        part = (start - start[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]) // least
-        opens = np.flatnonzero(fresh | np.append(False, part[1:] != part[:-1]))
-        last = np.append(opens[1:], len(key)) - 1
-        joined.append((start[opens], end[last], ca[opens], key[opens]))
-    rows = []
-    for band, (start, end, anchor, key) in enumerate(joined):
-        other = joined[(band + 1) % bands]
-        sub = other[3][np.searchsorted(other[0], start, side="right") - 1]
-        rows.append(np.stack([key.view(np.int64), sub.view(np.int64), start, end, anchor], axis=1))
-    return np.concatenate(rows)
+    own = mixed(values ^ np.uint64((function + 1) * 0xD1342543DE82EF95 % (1 << 64)))
+    start, c = starts_of(nodes(own, low, high, LEAST), LEAST)
+    if not len(start):
+        return own[:0].view(np.int64), start, start, c
+    segment = np.searchsorted(low, start, side="right") - 1
+    end = np.minimum(np.append(start[1:], high[-1]) - 1, high[segment] - LEAST)
+    return own[c].view(np.int64), start, end, c
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,147 +102,321 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, np.searchsorted(owner, np.arange(len(texts))), np.searchsorted(owner, np.arange(len(texts)), side="right")
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of a task. Of those with one key, the first stands for the others, which are held against it."""
+def _per_key(made: list[np.ndarray]) -> pa.RecordBatch:
+    """Lowest and highest row of each key of a task, and whether a start is open there, from ``(key, row, open)``."""
+    rows = np.concatenate(made) if made else np.empty((0, 3), dtype=np.int64)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    at = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)])
+    last = np.append(at[1:], len(rows)) - 1 if len(at) else at
+    some = np.maximum.reduceat(rows[:, 2], at) > 0 if len(at) else np.empty(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[at, 0], rows[at, 1], rows[last, 1], some)], ["key", "low", "high", "open"])
+
+
+def _shared(parts: DataFrame, name: str) -> np.ndarray:
+    """A filter of the keys that stand in two documents, with an open start."""
+    keys = parts.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
+    return bloom_filter(stored(keys.filter("low <> high AND open").select("key"), name))
+
+
+# ---- equal runs ----
+
+
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made: list[np.ndarray] = []
     for batch in slices(batches, "text", 1_000_000):
         values, low, high = sequences(batch.column("text").cast(pa.binary()).to_pylist())
-        rows = windows(values, low, high, LEAST, BANDS)
-        long = np.flatnonzero(high - low >= LEAST)
-        owner = long[np.searchsorted(low[long], rows[:, 2], side="right") - 1] if len(rows) else np.empty(0, np.int64)
-        rows[:, 2:] -= low[owner][:, None]
-        made.append(np.column_stack([rows[:, :2], batch.column("row").to_numpy()[owner], rows[:, 2:]]))
-    rows = np.concatenate(made) if made else np.empty((0, 6), dtype=np.int64)
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 0]))]
-    opens = np.append(True, rows[1:, 0] != rows[:-1, 0]) if len(rows) else np.empty(0, bool)
-    leader = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(rows) else np.empty(0, np.int64)
-    follower = rows[:, 2] != rows[leader, 2]  # a passage that repeats within the first document has no partner there
-    for part in np.array_split(np.arange(len(rows)), max(1, len(rows) // 50_000)):
-        own, lead, follows = rows[part], rows[leader[part]], follower[part]
-        deal = np.where(follows, mixed((own[:, 0] ^ own[:, 2]).view(np.uint64)).view(np.int64), own[:, 0])
-        kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
-        columns = [deal, own[:, 0], *[own[:, i + 1].astype(kind) for i, kind in enumerate(kinds)]]
-        leads = [pa.array(lead[:, i + 1].astype(kind), mask=~follows) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *leads], ["deal", "key", *PLACE, *LEAD])
-
-
-def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: hold each window without a partner against the first of its key; others pass."""
-    names = ["key", *PLACE, *LEAD]
-    last: tuple | None = None
+        key, start, _, _ = signed(values, low, high, 0)
+        row = batch.column("row").to_numpy()[_owner(low, high, start)]
+        made.append(np.stack([key, row, np.ones(len(key), dtype=np.int64)], axis=1))
+    yield _per_key(made)
+
+
+def _owner(low: np.ndarray, high: np.ndarray, start: np.ndarray) -> np.ndarray:
+    long = np.flatnonzero(high - low >= LEAST)
+    return long[np.searchsorted(low[long], start, side="right") - 1] if len(start) else np.empty(0, np.int64)
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of the ``LEAST`` shingles from each start on."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power("up", len(values)), out=total[1:])
+    return mixed((total[start + LEAST] - total[start]) * _power("down", len(values))[start]).view(np.int64)
+
+
+def _equal_runs(bloom: np.ndarray):
+    """Runs that may stand in two documents. The first document of a task that has a run is the source of the others there;
+    its own runs have no source yet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [np.empty((0, 3), dtype=np.int64)]
+        for batch in slices(batches, "text", 1_000_000):
+            values, low, high = sequences(batch.column("text").cast(pa.binary()).to_pylist())
+            key, first, last, _ = signed(values, low, high, 0)
+            keep = maybe_in(bloom, key)
+            first, n = first[keep], (last - first + 1)[keep]
+            start = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            if len(start):
+                owner = _owner(low, high, start)
+                made.append(np.stack([run_hashes(values, start), batch.column("row").to_numpy()[owner], start - low[owner]], axis=1))
+        rows = np.concatenate(made)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        leader = _leaders(rows[:, 0])
+        for at in range(0, len(rows), 50_000):
+            own, lead = rows[at : at + 50_000], rows[leader[at : at + 50_000]]
+            none = own[:, 1] == lead[:, 1]
+            yield _run_batch(own, lead, none)
+    return run
+
+
+def _leaders(run: np.ndarray) -> np.ndarray:
+    opens = np.append(True, run[1:] != run[:-1])[: len(run)]
+    return np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(run) else np.empty(0, np.int64)
+
+
+def _run_batch(own: np.ndarray, lead: np.ndarray, none: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(own[:, 2].astype(np.int32)),
+               pa.array(lead[:, 1], mask=none), pa.array(lead[:, 2].astype(np.int32), mask=none)]
+    return pa.RecordBatch.from_arrays(columns, ["run", "row", "start", "lead", "lead_start"])
+
+
+def _first_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without a source, sorted by run, row and start: the first document of a run is the source of the others."""
+    last = np.empty((0, 3), dtype=np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        free = np.flatnonzero(batch.column("lead").is_null().to_numpy(zero_copy_only=False))
-        taken = batch.filter(batch.column("lead").is_valid())
-        if taken.num_rows:
-            yield taken.select(names)
-        if not len(free):
+        rows = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in ("run", "row", "start")], axis=1)
+        rows = np.concatenate([last, rows])
+        leader = _leaders(rows[:, 0])
+        other = np.flatnonzero(rows[:, 1] != rows[leader, 1])  # a passage that repeats within the first document has no source there
+        other = other[other >= len(last)]
+        last = rows[leader[-1] :][:1]
+        if len(other):
+            yield _run_batch(rows[other], rows[leader[other]], np.zeros(len(other), dtype=bool))
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages that the runs of each document add up to; rows come sorted by document and start."""
+    for table in runs(batches, ["row"]):
+        start, lead, source = (table.column(name).to_numpy().astype(np.int64) for name in ("start", "lead", "lead_start"))
+        fresh = np.append(True, start[1:] != start[:-1])
+        start, lead, source = start[fresh], lead[fresh], source[fresh]
+        cuts = np.flatnonzero((np.diff(start) != 1) | (np.diff(lead) != 0) | (np.diff(source) != 1)) + 1
+        first, end = np.append(0, cuts), np.append(cuts, len(start))
+        made: list[list[int]] = []
+        for a, b in zip(first.tolist(), end.tolist()):
+            n, before = b - a, made[-1] if made else None
+            # Text that repeats itself has runs that all point to the same few of its source.
+            if before and before[2] == lead[a] and before[0] + before[1] == start[a] and before[3] <= source[a] and source[a] + n <= before[3] + before[4]:
+                before[1] += n
+            else:
+                made.append([int(start[a]), n, int(lead[a]), int(source[a]), n])
+        row = table.column("row")[0].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row] * len(made), pa.int64()), pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] + LEAST - 1 for x in made], pa.int32()),
+             pa.array([x[2] for x in made], pa.int64()), pa.array([x[3] for x in made], pa.int32()), pa.array(np.ones(len(made)))],
+            ["row", "start", "n", "lead", "lead_start", "similarity"])
+
+
+# ---- windows of what is left ----
+
+
+def _left(batch: pa.RecordBatch, functions: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per function ``(key, owner, first, n, anchor, open)`` of the windows without runs that have an equal source, and the
+    shingles and where each text begins among them. ``open`` has a bit per start: not set where at least ``SIMILAR`` of
+    the run lie in a passage that is known."""
+    values, low, high = sequences(batch.column("text").cast(pa.binary()).to_pylist())
+    gone, known = np.zeros(len(values) + 1, dtype=np.int64), np.zeros(len(values) + 1, dtype=np.int64)
+    for i, spans in enumerate(batch.column("spans").to_pylist()):
+        for span in spans or ():
+            a, n = low[i] + span["start"], span["n"]
+            gone[a] += 1
+            gone[a + n - LEAST + 1] -= 1
+            edge = LEAST - int(np.ceil(SIMILAR * LEAST))
+            known[max(low[i], a - edge)] += 1
+            known[min(high[i], a + n - LEAST + 1 + edge)] -= 1
+    gone, known = np.cumsum(gone) > 0, np.cumsum(known) > 0
+    for function in range(functions):
+        key, first, last, anchor = signed(values, low, high, function)
+        n = last - first + 1
+        start = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        window = np.repeat(np.arange(len(first)), n)
+        keep = ~gone[start]
+        start, window = start[keep], window[keep]
+        if not len(start):
             continue
-        own = batch.take(pa.array(free))
-        columns = [own.column(name).to_numpy() for name in ("key", *PLACE)]
-        if last is not None:
-            columns = [np.append(x, y) for x, y in zip(last, columns)]
-        key = columns[0]
-        opens = np.append(True, key[1:] != key[:-1])
-        leader = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-        last = tuple(column[leader[-1] :][:1] for column in columns)
-        row = columns[2]
-        pair = np.flatnonzero(row != row[leader])
-        pair = pair[pair >= len(key) - len(free)]
-        if len(pair):
-            kept = own.take(pa.array(pair - (len(key) - len(free))))
-            leads = [pa.array(column[leader[pair]]) for column in columns[1:]]
-            yield pa.RecordBatch.from_arrays([*[kept.column(name) for name in names[:6]], *leads], names)
-
-
-# ---- verification ----
-
-
-def _sequences(bloom: np.ndarray):
-    """The shingle sequence, 32 bits each, of documents that may be asked for."""
+        at = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(window) != 0)))
+        size = np.diff(np.append(at, len(start)))
+        bit = (start - np.repeat(start[at], size)).astype(np.uint64)
+        mask = np.bitwise_or.reduceat(np.where(known[start], np.uint64(0), np.uint64(1) << bit), at).view(np.int64)
+        own = window[at]
+        yield key[own], _owner(low, high, start[at]), start[at], size, anchor[own], mask, values, low
+
+
+def _left_keys(functions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[np.ndarray] = []
+        for batch in slices(batches, "text", 1_000_000):
+            for key, owner, _, _, _, mask, _, _ in _left(batch, functions):
+                made.append(np.stack([key, batch.column("row").to_numpy()[owner], mask != 0], axis=1))
+        yield _per_key(made)
+    return run
+
+
+def _left_windows(bloom: np.ndarray, functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            own = batch.filter(pa.array(maybe_in(bloom, batch.column("row").to_numpy())))
-            if not own.num_rows:
-                continue
-            values, low, high = sequences(own.column("text").cast(pa.binary()).to_pylist())
-            short = (values >> np.uint64(32)).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [own.column("row"), own.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(low, high)], pa.binary())],
-                ["row", "doc_id", "sequence"])
+            for key, owner, first, n, anchor, mask, values, low in _left(batch, functions):
+                keep = np.flatnonzero(maybe_in(bloom, key))
+                owner, first, n = owner[keep], first[keep], n[keep]
+                short = (values >> np.uint64(32)).astype("<u4")
+                content = [short[a : a + m + LEAST - 1].tobytes() for a, m in zip(first.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[keep]), batch.column("row").take(pa.array(owner)), pa.array((first - low[owner]).astype(np.int32)),
+                     pa.array((anchor[keep] - low[owner]).astype(np.int32)), pa.array(mask[keep]), pa.array(content, pa.binary())],
+                    ["key", "row", "start", "anchor", "open", "content"])
     return run
 
 
+# ---- runs that are alike ----
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     one, two = np.unique(a), np.unique(b)
     both = len(np.intersect1d(one, two, assume_unique=True))
     return both / max(1, len(one) + len(two) - both)
 
 
-def aligned(x: np.ndarray, y: np.ndarray, window: dict) -> tuple[int, int, int, int, float] | None:
-    """``(start, end, source start, source end, similarity)`` of the shared part of two windows, or None.
+def _before(x: np.ndarray) -> np.ndarray:
+    """Place of the same number further left, -1 without one."""
+    order = np.argsort(x, kind="stable")
+    result = np.full(len(x), -1)
+    same = np.flatnonzero(x[order][1:] == x[order][:-1])
+    result[order[same + 1]] = order[same]
+    return result
 
-    Of a window only the part counts that its partner's extent allows, less ends that the partner does not have.
-    """
-    shift = window["lead_anchor"] - window["anchor"]
-    a = max(window["i0"], window["lead_i0"] - shift, 0)
-    b = min(window["i1"] + LEAST, window["lead_i1"] + LEAST - shift, len(x))
-    c, d = max(0, a + shift), min(len(y), b + shift)
-    own, other = x[a:b], y[c:d]
-    if len(own) == len(other) and np.array_equal(own, other):
-        return (a, b, c, d, 1.0) if b - a >= LEAST else None
-    shared = np.flatnonzero(np.isin(own, other))
-    if not len(shared):
-        return None
-    a, b = a + int(shared[0]), a + int(shared[-1]) + 1
-    shared = np.flatnonzero(np.isin(other, x[a:b]))
-    c, d = c + int(shared[0]), c + int(shared[-1]) + 1
-    score = similarity(x[a:b], y[c:d])
-    return (a, b, c, d, score) if score >= SIMILAR and b - a >= SIMILAR * LEAST else None
-
-
-def longer_signature(sub: int, x: np.ndarray, window: dict, function: int) -> int:
-    """``sub`` together with the min-hash, under one more function, of the part of the window around its anchor."""
-    start = min(max(window["anchor"] - LEAST // 2, window["i0"]), window["i1"])
-    values = mixed(x[start : start + LEAST].astype(np.uint64) + np.uint64((function + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-    total = np.array([sub], dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + values.min()
-    return int(mixed(total).view(np.int64)[0])
-
-
-def _verify(round_: int):
-    """Per pair of documents: the windows that differ, and the passages that those alike add up to. After the second round
-    a window that differs gets one more min-hash into its signature, so lists of many different texts fall apart."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _verified_batches(batches, round_)
-    return run
 
+def run_similarities(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarity of every run of ``x`` with every run of ``y``.
 
-def _verified_batches(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}[kind])
-                        for name, kind in (part.split() for part in VERIFIED.split(", "))])
-    for batch in batches:
-        found = []
-        for row in batch.to_pylist():
-            x, y = np.frombuffer(row["sequence"], dtype="<u4"), np.frombuffer(row["source"], dtype="<u4")
-            passages: list[list[int]] = []
-            alike = []
-            for window in sorted(row["windows"], key=lambda w: (w["lead_anchor"] - w["anchor"], w["i0"])):
-                if span := aligned(x, y, window):
-                    alike.append((window["lead_anchor"] - window["anchor"], *span[:4]))
-                else:
-                    sub = longer_signature(window["sub"], x, window, round_) if round_ else window["sub"]
-                    found.append({**window, "sub": sub, "row": row["row"], "lead": row["lead"], "matched": False})
-            for shift, a, b, c, d in alike:
-                if passages and passages[-1][0] == shift and a <= passages[-1][2]:
-                    passages[-1][2], passages[-1][4] = max(b, passages[-1][2]), max(d, passages[-1][4])
-                else:
-                    passages.append([shift, a, b, c, d])
-            found += [{"row": row["row"], "lead": row["lead"], "matched": True, "doc_id": row["doc_id"], "source_doc_id": row["source_doc_id"],
-                       "start": a, "n_words": b - a + SIZE - 1, "source_start": c, "similarity": similarity(x[a:b], y[c:d])}
-                      for _, a, b, c, d in passages]
+    A shingle counts at its first place in a run: for the starts after its last place before, up to itself.
+    """
+    starts_x, starts_y = len(x) - LEAST + 1, len(y) - LEAST + 1
+    before_x, before_y = _before(x), _before(y)
+
+    def span(p, before, starts):
+        low = np.maximum(np.maximum(before[p], p - LEAST) + 1, 0)
+        return np.minimum(low, starts), np.maximum(np.minimum(p + 1, starts), np.minimum(low, starts))
+
+    def sizes(before, starts):
+        a, b = span(np.arange(len(before)), before, starts)
+        return np.cumsum(np.bincount(a, minlength=starts + 1) - np.bincount(b, minlength=starts + 1))[:starts]
+    p, q = np.nonzero(x[:, None] == y)
+    (a, b), (c, d) = span(p, before_x, starts_x), span(q, before_y, starts_y)
+    wide = starts_y + 1
+    corner = lambda i, j: np.bincount(i * wide + j, minlength=(starts_x + 1) * wide)
+    both = (corner(a, c) - corner(a, d) - corner(b, c) + corner(b, d)).reshape(starts_x + 1, wide)
+    both = both.cumsum(axis=0).cumsum(axis=1)[:starts_x, :starts_y]
+    return both / (sizes(before_x, starts_x)[:, None] + sizes(before_y, starts_y) - both)
+
+
+def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """``(start, end, source start, source end, similarity)`` of passages of ``x`` with open starts that are alike one of ``y``."""
+    scores = run_similarities(x, y)
+    best = scores.argmax(axis=1)
+    score = scores[np.arange(len(scores)), best]
+    hits = np.flatnonzero((score >= SIMILAR) & open_)
+    found = []
+    for part in np.split(hits, np.flatnonzero(np.diff(hits) != 1) + 1) if len(hits) else ():
+        top = part[np.argmax(score[part])]
+        spans = [(part[0], part[-1] + LEAST, best[part].min(), best[part].max() + LEAST), (top, top + LEAST, best[top], best[top] + LEAST)]
+        for a, b, c, d in spans:
+            shared = np.flatnonzero(np.isin(x[a:b], y[c:d]))  # less ends that the other does not have
+            a, b = int(a + shared[0]), int(a + shared[-1] + 1)
+            shared = np.flatnonzero(np.isin(y[c:d], x[a:b]))
+            c, d = int(c + shared[0]), int(c + shared[-1] + 1)
+            if (result := similarity(x[a:b], y[c:d])) >= SIMILAR:
+                found.append((a, b, c, d, result))
+                break
+    return found
+
+
+def fewest_distinct(x: np.ndarray) -> int:
+    """The number of different shingles in the run of ``x`` that has the fewest."""
+    before, starts = _before(x), len(x) - LEAST + 1
+    if (before < 0).all():
+        return LEAST
+    return min(len(np.unique(x[s : s + LEAST])) for s in range(starts))
+
+
+def _presence(contents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which windows hold each shingle that several have, and the line of each shingle there; the last line is empty."""
+    sizes = np.array([len(x) for x in contents])
+    values, line, count = np.unique(np.concatenate(contents), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count > 1)
+    order = np.full(len(values), len(several))
+    order[several] = np.arange(len(several))
+    line = order[line]
+    present = np.zeros((len(several) + 1, len(contents)), dtype=np.uint8)
+    present[line, np.repeat(np.arange(len(sizes)), sizes)] = 1
+    present[-1] = 0
+    return present, np.split(line, np.cumsum(sizes)[:-1])
+
+
+def _block_matches(table: pa.Table) -> list[tuple]:
+    """Passages of two blocks of windows with one signature, each with a source in a document further up in the order.
+
+    A window goes through the sources until no start is open. A source is looked at if it has enough shingles of one of the
+    runs that are still open.
+    """
+    row, start, mask = (table.column(name).to_numpy().astype(np.int64) for name in ("row", "start", "open"))
+    block = table.column("block").to_numpy()
+    if row.min() == row.max() or not mask.any():
+        return []
+    contents = [np.frombuffer(x, dtype="<u4") for x in table.column("content").to_pylist()]
+    least = np.array([fewest_distinct(x) for x in contents])
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    present, lines = _presence(contents)
+    result = []
+    for i in np.flatnonzero(mask != 0).tolist():
+        x = contents[i]
+        open_ = (mask[i : i + 1].view(np.uint64) >> np.arange(len(x) - LEAST + 1, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        sources = np.flatnonzero((row < row[i]) & ((block != block[i]) | (low == high)))
+        if not len(sources):
+            continue
+        held = np.zeros((len(x) + 1, len(sources)), dtype=np.int16)
+        np.cumsum(present[lines[i]][:, sources], axis=0, out=held[1:])
+        # Runs of m and n different shingles that are alike share SIMILAR / (1 + SIMILAR) * (m + n) or more.
+        enough = held[LEAST:] - held[:-LEAST] >= SIMILAR / (1 + SIMILAR) * (least[i] + least[sources]) - 1e-3
+        next_ = 0
+        while open_.any():
+            candidates = np.flatnonzero(enough[open_, next_:].any(axis=0))
+            if not len(candidates):
+                break
+            for candidate in candidates.tolist():
+                j = sources[next_ + candidate]
+                if found := alike(x, contents[j], open_):
+                    break
+            s = np.arange(len(open_))
+            for a, b, c, d, score in found:
+                result.append((int(row[i]), int(start[i] + a), b - a, int(row[j]), int(start[j] + c), score))
+                open_ &= np.minimum(b, s + LEAST) - np.maximum(a, s) < SIMILAR * LEAST
+            next_ += candidate + 1
+    return result
+
+
+def _matches(groups: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in FOUND.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+        found: list[tuple] = []
+        for table in runs(batches, groups):
+            found += _block_matches(table)
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], names)
+                found = []
         if found:
-            yield pa.RecordBatch.from_pylist(found, schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], names)
+    return run
 
 
 # ---- the job ----
@@ -281,60 +429,52 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", row_key(F.col("doc_id"), F.col("text")))
 
 
+def equal_passages(rows: DataFrame) -> DataFrame:
+    """Passages of equal runs: of each run that stands in several documents, one keeps it and is the others' source."""
+    text = rows.select("row", "text")
+    bloom = _shared(arrow_map(text, _first_keys, SIGNED), "first_keys")
+    found = stored(arrow_map(text, _equal_runs(bloom), RUNS), "runs")
+    firsts = found.filter("lead IS NULL").select("run", "row", "start")
+    firsts = arrow_map(firsts.repartition("run").sortWithinPartitions("run", "row", "start"), _first_of_all, RUNS)
+    pairs = found.filter("lead IS NOT NULL").unionByName(firsts).select("row", "start", "lead", "lead_start")
+    return stored(arrow_map(pairs.repartition("row").sortWithinPartitions("row", "start", "lead", "lead_start"), _joined_runs, FOUND), "equal")
+
+
+def alike_passages(rows: DataFrame, equal: DataFrame) -> DataFrame:
+    """Passages of runs that are alike, among the runs that have no equal source."""
+    spans = equal.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    text = stored(rows.select("row", "text").join(spans, "row", "left"), "texts")
+    bloom = _shared(arrow_map(text, _left_keys(FUNCTIONS), SIGNED), "left_keys")
+    left = stored(arrow_map(text, _left_windows(bloom, FUNCTIONS), WINDOWS), "windows")
+    lists = left.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("row").alias("least"), F.max("row").alias("most"), F.max(F.col("open") != 0).alias("some"))
+    lists = lists.filter("least <> most AND some").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    groups = ["key", "low", "high"]
+    dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "row", "start")
+    return stored(arrow_map(dealt, _matches(groups), FOUND).distinct(), "alike")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, n_words, source_doc_id, source_start, similarity, row)``: a passage and its partner elsewhere.
 
-    Documents that share a passage of 50 words or more are in a row as ``doc_id`` or as ``source_doc_id``: equal passages
-    have equal signatures throughout, others with a shingle similarity of at least 0.8 by chance. A window that is alike its
-    partner is not held against further ones. So a passage is reported with one source per part, not with all others, and
-    its edges reach as far as it and that source agree. Sources come before the passages that point to them in one fixed
-    order: chains end in a document that keeps its copy. ``start`` and ``n_words`` count lower-cased words between white space. Null, empty and
-    short texts have no passages; rows with equal id and text count once; other columns are not read.
+    Every run of 50 words that stands in several documents is in a row for each of them but one, which is its source. Other
+    runs of 50 words with a shingle similarity of at least 0.8 are compared if they agree in one of ``FUNCTIONS``
+    min-hashes, all with all; what lies by four fifths in a passage that is reported is not looked at again. So
+    a passage is reported with one source per part, not with all others, and its edges reach as far as it and that source
+    agree. Sources come before the passages that point to them in one fixed order: chains end in a document that keeps its
+    copy. ``start`` and ``n_words`` count lower-cased words between white space. Null, empty and short texts have no
+    passages; rows with equal id and text count once; other columns are not read.
     """
     rows = keyed_rows(docs)
-    made = arrow_map(rows.select("row", "text"), _windows, WINDOWS)
-    pairs = stored(arrow_map(made.repartition("deal").sortWithinPartitions("deal", "key", "row", "i0"), _with_first, PAIRS), "pairs")
-    asked = pairs.select("row").unionByName(pairs.select(F.col("lead").alias("row"))).distinct()
-    known = stored(arrow_map(rows, _sequences(bloom_filter(asked)), "row long, doc_id long, sequence binary").dropDuplicates(["row"]), "sequences")
-
-    results = []
-    while True:
-        verified = stored(_verified(pairs, known, len(results)), "verified")
-        results.append(verified.filter("matched"))
-        differing = verified.filter("NOT matched")
-        if differing.isEmpty():
-            break
-        pairs = stored(_next_pairs(differing, len(results) == 1), "pairs")
-        if pairs.isEmpty():
-            break
-    everything = results[0]
-    for result in results[1:]:
-        everything = everything.unionByName(result)
-    return everything.select("doc_id", "start", "n_words", "source_doc_id", "source_start", "similarity", "row").distinct()
-
-
-def _verified(pairs: DataFrame, known: DataFrame, round_: int) -> DataFrame:
-    window = F.struct("key", "sub", "i0", "i1", "anchor", "lead_sub", "lead_i0", "lead_i1", "lead_anchor")
-    grouped = pairs.groupBy("row", "lead").agg(F.collect_set(window).alias("windows"))  # of two documents: as long as the shorter
-    own = known
-    source = known.select(F.col("row").alias("lead"), F.col("doc_id").alias("source_doc_id"), F.col("sequence").alias("source"))
-    return arrow_map(grouped.join(own, "row").join(source, "lead").select(
-        "row", "lead", "windows", "doc_id", "sequence", "source_doc_id", "source"), _verify(round_), VERIFIED)
-
-
-def _next_pairs(differing: DataFrame, again: bool) -> DataFrame:
-    """Windows that differ from their partner, held against the first one that has both signatures with them.
-
-    After the first round partners take part again: there, windows of different tasks had different partners.
-    """
-    pool = differing.select("key", *PLACE)
-    if again:
-        pool = pool.unionByName(differing.select("key", *[F.col(lead).alias(name) for lead, name in zip(LEAD, PLACE)])).distinct()
-    first = pool.groupBy("key", "sub").agg(
-        F.min(F.struct("row", "i0", "i1", "anchor")).alias("first"), F.max("row").alias("last")).filter("first.row <> last")
-    joined = pool.join(first, ["key", "sub"]).filter("row <> first.row")
-    return joined.select("key", *PLACE, F.col("sub").alias("lead_sub"), F.col("first.row").alias("lead"), F.col("first.i0").alias("lead_i0"),
-                         F.col("first.i1").alias("lead_i1"), F.col("first.anchor").alias("lead_anchor"))
+    equal = equal_passages(rows)
+    found = equal.unionByName(alike_passages(rows, equal))
+    known = rows.select("row", "doc_id").dropDuplicates(["row"])
+    named = found.join(known, "row").join(known.select(F.col("row").alias("lead"), F.col("doc_id").alias("source_doc_id")), "lead")
+    return named.select("doc_id", "start", (F.col("n") + SIZE - 1).alias("n_words"), "source_doc_id",
+                        F.col("lead_start").alias("source_start"), "similarity", "row").distinct()
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
