@@ -315,3 +315,13 @@ def test_passages_among_many_texts_of_one_key(spark, monkeypatch, block):
         pairs += [placed(own, random), placed(other, random)]
     named = named_documents(spark, [*alone, *pairs])
     assert named == set(range(120, 240))
+
+
+def test_passages_of_fifty_words_led_by_another_text(spark):
+    random = np.random.default_rng(6)
+    texts = []
+    for _ in range(40):
+        shared = fresh_words(random, 20)
+        own = [*fresh_words(random, 15), *shared, *fresh_words(random, 15)]
+        texts += [placed(own, random), placed(own, random), *[placed(shared, random) for _ in range(3)]]
+    assert named_documents(spark, texts) == {i for i in range(200) if i % 5 < 2}
