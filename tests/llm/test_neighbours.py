@@ -325,3 +325,13 @@ def test_passages_of_fifty_words_led_by_another_text(spark):
         own = [*fresh_words(random, 15), *shared, *fresh_words(random, 15)]
         texts += [placed(own, random), placed(own, random), *[placed(shared, random) for _ in range(3)]]
     assert named_documents(spark, texts) == {i for i in range(200) if i % 5 < 2}
+
+
+def test_recall_of_short_edited_passages(spark):
+    random = np.random.default_rng(7)
+    texts = []
+    for _ in range(200):
+        own = fresh_words(random, 50)
+        texts += [placed(own, random), placed([*own[:25], "edited", *own[26:]], random)]
+    assert passages.FUNCTIONS == 6 and 0.2**6 <= passages.MISSED
+    assert named_documents(spark, texts) == set(range(400))

@@ -13,6 +13,7 @@ held against each other, all with all, in blocks; a block is first thinned by th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from vertexloom.llm.shingles import _power, mixed, shingles, words
 SIZE = 5  # words in a shingle
 LEAST = 46  # shingles of the shortest passage: 50 words
 SIMILAR = 0.8
-FUNCTIONS = 4  # min-hash functions; runs are compared if they agree in one
+MISSED = 1e-4  # chance that two runs just at the threshold agree under no min-hash function and are never compared
+FUNCTIONS = math.ceil(math.log(MISSED) / math.log(1 - SIMILAR))
 BLOCK = 1024  # windows of one signature that are held against as many others at once
 
 SIGNED = "key long, low long, high long, open boolean"
@@ -462,7 +464,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Every run of 50 words that stands in several documents is in a row for each of them but one, which is its source. Other
     runs of 50 words with a shingle similarity of at least 0.8 are compared if they agree in one of ``FUNCTIONS``
-    min-hashes, all with all; what lies by four fifths in a passage that is reported is not looked at again. So
+    min-hashes (``MISSED``), all with all; what lies by four fifths in a passage that is reported is not looked at again. So
     a passage is reported with one source per part, not with all others, and its edges reach as far as it and that source
     agree. Sources come before the passages that point to them in one fixed order: chains end in a document that keeps its
     copy. ``start`` and ``n_words`` count lower-cased words between white space. Null, empty and short texts have no
