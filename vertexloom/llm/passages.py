@@ -31,6 +31,7 @@ SIMILAR = 0.8
 MISSED = 1e-4  # chance that two runs just at the threshold agree under no min-hash function and are never compared
 FUNCTIONS = math.ceil(math.log(MISSED) / math.log(1 - SIMILAR))
 BLOCK = 1024  # windows of one signature that are held against as many others at once
+COLUMNS = 4096  # shingles that are counted at once
 
 SIGNED = "key long, low long, high long, open boolean"
 RUNS = "run long, row long, start int, lead long, lead_start int"
@@ -364,6 +365,15 @@ def _presence(contents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]
     return present, np.split(line, np.cumsum(sizes)[:-1])
 
 
+def _overlaps(present: np.ndarray) -> np.ndarray:
+    """The number of shingles that every two windows share."""
+    total = np.zeros((present.shape[1], present.shape[1]), dtype=np.float32)
+    for at in range(0, len(present), COLUMNS):
+        part = present[at : at + COLUMNS].astype(np.float32)
+        total += part.T @ part
+    return total
+
+
 def _block_matches(table: pa.Table) -> list[tuple]:
     """Passages of two blocks of windows with one signature, each with a source in a document further up in the order.
 
@@ -378,16 +388,20 @@ def _block_matches(table: pa.Table) -> list[tuple]:
     least = np.array([fewest_distinct(x) for x in contents])
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     present, lines = _presence(contents)
+    # Runs of m and n different shingles that are alike share SIMILAR / (1 + SIMILAR) * (m + n) or more, and so do their windows.
+    possible = _overlaps(present) >= SIMILAR / (1 + SIMILAR) * (least[:, None] + least) - 1e-3
+    possible &= row < row[:, None]
+    if low != high:
+        possible &= block != block[:, None]
     result = []
     for i in np.flatnonzero(mask != 0).tolist():
         x = contents[i]
         open_ = (mask[i : i + 1].view(np.uint64) >> np.arange(len(x) - LEAST + 1, dtype=np.uint64) & np.uint64(1)).astype(bool)
-        sources = np.flatnonzero((row < row[i]) & ((block != block[i]) | (low == high)))
+        sources = np.flatnonzero(possible[i])
         if not len(sources):
             continue
         held = np.zeros((len(x) + 1, len(sources)), dtype=np.int16)
-        np.cumsum(present[lines[i]][:, sources], axis=0, out=held[1:])
-        # Runs of m and n different shingles that are alike share SIMILAR / (1 + SIMILAR) * (m + n) or more.
+        np.cumsum(present[lines[i][:, None], sources], axis=0, out=held[1:])
         enough = held[LEAST:] - held[:-LEAST] >= SIMILAR / (1 + SIMILAR) * (least[i] + least[sources]) - 1e-3
         next_ = 0
         while open_.any():
