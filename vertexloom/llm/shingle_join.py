@@ -1,8 +1,8 @@
 """Jaccard join of shingle sets with set-relation skipping.
 
 Sets that are equal are one set. Shingles are ordered from rare to frequent, and two sets that are similar enough share
-one among the first few of each (prefix filter): these make inverted lists. A list is read in blocks by position, and
-blocks whose sizes and positions leave too little room for the overlap are skipped. Every set of a list is first compared
+one among the first few of each (prefix filter): these make inverted lists. A list is read in blocks: sets
+whose sizes rule out a link are left out, and pairs whose positions leave too little room for the overlap are masked. Every set of a list is first compared
 with one leading set; its overlap with the leader bounds its overlap with any other set of which the leader's is known, so
 the answers of a set follow from those of a similar one but for the pairs that the bounds leave open (after Wang, Qin,
 Lin, Zhang, Chang: "Leveraging set relations in exact and dynamic set similarity join", 2017).
@@ -349,7 +349,7 @@ def _block_pairs(rows: pa.Table) -> np.ndarray:
     step = 64
     for at in range(0, len(left), step):
         i = left[at : at + step]
-        # Skip the tail of the list from where even the largest room of this block is too small.
+        # Leave out sets that are too small or too large for all of this step; places only mask pairs below.
         j = right[(n[right] * OF >= n[i].min() * SHARE) & (n[right] * SHARE <= n[i].max() * OF)]
         if not len(j):
             continue
