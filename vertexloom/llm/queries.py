@@ -12,8 +12,11 @@ from vertexloom.llm.language import train_and_predict
 from vertexloom.llm.near_vectors import near_vectors
 from vertexloom.llm.packing import pack_documents
 from vertexloom.llm.passages import repeated_passages
+from vertexloom.llm.periodic_runs import periodic_runs, run_digests, with_loops
+from vertexloom.llm.personal_data import personal_data, span_digests
 from vertexloom.llm.quality_crf import train_and_score
 from vertexloom.llm.shingle_join import linked_documents
+from vertexloom.llm.spelling import spelling_variants, word_counts
 from vertexloom.llm.token_counts import token_counts
 from vertexloom.llm.token_files import token_file_round_trip
 
@@ -60,6 +63,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_loops(table(spark, sf_dir, "documents"))))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slip=97))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_duck_bpe": op2_duck_bpe,
@@ -71,5 +86,8 @@ QUERIES = {
     "op8_shingle_join": op8_shingle_join,
     "op9_language": op9_language,
     "op10_passages": op10_passages,
+    "op11_personal_data": op11_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {}
