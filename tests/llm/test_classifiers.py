@@ -44,6 +44,8 @@ def test_forward_sums_all_segmentations(monkeypatch):
                 total += np.prod([table[index.get(piece, len(names))] for piece in pieces], axis=0)
         expected.append(np.log(total))
     assert np.allclose(language.word_scores(words, vocabulary, table), expected)
+    monkeypatch.setattr(language, "SCALE", 1.0)
+    assert np.allclose(language.word_scores(words, vocabulary, table), expected)
     monkeypatch.setattr(language, "LONG", 1)
     assert np.allclose(language.word_scores(words, vocabulary, table), expected)
 
@@ -84,6 +86,33 @@ def test_language_of_odd_rows(spark, odd):
     assert language.in_known_language(odd, nothing).count() == len(ODD)
 
 
+def test_words_without_pieces_have_a_score(spark, odd):
+    """Up to and beyond the length where sums go over to logarithms."""
+    model = language.train(odd, PIECES)
+    strange = [letter * n for letter in ("ሀ", "漢", "zqj") for n in (15, 20, 44, 45, 46, 50, 54, 58, 59, 60, 61, 70)]
+    direct = language.word_scores(strange, model.vocabulary, model.probability)
+    assert np.isfinite(direct).all()
+    logs = np.log(np.vstack([model.probability, np.full((1, model.probability.shape[1]), 1e-320)]))
+    for word, row in zip(strange, direct):
+        codes = np.array([[ord(c) for c in "\N{LOWER ONE EIGHTH BLOCK}" + word]], np.uint32)
+        assert np.allclose(language._long(codes, model.vocabulary, logs, len(model.vocabulary.hashes))[0], row)
+    good = "der und die Stadt in der Liebe und das Haus der Leute "
+    docs = spark.createDataFrame([(i, f"{good}{word} {good}") for i, word in enumerate(strange)], "doc_id long, text string")
+    assert {(row.lang_pred, 0 <= row.score <= 1) for row in language.predict(docs, model).collect()} == {("de", True)}
+    assert language.in_known_language(docs, model).count() == len(strange)
+    alone = spark.createDataFrame([(i, word) for i, word in enumerate(strange)], "doc_id long, text string")
+    assert all(0 <= row.score <= 1 for row in language.predict(alone, model).collect())
+
+
+def test_training_words_are_bounded_per_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_WORDS", 2)
+    taught: dict = {}
+    monkeypatch.setattr(language, "learned", lambda counts, vocabulary: taught.update(counts) or np.zeros((1, len(counts))))
+    rows = [("aa aa aa bb bb cc", "en"), ("dd dd ee ff", "zz")]
+    language.train(spark.createDataFrame(rows, "text string, lang string"), PIECES)
+    assert taught == {"en": {"aa": 3, "bb": 2}, "zz": {"dd": 2, "ee": 1}}
+
+
 def test_marginals_against_enumeration():
     random = np.random.default_rng(3)
     field = quality_crf.Field(np.zeros((0, 0)), np.zeros(0), random.standard_normal((2, 2)))

@@ -33,6 +33,18 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def worker_memory(key: object, make: Callable[[], object]) -> object:
+    """What this Python worker keeps between its tasks: one thing at a time, so that operators that run one after another
+    don't add up. What another ``key`` kept is dropped first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:

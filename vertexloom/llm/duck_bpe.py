@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, slices
+from vertexloom.llm.common import arrow_map, exact, slices, worker_memory
 
 MOST_WORDS = 700_000  # remembered per worker; beyond that the memory starts anew
 LONG = 64  # bytes; longer words go through the same step as a loop that keeps only the last step's rows
@@ -60,8 +60,6 @@ SELECT string_agg(hex, '') AS hex, doc FROM (
     SELECT doc, hex, pos FROM ids JOIN vocabulary USING (id) ORDER BY pos) AS sorted GROUP BY doc
 """
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
 
 class Coder:
     """One DuckDB connection of a Python worker, with the merge table of a rank file."""
@@ -174,9 +172,7 @@ class Coder:
 
 
 def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Coder(path, pattern)
-    return _CODERS[path, pattern]
+    return worker_memory(("duck_bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def documents_with_ids(docs: DataFrame) -> DataFrame:

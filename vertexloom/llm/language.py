@@ -13,18 +13,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, kept_rows, slices
+from vertexloom.llm.common import arrow_map, exact, kept_rows, slices, worker_memory
 
 TRAIN_DOCS = 500  # documents per language that the probabilities are learned from, about
-TRAIN_WORDS = 300_000  # most frequent (language, word) pairs of them that go to the driver
+TRAIN_WORDS = 100_000  # most frequent words of each language in them that go to the driver
 ROUNDS = 4
 SMOOTHING = 0.01  # added to the expected count of every piece
 UNKNOWN = 1e-7  # probability of a character that no piece covers, in every language
-MOST_TOKENS = 700_000  # remembered per worker; beyond that the memory starts anew
-LONG = 60  # characters; longer words are summed in logarithms
+MOST_TOKENS = 500_000  # remembered per worker; beyond that the memory starts anew
+LONG = 60  # characters; longer words are summed in logarithms, and not learned from
+# Sums grow by this factor per character and the logarithm takes it off again. It is a power of two, so nothing is rounded,
+# and 60 characters stay within a double's range whether they are all unknown (1e-7 each) or all certain.
+SCALE = 8192.0
 STEP = np.uint64(0x9E3779B97F4A7C15)  # base of the polynomial hash
 
 
@@ -116,8 +119,8 @@ def word_scores(words: list[str], vocabulary: Vocabulary, probability: np.ndarra
             for (start, end), piece in pieces.items():
                 index = piece if end - start == 1 else np.where(piece == none, none + 1, piece)
                 live = np.flatnonzero(index != none + 1)
-                forward[end][live] += forward[start][live] * known[index[live]]
-            result[own] = np.log(forward[size])
+                forward[end][live] += forward[start][live] * (known[index[live]] * SCALE ** (end - start))
+            result[own] = np.log(forward[size]) - size * np.log(SCALE)
     return result
 
 
@@ -152,7 +155,9 @@ def learned(counts: dict[str, dict[str, int]], vocabulary: Vocabulary) -> np.nda
             for own, pieces, size in prepared:
                 forward, backward = np.zeros((size + 1, len(own))), np.zeros((size + 1, len(own)))
                 forward[0], backward[size] = 1.0, 1.0
-                usable = {k: (piece, np.where((piece == none) & (k[1] - k[0] > 1), 0.0, p[piece])) for k, piece in pieces.items()}
+                usable = {
+                    (start, end): (piece, np.where((piece == none) & (end - start > 1), 0.0, p[piece] * SCALE ** (end - start)))
+                    for (start, end), piece in pieces.items()}
                 for (start, end), (_, q) in usable.items():
                     forward[end] += forward[start] * q
                 for (start, end), (_, q) in reversed(usable.items()):
@@ -217,14 +222,11 @@ class Model:
         self.scores = np.vstack([self.scores, rows])
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = TRAIN_DOCS) -> Model:
     """Learn from text and ``lang`` of the rows of ``docs`` with a language, about ``docs_per_language`` of each.
 
     The sample is drawn by a hash of the text, so it is the same on every run. The driver gets word counts, at most
-    ``TRAIN_WORDS`` of them. Without any labelled row the model knows no language and answers ``und``.
+    ``TRAIN_WORDS`` of each language, whatever the other languages have. Without any labelled row the model knows no language and answers ``und``.
     """
     rows = exact(docs, "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     number = {row["lang"]: row["n"] for row in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -236,7 +238,9 @@ def train(docs: DataFrame, vocabulary_path: str, docs_per_language: int = TRAIN_
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
     sample = rows.filter(chance < rate[F.col("lang")])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang", "word").limit(TRAIN_WORDS)
+    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    by_number = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # words of at most TRAIN_DOCS texts, about
+    counted = counted.withColumn("place", F.row_number().over(by_number)).filter(F.col("place") <= TRAIN_WORDS)
     counts: dict[str, dict[str, int]] = {lang: {} for lang in languages}
     for row in counted.toLocalIterator():
         counts[row["lang"]][row["word"]] = row["n"]
@@ -261,11 +265,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _of_worker(languages: list[str], vocabulary: Vocabulary, probability: np.ndarray) -> Model:
     """The model as this Python worker knows it, with the scores of the tokens it has met."""
-    key = zlib.crc32(probability.tobytes())
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(languages, vocabulary, probability)
-    return _MODELS[key]
+    return worker_memory(("language", zlib.crc32(probability.tobytes())), lambda: Model(languages, vocabulary, probability))
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

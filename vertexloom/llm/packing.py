@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -127,10 +128,13 @@ def _substituted(runs: list[Bins], queue: list[tuple[int, int]]) -> list[Bins]:
 
 
 def best_fit(bins: list[Bins], histogram: dict[int, int], capacity: int) -> dict[int, int]:
-    """Place small lengths, the longest first, where the least room is left; returns what found no room."""
-    by_room: dict[int, list[Bins]] = {}
+    """Place small lengths, the longest first, where the least room is left; returns what found no room.
+
+    Of sequences with the same room the one that has had it for longest is taken.
+    """
+    by_room: dict[int, deque[Bins]] = {}
     for run in bins:
-        by_room.setdefault(capacity - sum(run.lengths), []).append(run)
+        by_room.setdefault(capacity - sum(run.lengths), deque()).append(run)
     rooms = sorted(by_room)
     bins.clear()
     left_over: dict[int, int] = {}
@@ -142,7 +146,7 @@ def best_fit(bins: list[Bins], histogram: dict[int, int], capacity: int) -> dict
                 left_over[length] = left
                 break
             room = rooms[at]
-            run = by_room[room].pop()
+            run = by_room[room].popleft()
             if not by_room[room]:
                 del by_room[room], rooms[at]
             number = 1 if left < run.count else min(room // length, left // run.count)
@@ -155,9 +159,9 @@ def best_fit(bins: list[Bins], histogram: dict[int, int], capacity: int) -> dict
     return left_over
 
 
-def _put(by_room: dict[int, list[Bins]], rooms: list[int], room: int, run: Bins) -> None:
+def _put(by_room: dict[int, deque[Bins]], rooms: list[int], room: int, run: Bins) -> None:
     if room not in by_room:
-        by_room[room] = []
+        by_room[room] = deque()
         insort(rooms, room)
     by_room[room].append(run)
 

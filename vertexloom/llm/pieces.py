@@ -12,21 +12,17 @@ import re
 
 import numpy as np
 
+from vertexloom.llm.common import worker_memory
+
 MOST_PIECES = 1_100_000  # remembered per worker, about 200 bytes each; beyond that those not met for long are forgotten
 DOUBLED = re.compile(r"\s\s|\0")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, id_type: str = "<u4") -> PieceEncoder:
     """The encoder of this worker for one tokenizer file."""
-    key = (path, id_type)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, id_type)
-    return _ENCODERS[key]
+    return worker_memory(("pieces", path, id_type), lambda: PieceEncoder(path, id_type))
 
 
 class PieceEncoder:
