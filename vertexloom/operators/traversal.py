@@ -10,7 +10,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.functions.rounds import checkpointed, measure, row_count, union_all
+from vertexloom.functions.ordering import with_position
+from vertexloom.functions.rounds import checkpointed, measure, row_count, settle, union_all
 from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.graph import simplify, vertices_from_edges
 
@@ -43,38 +44,59 @@ def root_batches(
         yield roots.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
 
 
-def levels(
-    adjacency: Adjacency, roots: DataFrame, group_cols: Sequence[str] = (), count_paths: bool = False
-) -> list[DataFrame]:
-    """Breadth-first levels of all ``roots`` at once; item h holds the ``(root, id)`` pairs at h hops.
+BLOCK = 64  # roots that share a row: one bit of a long each
+KEPT_LEVELS = 32  # frames of levels that are kept apart; more are put together, so that plans stay small
 
-    With ``count_paths`` a column ``paths`` counts the shortest paths from root to id. A round joins the newest level
-    with the resting edges, merges per pair before the shuffle and drops the pairs that earlier levels reached.
+
+def in_blocks(roots: DataFrame, groups: list[str]) -> DataFrame:
+    """``(groups, id, block, bit)``: roots numbered in order, 64 to a block."""
+    placed = with_position(roots.select(*groups, "id"), [*groups, "id"], "_place")
+    block, bit = F.floor(F.col("_place") / BLOCK).alias("block"), (F.col("_place") % BLOCK).cast("int").alias("bit")
+    return checkpointed(placed.select(*groups, "id", block, bit))
+
+
+def sweep(adjacency: Adjacency, blocks: DataFrame, group_cols: Sequence[str] = (), tally: bool = False) -> Iterator[DataFrame]:
+    """Breadth-first search from all roots at once, 64 of them in a row.
+
+    Frame h that comes out holds ``(groups, id, block, seen, bits)`` for every vertex and block met so far: in ``seen``
+    the roots of the block at up to h hops from ``id``, in ``bits`` those at exactly h. With ``tally`` there are also the
+    number ``n`` of roots and the sum ``total`` of their distances. A round joins the rows with new bits with the resting
+    edges, ors them per vertex and block before the shuffle and takes out what was seen. The last frame has new bits.
     """
-    groups = list(group_cols)
-    keys = [*groups, "root", "id"]
-    first = roots.select(*groups, F.col("id").alias("root"), "id")
-    if count_paths:
-        first = first.withColumn("paths", F.lit(1.0))
-    found = [checkpointed(first)]
-    seen = [found[0].select(*keys)]
-    while True:
-        followed = adjacency.attach(found[-1]).withColumnRenamed(adjacency.far, "id")
-        if count_paths:
-            step = followed.groupBy(*keys).agg(F.sum("paths").alias("paths"))
-        else:
-            step = followed.select(*keys).distinct()
-        newest = checkpointed(step.join(union_all(seen), keys, "left_anti"))
-        if not row_count(newest):
-            return found
-        found.append(newest)
-        seen.append(newest.select(*keys))
-        if len(seen) > 8:
-            seen = [checkpointed(union_all(seen))]
-
-
-def with_hops(found: list[DataFrame]) -> DataFrame:
-    return union_all([level.withColumn("hops", F.lit(hops)) for hops, level in enumerate(found)])
+    keys = [*group_cols, "id", "block"]
+    first = blocks.groupBy(*keys).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    state = first.select(*keys, F.col("bits").alias("seen"), "bits")
+    if tally:
+        state = state.withColumns({"n": F.bit_count("bits").cast("long"), "total": F.lit(0).cast("long")})
+    state, found = settle(state, new=F.count_if(F.col("bits") != 0))
+    hops = 0
+    while found["new"]:
+        yield state
+        hops += 1
+        frontier = state.filter(F.col("bits") != 0).select(*keys, "bits")
+        reached = adjacency.attach(frontier).withColumnRenamed(adjacency.far, "id").groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+        merged = state.drop("bits").join(reached, keys, "full_outer")
+        seen = F.coalesce("seen", F.lit(0).cast("long"))
+        merged = merged.withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(seen)))
+        columns = [*keys, seen.bitwiseOR(F.col("bits")).alias("seen"), "bits"]
+        if tally:
+            fresh, none = F.bit_count("bits").cast("long"), F.lit(0).cast("long")
+            columns += [(F.coalesce("n", none) + fresh).alias("n"), (F.coalesce("total", none) + hops * fresh).alias("total")]
+        state, found = settle(merged.select(*columns), new=F.count_if(F.col("bits") != 0))
+
+
+def new_bits(frame: DataFrame) -> DataFrame:
+    """The rows of a frame of ``sweep`` that have roots at exactly its number of hops."""
+    return frame.filter(F.col("bits") != 0).drop("seen")
+
+
+def with_roots(rows: DataFrame, blocks: DataFrame, bits: str) -> DataFrame:
+    """One row per vertex and root from one row per vertex and block; ``root`` takes the place of ``block`` and ``bits``."""
+    listed = blocks.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", "id"))).alias("_roots"))
+    here = F.filter("_roots", lambda root: F.getbit(bits, root.bit) == 1)
+    kept = [name for name in rows.columns if name not in ("block", "bits", "seen")]
+    pairs = rows.join(listed, "block").select(*kept, F.explode(here).alias("_root"))
+    return pairs.select(*kept, F.col("_root.id").alias("root"))
 
 
 def shortest_path_lengths(
@@ -88,7 +110,8 @@ def shortest_path_lengths(
     """``(src, dst, distance int)``: hops from each vertex ``src`` to each landmark ``dst`` it can reach.
 
     ``landmarks`` is a frame with ``id`` (and ``group_cols``); by default all vertices. A vertex is at distance 0 from
-    itself; unreachable pairs are absent. Landmarks are handled in batches of at most ``max_pairs`` pairs.
+    itself; unreachable pairs are absent. Landmarks are handled in batches of at most ``max_pairs`` pairs, 64 to a row; one
+    row per pair comes up only in the result.
     """
     groups = list(group_cols)
     simple = checkpointed(simple_edges(edges, groups))
@@ -96,12 +119,22 @@ def shortest_path_lengths(
     roots = everyone if landmarks is None else landmarks.select(*groups, "id").distinct()
     adjacency = Adjacency(simple, "dst", groups, hot_rows or HUB_EDGES)
     parts = []
-    for batch in root_batches(roots, everyone, groups, max_pairs):
-        reached = with_hops(levels(adjacency, batch, groups))
-        parts.append(
-            reached.select(*groups, F.col("id").alias("src"), F.col("root").alias("dst"), F.col("hops").alias("distance"))
-        )
-    adjacency.release()
+    try:
+        for batch in root_batches(roots, everyone, groups, max_pairs):
+            blocks = in_blocks(batch, groups)
+            levels: list[DataFrame] = []
+            for hops, frame in enumerate(sweep(adjacency, blocks, groups)):
+                levels.append(new_bits(frame).withColumn("hops", F.lit(hops)))
+                if len(levels) > KEPT_LEVELS:
+                    levels = [checkpointed(union_all(levels))]
+            if levels:
+                pairs = with_roots(union_all(levels), blocks, "bits")
+                parts.append(pairs.select(*groups, F.col("id").alias("src"), F.col("root").alias("dst"), F.col("hops").alias("distance")))
+    finally:
+        adjacency.release()
+    if not parts:
+        nobody = everyone.select(*groups, F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("distance"))
+        return nobody.filter(F.lit(False))
     return union_all(parts)
 
 
@@ -116,21 +149,28 @@ def closeness_centrality(
 
     ``id`` itself counts as reached (at distance 0), so this is the reciprocal of a mean over R(id) that includes the
     zero. A vertex that reaches only itself has 0.0. Every end point is listed, and every row of ``vertices`` if given.
+    The search goes back from the reached vertices, so what a vertex reaches is counted where it is: one row per vertex
+    and 64 reached ones.
     """
     groups = list(group_cols)
     simple = checkpointed(simple_edges(edges, groups))
     everyone = checkpointed(all_vertices(edges, vertices, groups))
-    adjacency = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
-    parts = []
-    for batch in root_batches(everyone, everyone, groups, max_pairs):
-        reached = with_hops(levels(adjacency, batch, groups))
-        sums = reached.groupBy(*groups, F.col("root").alias("id")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("hops").alias("total")
-        )
-        value = F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(0.0))
-        parts.append(checkpointed(sums.select(*groups, "id", value.alias("closeness"))))
-    adjacency.release()
-    return union_all(parts)
+    adjacency = Adjacency(simple, "dst", groups, hot_rows or HUB_EDGES)
+    none = F.lit(0).cast("long")
+    parts = [everyone.withColumns({"n": none, "total": none})]
+    try:
+        for batch in root_batches(everyone, everyone, groups, max_pairs):
+            last = None
+            for last in sweep(adjacency, in_blocks(batch, groups), groups, tally=True):
+                pass
+            if last is not None:
+                sums = last.groupBy(*groups, "id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+                parts.append(checkpointed(sums))
+    finally:
+        adjacency.release()
+    sums = union_all(parts).groupBy(*groups, "id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    value = F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(0.0))
+    return sums.select(*groups, "id", value.alias("closeness"))
 
 
 def reachable(
@@ -146,14 +186,19 @@ def reachable(
     """
     groups = list(group_cols)
     simple = checkpointed(simple_edges(edges, groups))
+    blocks = in_blocks(sources.select(*groups, "id").distinct(), groups)
     adjacency = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
-    found = union_all(levels(adjacency, sources.select(*groups, "id").distinct(), groups))
-    adjacency.release()
-    result = found.select(*groups, F.col("root").alias("src"), F.col("id").alias("dst"))
-    if targets is None:
-        return result
-    wanted = targets.select(*groups, F.col("id").alias("dst")).distinct()
-    return result.join(wanted, [*groups, "dst"], "left_semi").select(*result.columns)
+    last = blocks.withColumn("seen", F.lit(0).cast("long"))
+    try:
+        for last in sweep(adjacency, blocks, groups):
+            pass
+    finally:
+        adjacency.release()
+    found = last.select(*groups, "id", "block", "seen")
+    if targets is not None:
+        found = found.join(targets.select(*groups, "id").distinct(), [*groups, "id"], "left_semi")
+    pairs = with_roots(found, blocks, "seen")
+    return pairs.select(*groups, F.col("root").alias("src"), F.col("id").alias("dst"))
 
 
 def _extend_paths(

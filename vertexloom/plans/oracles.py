@@ -111,11 +111,23 @@ def triangle_counts(groups: list[str], source: str = "chain", value: str = "tria
 BOTH = ["partition_id", "rel_type"]
 NATION = ["partition_id"]
 FIRST = "root AS MATERIALIZED (SELECT g, min(id) AS id FROM v GROUP BY g)"
-LINES = """le AS MATERIALIZED (
-    SELECT DISTINCT a.partition_id, a.rel_type, {'src': a.src, 'dst': a.dst} AS src, {'src': b.src, 'dst': b.dst} AS dst
-    FROM (SELECT DISTINCT * FROM chain) a JOIN (SELECT DISTINCT * FROM chain) b
-      ON a.partition_id = b.partition_id AND a.rel_type = b.rel_type AND a.dst = b.src)"""
-EDGE_SCORES = with_(CHAIN, LINES, *graph(BOTH, "le"), DISTANCES, COUNTS)
+# Betweenness of edges as vertices of the line graph, by shortest paths of the graph itself: a pair of vertices (s, t)
+# stands for indegree(s) * outdegree(t) pairs of edges, less the edge (t, s), which is no pair.
+EDGE_SCORES = with_(CHAIN, *graph(BOTH), DISTANCES, COUNTS.split(",\n  bc AS")[0], f"""es AS MATERIALIZED (
+    SELECT DISTINCT {{'partition_id': partition_id, 'rel_type': rel_type}} AS g, src, dst FROM chain),
+  ins AS MATERIALIZED (SELECT g, dst AS id, count(*) AS n FROM es GROUP BY ALL),
+  outs AS MATERIALIZED (SELECT g, src AS id, count(*) AS n FROM es GROUP BY ALL),
+  weight AS MATERIALIZED (
+    SELECT sg.g, sg.s, sg.v, sg.l, sg.n, ins.n * outs.n - (es.g IS NOT NULL)::INTEGER AS w FROM sg
+      JOIN ins ON ins.g = sg.g AND ins.id = sg.s JOIN outs ON outs.g = sg.g AND outs.id = sg.v
+      LEFT JOIN es ON es.g = sg.g AND es.src = sg.v AND es.dst = sg.s WHERE sg.l > 0),
+  ec AS MATERIALIZED (
+    SELECT a.g, e.src, e.dst, sum(a.n * b.n / st.n * st.w) AS x FROM sg a JOIN e ON e.g = a.g AND e.src = a.v
+      JOIN sg b ON b.g = a.g AND b.s = e.dst JOIN weight st ON st.g = a.g AND st.s = a.s AND st.v = b.v AND st.l = a.l + 1 + b.l
+    GROUP BY ALL),
+  scored AS MATERIALIZED (
+    SELECT es.g, es.src, es.dst, round(coalesce(x, 0), 6) AS score FROM es LEFT JOIN ec ON ec.g = es.g AND ec.src = es.src AND ec.dst = es.dst
+    WHERE EXISTS (SELECT 1 FROM es f WHERE f.g = es.g AND f.src = es.dst) OR EXISTS (SELECT 1 FROM es f WHERE f.g = es.g AND f.dst = es.src))""")
 # Shortest paths grow from their source along increasing distance; path ends at v.
 PATHS = """p(g, s, v, l, path) AS (
     SELECT g, s, v, 0, [v] FROM d WHERE d = 0 UNION ALL
@@ -226,13 +238,9 @@ ORACLES: dict[str, str] = {
     "FROM d GROUP BY g, s",
     "betweenness_centrality": with_(CHAIN, *graph(NATION), DISTANCES, COUNTS)
     + "SELECT v.g AS partition_id, v.id, round(coalesce(x, 0), 6) AS betweenness FROM v LEFT JOIN bc ON bc.g = v.g AND bc.id = v.id",
-    "edge_centrality": EDGE_SCORES
-    + f"SELECT {ungroup(BOTH, 'v.g')}v.id.src AS src, v.id.dst AS dst, round(coalesce(x, 0), 6) AS score "
-    "FROM v LEFT JOIN bc ON bc.g = v.g AND bc.id = v.id",
+    "edge_centrality": EDGE_SCORES + f"SELECT {ungroup(BOTH)}src, dst, score FROM scored",
     "top_edge": EDGE_SCORES
-    + f"SELECT {ungroup(BOTH)}id.src AS src, id.dst AS dst, score FROM (SELECT v.g, v.id, round(coalesce(x, 0), 6) AS score, "
-    "row_number() OVER (PARTITION BY v.g ORDER BY round(coalesce(x, 0), 6) DESC, v.id) AS n "
-    "FROM v LEFT JOIN bc ON bc.g = v.g AND bc.id = v.id) WHERE n = 1",
+    + f"SELECT {ungroup(BOTH)}src, dst, score FROM scored QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, src, dst) = 1",
     "all_shortest_paths": with_(CHAIN, *graph(BOTH), DISTANCES, PATHS)
     + f"SELECT {ungroup(BOTH)}s AS src, v AS dst, l::INTEGER AS distance, array_to_string(path, ',') AS path FROM p WHERE l > 0",
     "shortest_paths_to": with_(CHAIN, *graph(NATION), FIRST, BACKWARD_ROOT_DISTANCES, PATHS_BACK)
