@@ -1,5 +1,6 @@
 """Small graphs with known results."""
 
+# Graphs whose results are known, see test_analyses.py.
 PATH = [(0, 1), (1, 2), (2, 3), (3, 4)]
 DAG = [(0, 1), (1, 4), (0, 4), (4, 3), (1, 2), (2, 3)]
 RING = [
@@ -11,7 +12,7 @@ DAG13 = [
     (0, 1), (1, 4), (1, 2), (2, 3), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11), (11, 12), (12, 3), (7, 3), (4, 3),
 ]
 TREE = [(0, 1), (0, 2), (2, 3), (3, 4), (4, 5), (4, 6), (4, 7), (7, 8), (7, 9)]
-# A cycle with a dead-end branch, a self-loop, parallel edges and a second component.
+# Our own: a cycle with a dead-end branch, a self-loop, parallel edges and a second component.
 MIXED = [(1, 2), (2, 3), (3, 1), (2, 4), (4, 5), (3, 6), (6, 5), (1, 2), (4, 4), (20, 21), (21, 22), (22, 21), (30, 30)]
 ALL = {"path": PATH, "dag": DAG, "ring": RING, "cycle": CYCLE, "dag13": DAG13, "tree": TREE, "mixed": MIXED}
 

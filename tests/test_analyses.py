@@ -1,8 +1,11 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
 from tests.graphs import ALL, CYCLE, DAG, DAG13, PATH, RING, as_map, edge_frame, grouped_frame
-from vertexloom.operators import components
+from vertexloom.operators import components, traversal
+from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.betweenness import betweenness_centrality, edge_centrality, edge_removal_communities, top_edge
 from vertexloom.operators.components import connected_components, strongly_connected_components
 from vertexloom.operators.pagerank import pagerank
@@ -15,6 +18,7 @@ from vertexloom.operators.traversal import (
     shortest_paths_to,
 )
 from vertexloom.operators.triangles import triangle_count
+from vertexloom.plans import registered, trade_graph
 
 ODD_EVEN = {i: (22.0 if i % 2 else 4.0) for i in range(1, 11)}
 
@@ -158,6 +162,57 @@ def test_strong_components_of_a_chain_of_cycles(spark, monkeypatch):
     assert len(seeds) <= 12
 
 
+def test_search_takes_one_row_for_64_roots(spark):
+    """All distances of a graph with more roots than fit a row, two groups of unequal size, a row per vertex and block."""
+    random = np.random.default_rng(4)
+    graphs = {"large": [tuple(map(int, e)) for e in random.integers(0, 150, (400, 2))], "small": [(0, 1), (1, 2), (2, 0), (2, 9)]}
+    frame = grouped_frame(spark, graphs)
+    expected = {(n, s, t): d for n, e in graphs.items() for (s, t), d in brute.distances(e).items()}
+    assert as_map(shortest_path_lengths(frame, group_cols=["g"])) == expected
+    assert as_map(closeness_centrality(frame, group_cols=["g"])) == pytest.approx(
+        {(n, v): x for n, e in graphs.items() for v, x in brute.closeness(e).items()}, abs=1e-6)
+    sources = spark.createDataFrame([("large", 3), ("small", 9), ("small", 77)], "g string, id long")
+    reached = {tuple(row) for row in reachable(frame, sources, group_cols=["g"]).collect()}
+    ends = {("large", 3), ("small", 9)}
+    assert reached == {(n, s, t) for n, s, t in expected if (n, s) in ends} | {("small", 77, 77)}
+
+    simple = traversal.simple_edges(frame, ["g"])
+    everyone = traversal.all_vertices(frame, None, ["g"])
+    blocks = traversal.in_blocks(everyone, ["g"])
+    adjacency = Adjacency(simple, "src", ["g"])
+    for last in traversal.sweep(adjacency, blocks, ["g"], tally=True):
+        assert last.count() <= 3 * everyone.count()  # all roots fit into three blocks
+    adjacency.release()
+    assert last.agg(F.sum("n")).first()[0] == len(expected) and last.agg(F.sum("total")).first()[0] == sum(expected.values())
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_edge_scores_equal_the_line_graph(spark, hot_rows):
+    """Two-way edges, self-loops, parallel edges and edges that stand alone; more roots than one row holds."""
+    random = np.random.default_rng(6)
+    graphs = {**ALL, "dense": [tuple(map(int, e)) for e in random.integers(0, 12, (60, 2))], "alone": [(1, 2), (5, 6)],
+              "wide": [(i, i + 1) for i in range(70)]}
+    found = as_map(edge_centrality(grouped_frame(spark, graphs), ["g"], hot_rows=hot_rows))
+    expected = {(name, *edge): score for name, edges in graphs.items() for edge, score in brute.edge_centrality(edges).items()}
+    assert found == pytest.approx(expected, abs=2e-6)
+
+
+def test_communities_of_the_query_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    walks: dict = {}
+    for row in trade_graph.order_walks(spark, folder, 8).collect():
+        walks.setdefault((row.partition_id, row.walk), []).append((row.src, row.dst))
+    steps: dict = {}
+    for row in sorted(registered.edge_removal_steps(spark, folder).collect(), key=lambda row: row.step):
+        steps.setdefault((row.partition_id, row.walk), []).append((row.src, row.dst))
+    for walk, edges in walks.items():
+        for removals in range(len(edges) + 1):
+            expected, parts = brute.communities(edges, removals)
+            if len(expected) < removals or len(set(parts.values())) >= 3:
+                break
+        assert steps.get(walk, []) == expected
+
+
 def test_edge_centrality_and_communities(spark):
     edges = edge_frame(spark, DAG)
     assert as_map(edge_centrality(edges)) == pytest.approx(brute.edge_centrality(DAG), abs=2e-6)

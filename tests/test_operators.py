@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,19 +17,28 @@ def rows(df):
     return sorted(tuple(row) for row in df.collect())
 
 
+# Three harbours own ships; ships pass cargo on. Ship 31 belongs to two harbours, ship 40 to none, ship 32 passes cargo to itself.
+OWNED = {"n": [11, 12, 13, 14, 31], "m": [21, 22, 23], "s": [31, 32, 33]}
+PASSED = [(11, 12), (12, 13), (13, 11), (13, 14), (14, 31), (21, 22), (22, 21), (22, 23), (31, 32), (32, 32), (32, 33), (33, 40), (40, 11), (11, 12)]
+HARBOURS = {"n": 1, "m": 2, "s": 3}
+
+
 @pytest.fixture(scope="module")
-def sample(spark):
-    """200 nodes in a chain of two strands; 4 category vertices (ids 1000..1003) with 50 nodes each."""
-    links = [(i, i + 100) for i in range(99)] + [(i + 100, i + 1) for i in range(99)] + [(199, 0), (99, 100)]
-    groups = [(1000 + i // 50, i) for i in range(200)]
-    vertices = [(i, "Node") for i in range(200)] + [(1000 + i, "Category") for i in range(4)]
-    relationships = [(a, b, "CONNECTED_TO") for a, b in links] + [(a, b, "HAS_CATEGORY") for a, b in groups]
+def harbours(spark):
+    ships = sorted({ship for own in OWNED.values() for ship in own} | {40})
+    vertices = [(i, "Harbour") for i in HARBOURS.values()] + [(ship, "Ship") for ship in ships]
+    relationships = [(HARBOURS[h], ship, "OWNS") for h, own in OWNED.items() for ship in own] + [(a, b, "PASSES_TO") for a, b in PASSED]
     return (
         spark.createDataFrame(vertices, "id long, label string"),
         spark.createDataFrame(relationships, "src long, dst long, rel_type string"),
     )
 
 
+def inside(harbour):
+    """The partition of a harbour: all edges that its ships are the source of."""
+    return [(a, b) for a, b in PASSED if a in OWNED[harbour]]
+
+
 def test_next_and_position_span_slices(spark):
     n = 1000  # nearly all rows in one group
     df = spark.range(n).selectExpr("CASE WHEN id < 7 THEN 0 ELSE 1 END AS g", "(id * 37) % 1000 AS k")
@@ -159,41 +169,82 @@ def test_recommendations(spark):
     data = [(u, i, float(2 + (u * i) % 9)) for u in range(15) for i in range(15, 45) if (u * 7 + i * 3) % 5 < (4 if u else 5)]
     ratings = spark.createDataFrame(data, "user int, item int, rating double")
     seen = {(u, i) for u, i, _ in data}
-    for options in ({}, {"reg": 0.1, "iterations": 5}):
-        by_user = {}
-        for r in recommend.recommend(ratings, n=4, **options).collect():
-            assert (r.user, r.item) not in seen
-            by_user.setdefault(r.user, []).append(r.rank)
-        for user in range(15):
-            unseen = 30 - sum(1 for u, _ in seen if u == user)
-            assert sorted(by_user.get(user, [])) == list(range(1, min(4, unseen) + 1))
+    items = sorted({i for _, i in seen})
+    # With the constants of a job all scores are 0.0 here, and the lowest unrated ids remain.
+    lowest = {(u, i, rank) for u in range(15) for rank, i in enumerate([i for i in items if (u, i) not in seen][:4], 1)}
+    assert {tuple(r) for r in recommend.recommend(ratings, n=4).collect()} == lowest
     model = recommend.train_implicit(ratings, reg=0.1, iterations=5)
     assert recommend.predict(model, ratings).count() == len(data)
+    users, products = ({r.id: np.array(r.features, float) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    expected = set()
+    for u, own in users.items():
+        score = {i: float(np.float32(sum(float(x) for x in own * other))) for i, other in products.items() if (u, i) not in seen}
+        expected |= {(u, i, rank) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:4], 1)}
+    assert {tuple(r) for r in recommend.recommend(ratings, n=4, reg=0.1, iterations=5).collect()} == expected
+    assert recommend.recommend(ratings.limit(0)).collect() == []
+    ratings.createOrReplaceTempView("some_ratings")
+    old = spark.createDataFrame([(99, 5, 1), (3, 44, 9)], "user int, item int, rank int")
+    merged, error = jobs.recommendation_job(spark, "SELECT user, item, rating FROM some_ratings", old, n=4, reg=0.1, iterations=5)
+    assert {tuple(r) for r in merged.collect()} == expected | {(99, 5, 1), (3, 44, 9)}
+    shown = {(r.user, r.item): r.prediction for r in recommend.predict(model, ratings).collect()}
+    assert error.first().mse == pytest.approx(np.mean([(rating - shown[u, i]) ** 2 for u, i, rating in data]))
     with pytest.raises(ValueError):
         rel.ratings_from_query(spark, "SELECT 1, 2")
 
 
-def test_partitions_in_one_job_equal_single_runs(spark, sample):
-    vertices, relationships = sample
-    parts = rel.partition_edges(vertices, relationships, "Category", "HAS_CATEGORY", "CONNECTED_TO")
-    assert {r["partition_id"]: r["count"] for r in parts.groupBy("partition_id").count().collect()} == dict.fromkeys(range(1000, 1004), 50)
-    merged = jobs.analyze_partitions(vertices, relationships, "Category", "HAS_CATEGORY", "CONNECTED_TO", "pagerank", tol=1e-6)
-    first = {r.id: round(r.value, 6) for r in merged.filter("partition_id = 1000").collect()}
-    assert first == {**dict.fromkeys(range(50), 0.15), **dict.fromkeys(range(100, 150), 0.2775)}
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_best_unseen_items_are_exact(spark, block):
+    """Ties, zero and negative factors, users who have seen all or nothing, unknown and repeated pairs, null factors."""
+    random = np.random.default_rng(block)
+    users = {u: random.integers(-3, 4, 3).astype(float).tolist() for u in range(40)} | {40: [0.0] * 3}
+    items = {i: (random.integers(-2, 3, 3) * (1 + i % 4)).astype(float).tolist() for i in range(60)} | {60: [0.0] * 3}
+    seen = {(u, i) for u in range(40) for i in range(61) if random.random() < 0.3} | {(7, i) for i in range(61)} | {(99, 1), (3, 999)}
+    seen -= {(8, i) for i in range(61)}
+    frames = [spark.createDataFrame(list(x.items()), f"{name} int, features array<double>") for name, x in (("user", users), ("item", items))]
+    pairs = spark.createDataFrame([*seen, *seen, (None, 3), (3, None)], "user int, item int")
+    found = [tuple(r) for r in recommend.best_unseen(*frames, pairs, 5, block).collect()]
+    expected = set()
+    for u, own in users.items():
+        score = {i: sum(a * b for a, b in zip(own, other)) for i, other in items.items() if (u, i) not in seen}
+        expected |= {(u, i, rank, score[i]) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)}
+    assert len(found) == len(expected) and set(found) == expected
 
 
-def test_jobs_on_the_sample(spark, sample):
-    vertices, relationships = sample
-    result = jobs.analyze(vertices, relationships, "CONNECTED_TO", "strongly_connected_components")
-    groups = {}
-    for r in result.filter("label = 'Node'").collect():
-        groups.setdefault(r.strongly_connected_components, []).append(r.id)
-    assert {k: len(v) for k, v in groups.items()} == {0: 1, 1: 198, 199: 1}
-    assert result.filter("label = 'Category' AND strongly_connected_components IS NULL").count() == 4
+def test_partitions_in_one_job_equal_single_runs(spark, harbours):
+    vertices, relationships = harbours
+    parts = rel.partition_edges(vertices, relationships, "Harbour", "OWNS", "PASSES_TO")
+    assert rows(parts) == sorted((HARBOURS[h], a, b) for h in OWNED for a, b in inside(h))
+    merged = jobs.analyze_partitions(vertices, relationships, "Harbour", "OWNS", "PASSES_TO", "betweenness_centrality")
+    expected = {(HARBOURS[h], ship): value for h in OWNED for ship, value in brute.betweenness(inside(h)).items()}
+    assert {(r.partition_id, r.id): r.value for r in merged.collect()} == pytest.approx(expected)
+
+
+def test_jobs_by_key(spark, harbours):
+    """Analyses by their keys on the edges of one type, beside plain definitions."""
+    vertices, relationships = harbours
+    passed = sorted(set(PASSED))
+    expected = {
+        "strongly_connected_components": brute.strong_components(passed),
+        "betweenness_centrality": brute.betweenness(passed),
+        "edge_betweenness": split_in_two(passed),
+    }
+    for name, values in expected.items():
+        result = jobs.analyze(vertices, relationships, "PASSES_TO", name)
+        found = {r.id: r[name] for r in result.collect()}
+        assert found == pytest.approx({**dict.fromkeys(HARBOURS.values()), **values}), name
     with pytest.raises(ValueError):
         jobs.run_analysis("no_such_analysis", relationships)
 
 
+def split_in_two(edges):
+    removals = 0
+    while True:
+        steps, parts = brute.communities(edges, removals)
+        if len(steps) < removals or len(set(parts.values())) >= 2:
+            return parts
+        removals += 1
+
+
 def test_update_stream(spark, tmp_path):
     source, target, progress = (str(tmp_path / name) for name in ("in", "table", "progress"))
     updates.create_target(spark.createDataFrame([(1,), (2,), (3,)], "id long"), target)

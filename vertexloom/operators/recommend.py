@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vertexloom.functions.rounds import checkpointed, ensure_checkpoint_dir, measure
+from vertexloom.functions.ordering import with_position
+from vertexloom.functions.rounds import checkpointed, ensure_checkpoint_dir, measure, row_count, union_all
 
 # The training constants of a recommendation job.
 RANK = 10
@@ -15,6 +21,8 @@ REGULARIZATION = 8.0
 ALPHA = 0.01
 TOP_ITEMS = 10
 
+ITEM_BLOCK = 4096  # items that users meet at once, by falling length of their factors
+
 
 def train_implicit(
     ratings: DataFrame,
@@ -83,6 +91,82 @@ def rank_candidates(scored: DataFrame, n: int = TOP_ITEMS) -> DataFrame:
     return ranked.filter(F.col("rank") <= n).select("user", "item", "rank")
 
 
+def best_unseen(
+    users: DataFrame, items: DataFrame, seen: DataFrame, n: int = TOP_ITEMS, block: int = ITEM_BLOCK
+) -> DataFrame:
+    """``(user, item, rank, score double)``: the exact ``n`` best unseen items of each user by the product of factors.
+
+    ``users`` holds ``(user, features)``, ``items`` ``(item, features)``, each id once, ``seen`` the pairs ``(user, item)``
+    that don't count. Equal scores go by item id. Users or items without factors are not ranked. Products are summed in
+    double precision, and rounded to floats where both factors are floats, as a model's predictions are.
+
+    Items come in blocks of ``block``, by falling length of their factors. In a round every open user meets the next
+    block, which goes to all tasks and is of bounded size, and keeps the best n met so far. A score is at most the product of the
+    lengths, so a user is done when that of its own and the longest of the next block is below its n-th score. What a
+    user has seen is brought along per block: a row never holds more of it than the block has items.
+    """
+    floats = all(frame.schema["features"].dataType.simpleString() == "array<float>" for frame in (users, items))
+    plain = items.filter(F.col("features").isNotNull()).select("item", F.col("features").cast("array<double>").alias("features"))
+    plain = plain.withColumn("length", F.sqrt(F.aggregate("features", F.lit(0.0), lambda total, x: total + x * x)))
+    placed = with_position(plain.withColumn("falling", -F.col("length")), ["falling", "item"], "place")
+    placed = checkpointed(placed.withColumn("block", F.floor(F.col("place") / block)))
+    hidden = seen.select("user", "item").distinct().join(placed.select("item", "block"), "item")
+    hidden = checkpointed(hidden.groupBy("user", "block").agg(F.collect_list("item").alias("hidden")))
+    lengths = placed.groupBy("block").agg(F.max("length").alias("length"))
+    following = lengths.select((F.col("block") - 1).alias("block"), F.col("length").alias("next_length"))
+    packed = placed.groupBy("block").agg(F.collect_list("item").alias("items"), F.flatten(F.collect_list("features")).alias("factors"))
+    packed = checkpointed(packed.join(following, "block", "left"))
+
+    kind = users.schema["user"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    schema = f"user {kind[0]}, features array<double>, met array<{kind[1]}>, scores array<double>, open boolean"
+    state = users.filter(F.col("features").isNotNull()).select(
+        "user", F.col("features").cast("array<double>").alias("features"),
+        F.expr(f"CAST(array() AS array<{kind[1]}>)").alias("met"), F.expr("CAST(array() AS array<double>)").alias("scores"))
+    blocks = measure(packed, blocks=F.max("block"))["blocks"]
+    number, finished = 0, []
+    while blocks is not None and number <= blocks:
+        own = hidden.filter(F.col("block") == number).select("user", "hidden")
+        row = packed.filter(F.col("block") == number).first()  # at most ``block`` items, sent to the tasks with the function
+        ids = np.array(row["items"])
+        meet = partial(_meet, n, floats, ids, np.array(row["factors"], float).reshape(len(ids), -1), row["next_length"])
+        scored = checkpointed(state.join(own, "user", "left").mapInPandas(meet, schema))
+        finished.append(scored.filter(~F.col("open")).select("user", "met", "scores"))
+        state = scored.filter(F.col("open")).drop("open")
+        number += 1
+        if not row_count(state):
+            break
+    finished.append(state.select("user", "met", "scores"))
+    listed = union_all(finished).select("user", F.posexplode(F.arrays_zip("met", "scores")).alias("place", "best"))
+    return listed.select("user", F.col("best.met").alias("item"), (F.col("place") + 1).alias("rank"), F.col("best.scores").alias("score"))
+
+
+def _meet(
+    n: int, floats: bool, ids: np.ndarray, other: np.ndarray, limit: float | None, frames: Iterator[pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """Users meet one block of items: the best n so far, and whether the next block may hold a better one."""
+    for frame in frames:
+        for at in range(0, len(frame), 64):
+            part = frame.iloc[at : at + 64]
+            mine = np.stack(part["features"].to_numpy())
+            products = np.zeros((len(part), len(ids)))
+            for k in range(mine.shape[1]):  # the same order of summation in blocks of any size
+                products += mine[:, k : k + 1] * other[:, k]
+            if floats:
+                products = products.astype(np.float32).astype(float)
+            met, scores, still = [], [], []
+            for row, hidden, old, old_scores in zip(range(len(part)), part["hidden"], part["met"], part["scores"]):
+                fresh = np.ones(len(ids), bool) if hidden is None else ~np.isin(ids, hidden)
+                names = np.concatenate([np.asarray(old, ids.dtype), ids[fresh]])
+                values = np.concatenate([np.asarray(old_scores, float), products[row, fresh]])
+                best = np.lexsort((names, -values))[:n]
+                met.append(names[best])
+                scores.append(values[best])
+                bound = None if limit is None else limit * np.sqrt((mine[row] ** 2).sum())
+                # The bound is rounded: only one that is clearly lower ends the search.
+                still.append(bound is not None and (len(best) < n or bound * (1 + 1e-6) + 1e-37 >= values[best[-1]]))
+            yield pd.DataFrame({"user": part["user"], "features": list(part["features"]), "met": met, "scores": scores, "open": still})
+
+
 def recommend(
     ratings: DataFrame,
     n: int = TOP_ITEMS,
@@ -92,24 +176,27 @@ def recommend(
     alpha: float = ALPHA,
     seed: int = 0,
 ) -> DataFrame:
-    """``(user, item, rank)``: for each user the ``n`` unrated items of highest score, ranks 1..n without gaps.
+    """``(user, item, rank)``: for each user the ``n`` unrated items of highest score, ranks 1..n without gaps; equal scores
+    by item id. Scores are exact for the model's factors (see ``best_unseen``)."""
+    return recommend_with_error(ratings, n, rank, iterations, reg, alpha, seed)[0]
 
-    The model returns the best n + s items of a user who has rated s, so at least n unrated ones are among them (or
-    all there are). Users are asked in classes of similar s: one user with very many ratings does not lengthen the
-    lists of all others, and there are at most log2(items) classes.
-    """
+
+def recommend_with_error(
+    ratings: DataFrame,
+    n: int = TOP_ITEMS,
+    rank: int = RANK,
+    iterations: int = ITERATIONS,
+    reg: float = REGULARIZATION,
+    alpha: float = ALPHA,
+    seed: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """What ``recommend`` gives, and one row ``mse``: the error of the model on the ratings it was trained on (null
+    without ratings)."""
     ratings = checkpointed(ratings)
+    if not row_count(ratings.limit(1)):
+        nothing = ratings.select("user", "item", F.lit(0.0).alias("prediction"))
+        return ratings.select("user", "item", F.lit(1).alias("rank")), rating_mse(ratings, nothing)
     model = train_implicit(ratings, rank, iterations, reg, alpha, seed)
-    seen = ratings.select("user", "item").distinct()
-    counts = seen.groupBy("user").agg(F.count(F.lit(1)).alias("seen"))
-    classes = checkpointed(counts.withColumn("class", F.floor(F.log2(F.col("seen").cast("double"))).cast("int")))
-    best = None
-    for row in classes.groupBy("class").agg(F.max("seen").alias("most")).orderBy("class").collect():
-        users = classes.filter(F.col("class") == row["class"]).select("user")
-        lists = model.recommendForUserSubset(users, n + row["most"])
-        part = lists.select("user", F.explode("recommendations").alias("r")).select("user", "r.item", "r.rating")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return ratings.select("user", "item", F.lit(1).alias("rank")).filter(F.lit(False))
-    fresh = unseen(seen, best.withColumnRenamed("rating", "score"))
-    return checkpointed(rank_candidates(fresh, n))
+    users, items = model.userFactors.withColumnRenamed("id", "user"), model.itemFactors.withColumnRenamed("id", "item")
+    best = checkpointed(best_unseen(users, items, ratings, n).select("user", "item", "rank"))
+    return best, rating_mse(ratings, predict(model, ratings))

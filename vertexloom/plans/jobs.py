@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vertexloom.operators.betweenness import betweenness_centrality, edge_removal_communities
 from vertexloom.operators.components import connected_components, strongly_connected_components
 from vertexloom.operators.pagerank import pagerank
-from vertexloom.operators.recommend import TOP_ITEMS, recommend
+from vertexloom.operators.recommend import TOP_ITEMS, recommend, recommend_with_error
 from vertexloom.operators.traversal import closeness_centrality
 from vertexloom.operators.triangles import triangle_count
 from vertexloom.operators.upserts import set_property, upsert_partition_relationships, upsert_recommendations
@@ -18,6 +18,9 @@ from vertexloom.sources.relationships import edges_of_type, partition_edges, rat
 
 
 def _communities(edges: DataFrame, group_cols: Sequence[str] = (), **options) -> DataFrame:
+    """Communities by removed edges: two per graph where the options name no other stop. Without one all edges would go."""
+    if not options.keys() & {"max_removals", "target_components"}:
+        options["target_components"] = 2
     return edge_removal_communities(edges, group_cols=group_cols, **options)[0]
 
 
@@ -82,5 +85,12 @@ def recommend_from_query(
     spark: SparkSession, query: str | DataFrame, existing: DataFrame | None = None, n: int = TOP_ITEMS, **options
 ) -> DataFrame:
     """Recommendations for the three-column result of a query, merged into ``existing`` ones."""
-    recommendations = recommend(ratings_from_query(spark, query), n, **options)
-    return recommendations if existing is None else upsert_recommendations(existing, recommendations)
+    return recommendation_job(spark, query, existing, n, **options)[0]
+
+
+def recommendation_job(
+    spark: SparkSession, query: str | DataFrame, existing: DataFrame | None = None, n: int = TOP_ITEMS, **options
+) -> tuple[DataFrame, DataFrame]:
+    """What ``recommend_from_query`` gives, and one row ``mse``, the error of the model on the ratings of the query."""
+    recommendations, error = recommend_with_error(ratings_from_query(spark, query), n, **options)
+    return recommendations if existing is None else upsert_recommendations(existing, recommendations), error

@@ -259,6 +259,16 @@ ORACLES: dict[str, str] = {
     + 'SELECT "user", (SELECT count(DISTINCT item) FROM rat) - count(*) AS unseen FROM rat GROUP BY "user"',
     "rating_mse": with_(RATINGS)
     + "SELECT round(avg((rating - m) ** 2), 6) AS mse FROM rat JOIN (SELECT item, avg(rating) AS m FROM rat GROUP BY 1) USING (item)",
+    "best_unseen": with_(RATINGS, """scored AS (
+    SELECT c_custkey::INTEGER AS "user", s_suppkey::INTEGER AS item,
+           floor(c_acctbal / 100) * floor(s_acctbal / 100) + (c_nationkey % 5) * (s_nationkey % 5)
+           + (c_nationkey % 3 - 1) * 50.0 * (s_nationkey % 3 - 1) * 50.0 AS score
+    FROM customer, supplier WHERE (c_custkey, s_suppkey) NOT IN (SELECT "user", item FROM rat))""")
+    + """SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item)::INTEGER AS rank, score::DOUBLE AS score
+    FROM scored QUALIFY rank <= 10""",
+    "recommendation_ranks": with_(RATINGS)
+    + 'SELECT "user", least(10, unseen) AS ranks, least(10, unseen) AS last_rank FROM '
+    '(SELECT "user", (SELECT count(DISTINCT item) FROM rat) - count(*) AS unseen FROM rat GROUP BY "user") WHERE unseen > 0',
     "rank_candidates": with_(RATINGS) + ranked("rating", 5),
     "run_analysis": with_(CHAIN, "typed AS (SELECT src, dst FROM chain WHERE rel_type = '2-HIGH')", *graph([], "typed")).rstrip()
     + ", "

@@ -394,6 +394,7 @@ def betweenness_centrality(spark, sf_dir):
 
 @query
 def edge_centrality(spark, sf_dir):
+    """Scores of the edges that follow or precede another one, per nation and type; others have none."""
     result = betweenness.edge_centrality(trade_graph.order_chain(spark, sf_dir), NATION_AND_TYPE)
     return rounded(result, "score")
 
@@ -404,8 +405,9 @@ def top_edge(spark, sf_dir):
 
 
 def _communities(spark, sf_dir):
-    chain = trade_graph.order_chain(spark, sf_dir)
-    return betweenness.edge_removal_communities(chain, max_removals=2, group_cols=NATION_AND_TYPE)
+    """Every walk of 8 orders in a nation's chain split into 3 components."""
+    walks = trade_graph.order_walks(spark, sf_dir, 8)
+    return betweenness.edge_removal_communities(walks, target_components=3, group_cols=["partition_id", "walk"])
 
 
 @query
@@ -498,6 +500,17 @@ def predict(spark, sf_dir):
     return recommend.predict(model, ratings)
 
 
+@query
+def best_unseen(spark, sf_dir):
+    """The ten best suppliers that a customer never had, by whole-number factors from balances and nations."""
+    def factors(name: str, key: str, prefix: str) -> DataFrame:
+        balance, nation = F.floor(F.col(f"{prefix}_acctbal") / 100).cast("double"), F.col(f"{prefix}_nationkey")
+        features = F.array(balance, (nation % 5).cast("double"), (nation % 3 - 1).cast("double") * 50)
+        return trade_graph.table(spark, sf_dir, name).select(F.col(f"{prefix}_{key}").cast("int").alias("id"), features.alias("features"))
+    users, items = factors("customer", "custkey", "c"), factors("supplier", "suppkey", "s")
+    return recommend.best_unseen(users.withColumnRenamed("id", "user"), items.withColumnRenamed("id", "item"), trade_graph.ratings(spark, sf_dir))
+
+
 @query
 def recommend_items(spark, sf_dir):
     return recommend.recommend(trade_graph.ratings(spark, sf_dir), reg=0.1)
@@ -551,11 +564,30 @@ def analyze_partitions(spark, sf_dir):
     return rounded(merged, "value")
 
 
+RATED = """SELECT o_custkey, l_suppkey, count(*) FROM rated_lines JOIN rated_orders ON l_orderkey = o_orderkey
+GROUP BY o_custkey, l_suppkey"""
+
+
+def _rated_views(spark: SparkSession, sf_dir: str) -> None:
+    trade_graph.table(spark, sf_dir, "lineitem").createOrReplaceTempView("rated_lines")
+    trade_graph.table(spark, sf_dir, "orders").createOrReplaceTempView("rated_orders")
+
+
 @query
 def recommend_from_query(spark, sf_dir):
-    ratings = trade_graph.ratings(spark, sf_dir)
-    old = recommend.rank_candidates(ratings.withColumnRenamed("rating", "score"), 3)
-    return jobs.recommend_from_query(spark, ratings, old.select("user", "item", "rank"), reg=0.1)
+    """From SQL text, merged into three ranks that each customer has already."""
+    _rated_views(spark, sf_dir)
+    old = recommend.rank_candidates(trade_graph.ratings(spark, sf_dir).withColumnRenamed("rating", "score"), 3)
+    return jobs.recommend_from_query(spark, RATED, old.select("user", "item", "rank"), reg=0.1)
+
+
+@query
+def recommendation_ranks(spark, sf_dir):
+    """How many ranks each customer gets from a job by SQL text with the usual constants: as many as there are
+    suppliers it never had, ten at most. Which items they are is for the model to say."""
+    _rated_views(spark, sf_dir)
+    recommendations, _ = jobs.recommendation_job(spark, RATED)
+    return recommendations.groupBy("user").agg(F.count(F.lit(1)).alias("ranks"), F.max("rank").cast("long").alias("last_rank"))
 
 
 @query

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.functions.ordering import with_next
+from vertexloom.functions.ordering import with_next, with_position
 from vertexloom.functions.rounds import checkpointed
 
 
@@ -36,18 +36,31 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.unionByName(customers)
 
 
-def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(partition_id, src, dst, rel_type)``: one row per order that has a next one in its nation."""
+def _placed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), _nation_id("c_nationkey").alias("partition_id")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     placed = orders.join(customers, "o_custkey").withColumn("src", _customer_id("o_custkey"))
     chained = with_next(placed, ["partition_id"], ["o_orderdate", "o_orderkey"], F.col("src"), "dst")
-    steps = chained.filter(F.col("dst").isNotNull())
+    return chained.filter(F.col("dst").isNotNull())
+
+
+def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(partition_id, src, dst, rel_type)``: one row per order that has a next one in its nation."""
+    steps = _placed_steps(spark, sf_dir)
     return checkpointed(steps.select("partition_id", "src", "dst", F.col("o_orderpriority").alias("rel_type")))
 
 
+def order_walks(spark: SparkSession, sf_dir: str, steps: int) -> DataFrame:
+    """``(partition_id, walk, src, dst)``: the chains of all nations one after another, cut into walks of ``steps`` orders.
+
+    A walk is a small graph of customers; there are more of them in larger tables, but they don't grow.
+    """
+    placed = with_position(_placed_steps(spark, sf_dir), ["partition_id", "o_orderdate", "o_orderkey"], "place")
+    return checkpointed(placed.select("partition_id", F.floor(F.col("place") / steps).alias("walk"), "src", "dst"))
+
+
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     has_customer = table(spark, sf_dir, "customer").select(
         _nation_id("c_nationkey").alias("src"), _customer_id("c_custkey").alias("dst"), F.lit("HAS_CUSTOMER").alias("rel_type")
