@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_neighbours import brute_join, runs_of_fifty
 from tests.llm.test_tokens import check_packing
-from vertexloom.llm import language, quality_crf
+from vertexloom.llm import common, language, quality_crf
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 DATA = "/root/testdata/sf0.01"
@@ -104,6 +104,16 @@ def test_words_without_pieces_have_a_score(spark, odd):
     assert all(0 <= row.score <= 1 for row in language.predict(alone, model).collect())
 
 
+def test_workers_keep_one_owner(monkeypatch):
+    monkeypatch.setattr(common, "_KEPT", {})
+    made = []
+    def get(owner, key):
+        return common.worker_memory(owner, key, lambda: made.append((owner, key)) or (owner, key))
+    for owner, key in [("a", 1), ("a", 2), ("a", 1), ("b", 1), ("a", 1)]:
+        assert get(owner, key) == (owner, key)
+    assert made == [("a", 1), ("a", 2), ("b", 1), ("a", 1)]
+
+
 def test_training_words_are_bounded_per_language(spark, monkeypatch):
     monkeypatch.setattr(language, "TRAIN_WORDS", 2)
     taught: dict = {}

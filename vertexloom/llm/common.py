@@ -33,16 +33,18 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[object, object] = {}
+_KEPT: dict[str, dict[object, object]] = {}
 
 
-def worker_memory(key: object, make: Callable[[], object]) -> object:
-    """What this Python worker keeps between its tasks: one thing at a time, so that operators that run one after another
-    don't add up. What another ``key`` kept is dropped first."""
-    if key not in _KEPT:
+def worker_memory(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What this Python worker keeps between its tasks, for one ``owner`` at a time: operators that run one after another
+    don't add up. What another owner kept is dropped first."""
+    if owner not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
+    own = _KEPT.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
 
 
 def arrow_map(

@@ -172,7 +172,7 @@ class Coder:
 
 
 def coder(path: str, pattern: str) -> Coder:
-    return worker_memory(("duck_bpe", path, pattern), lambda: Coder(path, pattern))
+    return worker_memory("duck_bpe", (path, pattern), lambda: Coder(path, pattern))
 
 
 def documents_with_ids(docs: DataFrame) -> DataFrame:

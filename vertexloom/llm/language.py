@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def _of_worker(languages: list[str], vocabulary: Vocabulary, probability: np.ndarray) -> Model:
     """The model as this Python worker knows it, with the scores of the tokens it has met."""
-    return worker_memory(("language", zlib.crc32(probability.tobytes())), lambda: Model(languages, vocabulary, probability))
+    return worker_memory("language", zlib.crc32(probability.tobytes()), lambda: Model(languages, vocabulary, probability))
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

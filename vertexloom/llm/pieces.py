@@ -22,7 +22,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def encoder(path: str, id_type: str = "<u4") -> PieceEncoder:
     """The encoder of this worker for one tokenizer file."""
-    return worker_memory(("pieces", path, id_type), lambda: PieceEncoder(path, id_type))
+    return worker_memory("pieces", (path, id_type), lambda: PieceEncoder(path, id_type))
 
 
 class PieceEncoder:
