@@ -15,6 +15,7 @@ from vertexloom.operators.traversal import closeness_centrality
 from vertexloom.operators.triangles import triangle_count
 from vertexloom.operators.upserts import set_property, upsert_partition_relationships, upsert_recommendations
 from vertexloom.sources.relationships import edges_of_type, partition_edges, ratings_from_query
+from vertexloom.sources.text import RECOMMENDATIONS
 
 
 def _communities(edges: DataFrame, group_cols: Sequence[str] = (), **options) -> DataFrame:
@@ -34,7 +35,6 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "betweenness_centrality": betweenness_centrality,
     "edge_betweenness": _communities,
 }
-RECOMMENDATIONS = "collaborative_filtering"
 
 
 def run_analysis(name: str, data: DataFrame, group_cols: Sequence[str] = (), **options) -> DataFrame:

@@ -298,7 +298,13 @@ ORACLES: dict[str, str] = {
     "apply_updates_stream": with_(VERTICES)
     + f"SELECT vtx.id, label, name, coalesce(f.value, n.value) AS orders FROM vtx LEFT JOIN ({order_counts()}) n ON n.id = vtx.id "
     f"""LEFT JOIN ({order_counts("o_orderstatus = 'F'")}) f ON f.id = vtx.id""",
+    "import_results_partitions": f"""WITH homes AS (SELECT c_custkey * 2 + 1 AS id, c_nationkey::BIGINT * 2 AS partition_id FROM customer)
+SELECT partition_id, id, 'balance' AS analysis, 0.0::DOUBLE AS value FROM homes
+UNION ALL SELECT partition_id, id, 'orders', coalesce(f.value, n.value)
+FROM ({order_counts()}) n JOIN homes USING (id) LEFT JOIN ({order_counts("o_orderstatus = 'F'")}) f USING (id)""",
 }
+ORACLES["import_results_vertices"] = ORACLES["apply_updates_stream"]
+ORACLES["import_results_recommendations"] = ORACLES["upsert_recommendations"]
 for _direction, _pairs in {
     "out": "SELECT src AS id, dst AS other FROM chain",
     "in": "SELECT dst AS id, src AS other FROM chain",

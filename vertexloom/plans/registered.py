@@ -600,3 +600,40 @@ def apply_updates_stream(spark, sf_dir):
         stream = updates.apply_updates_stream(spark, f"{source}/*", target, progress, "orders")
         stream.awaitTermination()
     return updates.read_current(spark, target)
+
+
+def imported(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table after results of all kinds came in twice: counts of all orders, then of finished ones, for vertices and
+    per nation; recommendations by falling, then by rising rating. One batch per file and a base after every few."""
+    source, target = scratch_path(spark, "arrived"), scratch_path(spark, "log")
+    vertices = trade_graph.vertices(spark, sf_dir)
+    homes = trade_graph.table(spark, sf_dir, "customer").select(
+        (F.col("c_custkey") * 2 + 1).alias("id"), (F.col("c_nationkey").cast("long") * 2).alias("partition_id"))
+    old = homes.select("partition_id", "id", F.lit("balance").alias("analysis"), F.lit(0.0).alias("value"))
+    scored = trade_graph.ratings(spark, sf_dir)
+    recommended = recommend.rank_candidates(scored.select("user", "item", (-F.col("rating")).alias("score")), 12)
+    updates.create_log(target, vertices, old, recommended)
+    for status in (None, "F"):
+        counts = order_counts(spark, sf_dir, status)
+        text.write_results(counts, source, "orders")
+        text.write_results(counts.join(homes, "id").select("partition_id", "id", "value"), source, "orders")
+        if status:
+            best = recommend.rank_candidates(scored.select("user", "item", F.col("rating").alias("score")), 10)
+            text.write_results(best.select("user", "item", "rank"), source, jobs.RECOMMENDATIONS)
+        updates.import_results_stream(spark, source, target, max_files=40, compact_after=2).awaitTermination()
+    return updates.read_table(spark, target, table)
+
+
+@query
+def import_results_vertices(spark, sf_dir):
+    return imported(spark, sf_dir, "vertices")
+
+
+@query
+def import_results_partitions(spark, sf_dir):
+    return imported(spark, sf_dir, "relationships")
+
+
+@query
+def import_results_recommendations(spark, sf_dir):
+    return imported(spark, sf_dir, "recommendations")

@@ -6,6 +6,8 @@ of its form fails the read with the line in the message.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from vertexloom.operators.graph import canonicalize
 
 # Header of a property update file (fixed value of the format).
 UPDATES_HEADER = "# Node Property Value List"
+# Analysis key of recommendations (fixed value).
+RECOMMENDATIONS = "collaborative_filtering"
 
 
 def content_lines(lines: DataFrame) -> DataFrame:
@@ -74,10 +78,12 @@ def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _lines(df: DataFrame, separator: str) -> DataFrame:
+def _lines(df: DataFrame, separator: str, fields: list[str] | None = None) -> DataFrame:
+    """``value``, the joined fields (by default all columns), and the columns that are no fields."""
+    fields = df.columns if fields is None else fields
     absent = [F.when(F.col(name).isNull(), F.raise_error(f"null {name}")).otherwise(F.col(name).cast("string"))
-              for name in df.columns]
-    return df.select(F.concat_ws(separator, *absent).alias("value"))
+              for name in fields]
+    return df.select(F.concat_ws(separator, *absent).alias("value"), *[name for name in df.columns if name not in fields])
 
 
 def write_edge_list(edges: DataFrame, path: str) -> None:
@@ -103,3 +109,20 @@ def write_property_updates(result: DataFrame, path: str) -> int:
 def write_rows(df: DataFrame, path: str) -> None:
     """Comma-joined columns without header: the export form of query results and recommendations."""
     df.write.mode("overwrite").csv(path)
+
+
+def write_results(result: DataFrame, folder: str, analysis: str) -> None:
+    """Add the result of an analysis to ``folder``, on the path that the import stream routes by.
+
+    ``(partition_id, id, value)`` goes to a folder per partition, ``(user, item, rank)`` of recommendations and
+    ``(id, value)`` to one folder. Each call adds a folder of its own and replaces nothing.
+    """
+    job = f"{folder}/{uuid.uuid4().hex}"
+    if "partition_id" in result.columns:
+        rest = [name for name in result.columns if name != "partition_id"]
+        lines = _lines(result.select(*rest, "partition_id"), " ", rest)
+        rows = lines.withColumn("analysis", F.lit(analysis)).hint("rebalance", "partition_id")
+        rows.write.partitionBy("partition_id", "analysis").text(f"{job}/partitioned")
+    else:
+        separator = "," if analysis == RECOMMENDATIONS else " "
+        _lines(result, separator).write.text(f"{job}/unpartitioned/{analysis}")
