@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from vertexloom.llm import ans, token_counts
+from vertexloom.llm import ans, duck_bpe, token_counts
 from vertexloom.llm.duck_bpe import Coder, encode_digests
 from vertexloom.llm.packing import Bins, best_fit, pack_documents, plan
 from vertexloom.llm.pieces import PieceEncoder
@@ -222,3 +222,29 @@ def test_best_fit_takes_the_least_room():
     bins = [Bins(2, [90]), Bins(1, [95]), Bins(1, [50])]
     assert best_fit(bins, {5: 2, 40: 1, 60: 1}, 100) == {60: 1}
     assert sorted((run.count, sorted(run.lengths)) for run in bins) == [(1, [5, 90]), (1, [5, 95]), (1, [40, 50]), (1, [90])]
+
+
+def test_long_words_are_joined_from_parts():
+    coder = Coder(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = np.random.default_rng(3)
+    words = ["a" * 400_000, "ab" * 5_000, "=" * 777]
+    for letters in ("a", "ab", "aab", "theandofing", "=-", "é漢a"):
+        words += ["".join(rng.choice(list(letters), size)) for size in (63, 64, 65, 129, 700, 3_000)]
+    for word in words:
+        ids = coder.encode([word])
+        assert np.frombuffer(ids[0], dtype="<u4").tolist() == library._core_bpe.encode_single_piece(word.encode())
+        assert coder.decode(ids) == [word.encode()]
+
+
+def test_words_are_forgotten_and_ids_decoded_in_parts(monkeypatch):
+    coder = Coder(RANKS, public_tokenizers.PATTERN)
+    texts = [f"zqxword{i % 70}wv vbnq{i}x again" for i in range(300)]
+    expected = coder.encode(texts)
+    monkeypatch.setattr(duck_bpe, "MOST_WORDS", 40)
+    monkeypatch.setattr(duck_bpe, "QUERY_BYTES", 50)
+    monkeypatch.setattr(duck_bpe, "QUERY_IDS", 37)
+    coder.known, coder.earlier = {"": b""}, {}
+    assert [coder.encode([text])[0] for text in texts] == expected
+    assert len(coder.known) + len(coder.earlier) < 80
+    assert coder.decode([*expected, b""]) == [*[text.encode() for text in texts], b""]

@@ -2,14 +2,15 @@
 
 Words are matches of the split pattern. The words that a task has not met yet become rows ``(word, pos, id)`` of single
 bytes; a recursive query joins neighbouring rows with the merge table and contracts, per word and step, the leftmost
-pair of the lowest rank, until no pair of the word is in the table. An ordered aggregation turns ids back into bytes.
+pair of the lowest rank, until no pair of the word is in the table. A word of more than ``LONG`` bytes is contracted in parts that are joined where their
+ids fit. An ordered aggregation turns ids back into bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +19,31 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, slices, worker_memory
 
-MOST_WORDS = 700_000  # remembered per worker; beyond that the memory starts anew
-LONG = 64  # bytes; longer words go through the same step as a loop that keeps only the last step's rows
-QUERY_WORDS = 50_000  # words in one query
+MOST_WORDS = 700_000  # remembered per worker; beyond that those not met for long are forgotten
+LONG = 64  # bytes; longer words are contracted in parts of this length, which are then joined
+QUERY_BYTES = 1_000_000  # bytes of the words in one query
+QUERY_IDS = 1_000_000  # ids in one query that decodes
 
-# In a step `best` is the word's lowest rank and the place of its leftmost pair in one number. Words without a pair that
-# is in the merge table are not continued; their last rows are the result.
+# Rows of a word are linked: `follows` is the place of the next one. In a step `best` is the word's lowest rank, the place of
+# its leftmost pair, that of the pair's second row and what follows it, in one number. Words without a pair that is in the
+# merge table come out as they are, closed.
 ENCODE = """
-WITH RECURSIVE steps(word, pos, id, step) AS (
-    SELECT word, pos, id, 0 FROM bytes
+WITH RECURSIVE steps(word, pos, id, follows, open) AS (
+    SELECT word, pos, id, pos + 1, true FROM bytes
     UNION ALL
-    SELECT own.word, pos, (CASE WHEN pos = best & 255 THEN best >> 8 ELSE id END)::INTEGER, step + 1
-    FROM (SELECT word, pos, id, step, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS previous FROM steps) AS own
-    JOIN (SELECT word, min((merged << 8) | pos) AS best
-          FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM steps) AS pairs
-          JOIN merges ON merges.l = pairs.id AND merges.r = pairs.next_id
-          GROUP BY word) AS lowest ON lowest.word = own.word
-    WHERE previous IS DISTINCT FROM (best & 255)
+    SELECT own.word, pos, (CASE WHEN pos = (best >> 16) & 255 THEN best >> 24 ELSE id END)::INTEGER,
+           (CASE WHEN pos = (best >> 16) & 255 THEN best & 255 ELSE follows END)::INTEGER, best IS NOT NULL
+    FROM (SELECT * FROM steps WHERE open) AS own
+    LEFT JOIN (SELECT one.word, min((merged << 24) | (one.pos << 16) | (two.pos << 8) | two.follows) AS best
+               FROM steps AS one JOIN steps AS two ON two.word = one.word AND two.pos = one.follows
+               JOIN merges ON merges.l = one.id AND merges.r = two.id
+               WHERE one.open AND two.open GROUP BY one.word) AS lowest ON lowest.word = own.word
+    WHERE pos IS DISTINCT FROM (best >> 8) & 255
 )
-SELECT word, id FROM steps QUALIFY step = max(step) OVER (PARTITION BY word) ORDER BY word, pos
+SELECT word, id FROM steps WHERE NOT open ORDER BY word, pos
 """
 
-# For long words a step takes all places of the lowest rank at once: of a run of overlapping ones every other, from the
+# For a long stretch around a joint of parts, a step takes all places of the lowest rank at once: of a run of overlapping ones every other, from the
 # left. A merge can only make pairs of higher rank, so the leftmost-first order gives the same.
 LONG_STEP = """
 CREATE OR REPLACE TEMP TABLE next AS
@@ -54,10 +58,8 @@ FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS sw
 WHERE NOT swallowed
 """
 
-# One thread reads the sorted rows, so the aggregation takes them in order; `decode` is checked against the texts.
 DECODE = """
-SELECT string_agg(hex, '') AS hex, doc FROM (
-    SELECT doc, hex, pos FROM ids JOIN vocabulary USING (id) ORDER BY pos) AS sorted GROUP BY doc
+SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -79,27 +81,35 @@ class Coder:
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [x.hex() for x in self.ranks]})  # noqa: F841
         self.connection.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.connection.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self.words = {rank: word for word, rank in self.ranks.items()}
         self.known: dict[str, bytes] = {"": b""}
+        self.earlier: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32 bit numbers."""
-        known = self.known
         cuts = [self._pieces(text) for text in texts]
         wanted: set[str] = set()
         for pieces in cuts:
             wanted.update(pieces)
-        missing = [piece for piece in wanted if piece not in known]
-        if len(known) + 2 * len(missing) > MOST_WORDS:
-            known.clear()
-            known[""] = b""
-            missing = [piece for piece in wanted if piece]
-        words = {piece: self.pattern.findall(piece) for piece in missing}
-        new = {word for split in words.values() for word in split if word not in known}
-        self._learn(sorted(new))
+        if len(self.known) + len(wanted) > MOST_WORDS // 2:
+            self.earlier, self.known = self.known, {"": b""}
+        known = self.known
+        words = {piece: self.pattern.findall(piece) for piece in self._unknown(wanted)}
+        self._learn(sorted(self._unknown({word for split in words.values() for word in split})))
         for piece, split in words.items():
             known[piece] = b"".join([known[word] for word in split])
         return [b"".join([known[piece] for piece in pieces]) for pieces in cuts]
 
+    def _unknown(self, pieces: set[str]) -> list[str]:
+        """Those without ids so far; the ids of those that return are kept on."""
+        missing = []
+        for piece in pieces.difference(self.known):
+            if (ids := self.earlier.get(piece)) is not None:
+                self.known[piece] = ids
+            else:
+                missing.append(piece)
+        return missing
+
     @staticmethod
     def _pieces(text: str) -> list[str]:
         """Matches never join what stands before a lone space or line break with what follows it."""
@@ -108,19 +118,75 @@ class Coder:
         return PieceEncoder._keeping_spaces(text)
 
     def _learn(self, words: list[str]) -> None:
-        split: dict[bool, list[tuple[str, bytes]]] = {False: [], True: []}
+        new = []
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.known[word] = np.array([rank], dtype="<u4").tobytes()
+            elif len(raw) <= LONG:
+                new.append((word, raw))
             else:
-                split[len(raw) > LONG].append((word, raw))
-        for long, own in split.items():
-            for at in range(0, len(own), QUERY_WORDS):
-                part = own[at : at + QUERY_WORDS]
-                self._contract([word for word, _ in part], [raw for _, raw in part], long)
+                self.known[word] = self._joined(raw)
+        for (word, _), ids in zip(new, self._contracted([raw for _, raw in new])):
+            self.known[word] = ids
+
+    def _contracted(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of words of bytes, each contracted as a whole, in queries over a bounded number of bytes."""
+        found = [b""] * len(raws)
+        for long in (False, True):
+            held: list[int] = []
+            size = 0
+            own = [i for i, raw in enumerate(raws) if (len(raw) > LONG) == long]
+            for i in own:
+                held.append(i)
+                size += len(raws[i])
+                if size >= QUERY_BYTES or i == own[-1]:
+                    for j, ids in zip(held, self._query([raws[j] for j in held], long)):
+                        found[j] = ids
+                    held, size = [], 0
+        return found
+
+    def _joined(self, raw: bytes) -> bytes:
+        """Ids of a long word from those of its parts, two neighbours at a time.
 
-    def _contract(self, words: list[str], raws: list[bytes], long: bool) -> None:
+        Ids are those of the word exactly if each neighbouring two are those of their own bytes. So where the last id of
+        one part and the first of the next are not, the ids around are made anew from their bytes, more of them each
+        time, until the ends of that stretch fit what stands beside it.
+        """
+        parts = [np.frombuffer(x, dtype="<u4") for x in self._contracted([raw[i : i + LONG] for i in range(0, len(raw), LONG)])]
+        while len(parts) > 1:
+            odd = parts[len(parts) // 2 * 2 :]
+            parts = self._pairs_joined(list(zip(parts[::2], parts[1::2]))) + odd
+        return parts[0].tobytes()
+
+    def _pairs_joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        joined: list[np.ndarray] = [np.empty(0, dtype="<u4")] * len(pairs)
+        todo, reach = list(range(len(pairs))), 1
+        while todo:
+            cut = [(left[: max(len(left) - reach, 0)], left[max(len(left) - reach, 0) :], right[:reach], right[reach:])
+                   for left, right in (pairs[i] for i in todo)]
+            stretches = self._contracted([self._bytes(one) + self._bytes(two) for _, one, two, _ in cut])
+            anew = [np.frombuffer(x, dtype="<u4") for x in stretches]
+            ends = [[*([(before[-1], new[0])] if len(before) else []), *([(new[-1], after[0])] if len(after) else [])]
+                    for (before, _, _, after), new in zip(cut, anew)]
+            fit = iter(self._fit([pair for own in ends for pair in own]))
+            still = []
+            for i, (before, _, _, after), new, own in zip(todo, cut, anew, ends):
+                if all([next(fit) for _ in own]):
+                    joined[i] = np.concatenate([before, new, after])
+                else:
+                    still.append(i)
+            todo, reach = still, 4 * reach
+        return joined
+
+    def _fit(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        found = self._contracted([self._bytes(pair) for pair in pairs])
+        return [ids == np.array(pair, dtype="<u4").tobytes() for ids, pair in zip(found, pairs)]
+
+    def _bytes(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.words[int(i)] for i in ids])
+
+    def _query(self, raws: list[bytes], long: bool) -> list[bytes]:
         sizes = np.array([len(raw) for raw in raws], dtype=np.int64)
         owner = np.repeat(np.arange(len(raws)), sizes)
         pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -128,17 +194,11 @@ class Coder:
             "word": owner.astype(np.int32), "pos": pos.astype(np.int32),
             "id": self.single[np.frombuffer(b"".join(raws), dtype=np.uint8)]})
         self.connection.register("bytes", bytes_)
-        if long:
-            found = self._loop()
-        else:
-            found = self.connection.execute(ENCODE).fetchnumpy()
+        found = self._loop() if long else self.connection.execute(ENCODE).fetchnumpy()
         self.connection.unregister("bytes")
         ids = found["id"].astype("<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(found["word"], minlength=len(words)))
-        start = 0
-        for word, end in zip(words, ends.tolist()):
-            self.known[word] = ids[start:end]
-            start = end
+        ends = [0, *(4 * np.cumsum(np.bincount(found["word"], minlength=len(raws)))).tolist()]
+        return [ids[start:end] for start, end in zip(ends, ends[1:])]
 
     def _loop(self) -> dict[str, np.ndarray]:
         run = self.connection.execute
@@ -152,17 +212,30 @@ class Coder:
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Per row of ids the bytes they stand for."""
-        sizes = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
-        flat = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
-        result = [b""] * len(encoded)
+        result: list[list[bytes]] = [[] for _ in encoded]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for doc, raw in enumerate(encoded):
+            ids = np.frombuffer(raw, dtype="<i4")
+            while len(ids):
+                part, ids = ids[: QUERY_IDS - size], ids[QUERY_IDS - size :]
+                held.append((doc, part))
+                size += len(part)
+                if size == QUERY_IDS:
+                    self._decode(held, result)
+                    held, size = [], 0
+        if held:
+            self._decode(held, result)
+        return [b"".join(parts) for parts in result]
+
+    def _decode(self, held: list[tuple[int, np.ndarray]], result: list[list[bytes]]) -> None:
+        flat = np.concatenate([ids for _, ids in held])
         self.connection.register("ids", pa.table({
-            "doc": np.repeat(np.arange(len(encoded), dtype=np.int32), sizes),
+            "doc": np.repeat(np.array([doc for doc, _ in held], dtype=np.int32), [len(ids) for _, ids in held]),
             "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        for text, doc in self.connection.execute(DECODE).fetchall():
-            result[doc] = bytes.fromhex(text)
+        for doc, text in self.connection.execute(DECODE).fetchall():
+            result[doc].append(bytes.fromhex(text))
         self.connection.unregister("ids")
-        return result
-
 
     def round_trip(self, encoded: list[bytes], texts: pa.Array) -> list[bytes]:
         decoded = self.decode(encoded)
