@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from vertexloom.llm import ans, duck_bpe, token_counts
 from vertexloom.llm.duck_bpe import Coder, encode_digests
@@ -157,14 +158,35 @@ def test_counts(spark, documents):
     assert token_counts.token_counts(documents.limit(0), BYTES).count() == 0
 
 
-def test_chunks_splice_to_the_whole():
-    library = Tokenizer.from_file(BYTES)
+def test_chunks_cover_the_text():
     pick = random.Random(5)
     for text in [*odd_texts(), " ".join("w" * pick.randint(1, 90) for _ in range(400)), "  ".join(["double"] * 200)]:
         parts = list(token_counts.chunks(text, size=60, overlap=8))
-        counts = [token_counts.count_between(library, *part) for part in parts]
-        assert None not in counts
-        assert sum(counts) == len(library.encode(text, add_special_tokens=False).ids), text
+        assert [part[0] for part in parts] == list(range(len(parts))) and [part[1] for part in parts][-1]
+        assert "".join(text[left:right] for *_, left, right in parts) == text
+        for _, _, chunk, start, left, right in parts:
+            assert chunk == text[max(left - 8, 0) : right + 8] and start == max(left - 8, 0)
+
+
+def test_spliced_counts(spark, tmp_path, monkeypatch):
+    pick = random.Random(8)
+    texts = [" ".join("w" * pick.randint(1, 9) for _ in range(20_000)), "a b " * 40_000, "double  " * 30_000,
+             "y" * 100_000, " ".join(str(i) for i in range(30_000)), None]
+    frame = spark.createDataFrame([*enumerate(texts), (1, texts[1]), (None, texts[0])], "doc_id long, text string").repartition(3)
+    # A tokenizer whose tokens cross spaces: no lone space is a boundary, so overlaps widen until the text is one chunk.
+    crossing = Tokenizer(BPE({"a": 0, "b": 1, " ": 2, "a ": 3, "b ": 4, "a b ": 5}, [("a", " "), ("b", " "), ("a ", "b ")]))
+    crossing.save(str(tmp_path / "crossing.json"))
+    rounds = []
+    plain = token_counts._spliced
+    monkeypatch.setattr(token_counts, "_spliced", lambda *args: rounds.append(args[-1]) or plain(*args))
+    for path, least, most in ((BYTES, 1, 1), (str(tmp_path / "crossing.json"), 2, 9)):
+        library = Tokenizer.from_file(path)
+        rounds.clear()
+        found = Counter((row.doc_id, row.n_tokens) for row in token_counts.token_counts(frame, path).collect())
+        expected = [(doc_id, len(library.encode(text or "", add_special_tokens=False).ids))
+                    for doc_id, text in [*enumerate(texts), (1, texts[1]), (None, texts[0])]]
+        assert found == Counter(expected)
+        assert least <= len(rounds) <= most
 
 
 def check_packing(rows, texts, size):
