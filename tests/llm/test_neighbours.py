@@ -197,6 +197,30 @@ def test_bounds_never_rule_out_a_link():
                 assert (b, a) in open_
 
 
+def test_blocks_are_skipped_by_place_and_no_link_with_them():
+    random = np.random.default_rng(3)
+    size = 6 * shingle_join.SKIP
+    n = random.integers(40, 60, size)
+    place = np.sort(random.integers(0, 30, size))  # rows of a list come by rising place
+    left = right = np.arange(size)
+    meeting = shingle_join._meeting(n, n - place, left, right)
+    possible = np.minimum((n - place)[:, None], n - place) >= shingle_join.least_overlap(n[:, None], n)
+    possible &= (n * 100 >= n[:, None] * 80) & (n * 80 <= n[:, None] * 100)
+    of_blocks = possible.reshape(6, shingle_join.SKIP, 6, shingle_join.SKIP).any(axis=(1, 3))
+    assert (meeting | ~of_blocks).all()
+    assert not meeting[:, -1].any() and not meeting[-1].any() and meeting[0, 0] and 11 <= (~meeting).sum() < 36
+
+
+def test_groups_joined_by_further_links(spark):
+    links = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    groups = shingle_join.components(links((1, 2), (2, 3), (5, 6), (8, 9)))
+    joined = shingle_join._joined(groups, links((3, 6), (12, 11), (9, 10), (4, 10), (5, 1)))
+    expected = {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 11: 11, 12: 11, 4: 4, 8: 4, 9: 4, 10: 4}
+    assert {row.id: row.component for row in joined.collect()} == expected
+    assert joined.count() == len(expected)
+    assert shingle_join._joined(groups, links((1, 2)).limit(0)).count() == 7
+
+
 def test_one_of_each_group(spark, texts):
     expected = brute_join(text_rows())
     kept = one_of_each_group(texts)

@@ -1,8 +1,8 @@
 """Jaccard join of shingle sets with set-relation skipping.
 
 Sets that are equal are one set. Shingles are ordered from rare to frequent, and two sets that are similar enough share
-one among the first few of each (prefix filter): these make inverted lists. A list is read in blocks: sets
-whose sizes rule out a link are left out, and pairs whose positions leave too little room for the overlap are masked. Every set of a list is first compared
+one among the first few of each (prefix filter): these make inverted lists. A list is read in blocks by position: blocks
+whose sizes or whose places leave too little room for the overlap are skipped. Every set of a list is first compared
 with one leading set; its overlap with the leader bounds its overlap with any other set of which the leader's is known, so
 the answers of a set follow from those of a similar one but for the pairs that the bounds leave open (after Wang, Qin,
 Lin, Zhang, Chang: "Leveraging set relations in exact and dynamic set similarity join", 2017).
@@ -27,6 +27,7 @@ CHUNK = 1024  # counts in one row, so that they are summed by many tasks
 LEADERS = 8  # further sets of a list that lead it in each round
 FEW = 100  # rounds end when fewer than one in so many of the pairs links
 BLOCK = 1024  # sets of a list that are held against as many others at once
+SKIP = 64  # sets of a list that are skipped together
 
 DESCRIBED = "doc_id long, row long, n long, node long, chunk int, counts binary"
 PREFIXES = "row long, node long, n long, prefix array<long>"
@@ -66,25 +67,25 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     shared = stored(arrow_map(listed, _led, SHARED), "shared")
     first_pairs = shared.filter("node <> leader").filter(_possible("n", "place", "leader_n", "leader_place")).select(
         F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    overlaps = _overlaps(rows, first, stored(first_pairs, "first_pairs"))
+    sets = _sets(rows, first, shared)
+    overlaps = _overlaps(sets, stored(first_pairs, "first_pairs"))
 
-    # Groups grow by more leaders per list until a round finds hardly any link; then all pairs still open are looked at.
+    # Groups grow by more leaders per list until a round finds hardly any link: one pair in FEW, or so few that they would
+    # cost no more pairs than were compared so far, were they all in one group. Then all pairs still open are looked at.
     links = overlaps.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
-    groups, compared, seed = components(links), overlaps, 0
+    groups, compared, seed, size = components(links), overlaps, 0, overlaps.count()
     while True:
         pairs = stored(_led_pairs(shared, groups, compared, range(seed, seed + LEADERS)), "led_pairs")
-        more = _overlaps(rows, first, pairs)
+        more = _overlaps(sets, pairs)
         fresh = stored(more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b"), "fresh")
         found, asked = fresh.count(), pairs.count()
         if not found:
             break
-        links, compared, seed = links.unionByName(fresh), compared.unionByName(more), seed + LEADERS
-        groups = components(links)
-        if found * FEW < asked:
+        groups, compared, seed, size = _joined(groups, fresh), compared.unionByName(more), seed + LEADERS, size + asked
+        if found * FEW < asked or found * found <= size:
             break
-    more = _overlaps(rows, first, stored(_open_pairs(shared, compared, groups), "open_pairs"))
-    late = more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b")
-    everything = components(links.unionByName(late))
+    more = _overlaps(sets, stored(_open_pairs(shared, compared, groups), "open_pairs"))
+    everything = _joined(groups, more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b"))
 
     # Ids of a component: the smallest over all its documents, equal sets included.
     nodes = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))
@@ -245,20 +246,36 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*names, *leads])
 
 
-def _overlaps(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes. The sets are made again from the texts that the pairs ask for; a
-    filter of fixed size keeps most other texts from being looked at, the join does so exactly."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(first.join(asked, "node"), "wanted")
+def _sets(rows: DataFrame, first: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(node, n, hashes)`` of all sets that stand in a list with another, made once more from their texts; a filter of
+    fixed size keeps most other texts from being looked at, the join does so exactly."""
+    wanted = stored(first.join(shared.select("node").distinct(), "node"), "wanted")
     made = arrow_map(rows.select("row", "text"), _whole_sets(bloom_filter(wanted.select("row"))), "row long, node long, n long, hashes array<long>")
-    made = stored(made.join(wanted, ["row", "node"], "left_semi").dropDuplicates(["row", "node"]), "sets")
-    left = made.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
-    right = made.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
+    made = made.join(wanted, ["row", "node"], "left_semi").dropDuplicates(["row", "node"])
+    return stored(made.select("node", "n", "hashes"), "sets")
+
+
+def _overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, n_a, n_b, overlap)`` of pairs of nodes."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("in_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("in_b"))
     both = pairs.join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("in_a", "in_b")).cast("long")
     return stored(both.select("a", "b", "n_a", "n_b", overlap.alias("overlap")), "overlaps")
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (``id, component``) after further links: only the components that they join are looked at."""
+    linked = links
+    for end in ("a", "b"):
+        own = groups.select(F.col("id").alias(end), F.col("component").alias("own"))
+        linked = linked.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    joined = components(linked.select("a", "b"))
+    moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = joined.join(groups.select("id"), "id", "left_anti")  # ids that had no link before
+    return stored(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(alone), "groups")
+
+
 def _whole_sets(bloom: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
@@ -336,29 +353,41 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _meeting(n: np.ndarray, room: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether a link is possible between SKIP sets of ``left`` and SKIP of ``right``, by the least and greatest size and the
+    greatest room behind the shared shingle of each. Rows come by rising place, so the last blocks leave least room."""
+    def ends(at: np.ndarray) -> list[np.ndarray]:
+        starts = np.arange(0, len(at), SKIP)
+        return [np.minimum.reduceat(n[at], starts), np.maximum.reduceat(n[at], starts), np.maximum.reduceat(room[at], starts)]
+
+    least, most, space = (x[:, None] for x in ends(left))
+    least_right, most_right, space_right = ends(right)
+    sizes = (most_right * OF >= least * SHARE) & (least_right * SHARE <= most * OF)
+    return sizes & (np.minimum(space, space_right) >= least_overlap(least, least_right))
+
+
 def _block_pairs(rows: pa.Table) -> np.ndarray:
-    """Open pairs between two blocks of a list. Rows come by rising place, so later places leave less and less room."""
+    """Open pairs between two blocks of a list, whose rows come by rising place."""
     low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
     names = ("block", "place", "node", "n", "leader", "overlap", "component")
     block, place, node, n, leader, overlap, component = (rows.column(name).to_numpy() for name in names)
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(left) or not len(right) or (component == component[0]).all():
         return np.empty((0, 2), dtype=np.int64)
+    room = n - place
+    meeting = _meeting(n, room, left, right)
+    if not meeting.any():
+        return np.empty((0, 2), dtype=np.int64)
     earlier = _members(rows.column("earlier"))
     result = []
-    step = 64
-    for at in range(0, len(left), step):
-        i = left[at : at + step]
-        # Leave out sets that are too small or too large for all of this step; places only mask pairs below.
-        j = right[(n[right] * OF >= n[i].min() * SHARE) & (n[right] * SHARE <= n[i].max() * OF)]
-        if not len(j):
-            continue
-        need = -(-(n[i][:, None] + n[j]) * SHARE // (OF + SHARE))
-        room = np.minimum((n[i] - place[i])[:, None], n[j] - place[j])
+    for step in np.flatnonzero(meeting.any(axis=1)):
+        i = left[step * SKIP : (step + 1) * SKIP]
+        j = right[np.repeat(meeting[step], SKIP)[: len(right)]]
+        need = least_overlap(n[i][:, None], n[j])
         # |x n y| <= |l n y| + |x \\ l|, and the same with x and y exchanged, where both overlaps with one leader l are known.
         known = (overlap[j] >= 0) & (overlap[i] >= 0)[:, None] & (leader[j] == leader[i][:, None])
         bound = np.minimum(overlap[j] + (n[i] - overlap[i])[:, None], overlap[i][:, None] + (n[j] - overlap[j]))
-        open_ = (room >= need) & (~known | (bound >= need)) & (component[i][:, None] != component[j])
+        open_ = (np.minimum(room[i][:, None], room[j]) >= need) & (~known | (bound >= need)) & (component[i][:, None] != component[j])
         open_ &= earlier[i] @ earlier[j].T == 0
         a, b = np.nonzero(open_)
         a, b = node[i[a]], node[j[b]]
