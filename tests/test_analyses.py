@@ -96,6 +96,24 @@ def test_distances_and_paths(spark, hot_rows):
     assert one == {k: lowest[k] for k in [("dag13", 1, 3), ("tree", 0, 9), ("ring", 1, 6)]}
 
 
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_shortest_path_of_all_pairs(spark, hot_rows):
+    frame = grouped_frame(spark, ALL)
+    lowest = {}
+    for name, edges in ALL.items():
+        for path in brute.shortest_paths(edges):
+            key = (name, path[0], path[-1])
+            lowest[key] = min(path, lowest.get(key, path))
+    ids = {(name, v) for name, edges in ALL.items() for e in edges for v in e[:2]}
+    every = [(n, v, w) for n, v in ids for m, w in ids if n == m] + [("nowhere", 1, 2), ("tree", 0, 999)]
+    pairs = spark.createDataFrame(every + every[:5], "g string, src long, dst long")
+    found = shortest_path(frame, pairs, ["g"], hot_rows).collect()
+    assert len(found) == len(lowest)
+    assert {(r.g, r.src, r.dst): tuple(r.path) for r in found} == {k: tuple(v) for k, v in lowest.items()}
+    assert all(r.distance == len(r.path) - 1 for r in found)
+    assert shortest_path(frame, pairs.limit(0), ["g"]).count() == 0
+
+
 def test_batches_give_the_same_result(spark):
     edges = edge_frame(spark, RING)
     assert as_map(betweenness_centrality(edges, max_pairs=25)) == ODD_EVEN

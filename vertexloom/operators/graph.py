@@ -141,8 +141,8 @@ def index_vertices(vertices: DataFrame, name: str = "index") -> DataFrame:
 
 
 def random_vertex(vertices: DataFrame, seed: int) -> DataFrame:
-    """One vertex, picked by a seeded hash of its id: the same seed and vertices always give the same pick."""
-    return vertices.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(1)
+    """One vertex, the one with the smallest md5 of ``seed:id``: the same seed and vertices always give the same pick."""
+    return vertices.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(1)
 
 
 def count_graph(g: Graph) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.ordering import with_position
 from vertexloom.functions.rounds import checkpointed, measure, row_count, settle, union_all
+from vertexloom.functions.skew import join_spread
 from vertexloom.operators.adjacency import Adjacency
 from vertexloom.operators.graph import simplify, vertices_from_edges
 
@@ -203,21 +204,15 @@ def reachable(
 
 def _extend_paths(
     edges: DataFrame,
-    pairs: DataFrame | None,
     sources: DataFrame | None,
     targets: DataFrame | None,
     groups: list[str],
-    only_lowest: bool,
     hot_rows: int | None,
 ) -> DataFrame:
     """Grow paths from their sources, one hop a round, along edges that come one hop nearer to the target."""
     simple = checkpointed(simple_edges(edges, groups))
-    if pairs is not None:
-        targets = pairs.select(*groups, F.col("dst").alias("id"))
     to_target = shortest_path_lengths(simple, targets, group_cols=groups, hot_rows=hot_rows)
     starts = to_target.filter(F.col("distance") > 0)
-    if pairs is not None:
-        starts = starts.join(pairs.select(*groups, "src", "dst").distinct(), [*groups, "src", "dst"], "left_semi")
     if sources is not None:
         wanted = sources.select(*groups, F.col("id").alias("src")).distinct()
         starts = starts.join(wanted, [*groups, "src"], "left_semi")
@@ -236,9 +231,6 @@ def _extend_paths(
     finished = [open_paths.filter(F.lit(False)).select(*head, "path")]
     while row_count(open_paths):
         nearer = adjacency.attach(open_paths).drop("src").join(remaining, [*groups, "dst", "to", "left"])
-        if only_lowest:
-            # One row per open pair: the smallest next id that is nearer. Its path so far is the same in all of them.
-            nearer = nearer.groupBy(*head, "left").agg(F.min("dst").alias("dst"), F.first("path").alias("path"))
         longer = checkpointed(
             nearer.select(
                 *head, F.col("dst").alias("id"), (F.col("left") - 1).alias("left"),
@@ -264,14 +256,14 @@ def all_shortest_paths(
     ``path`` lists the ids from ``src`` to ``dst``. ``sources`` and ``targets`` (frames with ``id``) restrict the ends.
     Only edges that lie on a shortest path are followed, so no partial path is ever dropped.
     """
-    return _extend_paths(edges, None, sources, targets, list(group_cols), False, hot_rows)
+    return _extend_paths(edges, sources, targets, list(group_cols), hot_rows)
 
 
 def shortest_paths_to(
     edges: DataFrame, destinations: DataFrame, group_cols: Sequence[str] = (), hot_rows: int | None = None
 ) -> DataFrame:
     """All shortest paths from every vertex to each of ``destinations``."""
-    return _extend_paths(edges, None, None, destinations, list(group_cols), False, hot_rows)
+    return _extend_paths(edges, None, destinations, list(group_cols), hot_rows)
 
 
 def shortest_path(
@@ -280,5 +272,56 @@ def shortest_path(
     """One shortest path per ``(src, dst)`` in ``pairs``: of several, the one whose id sequence is the smallest.
 
     Pairs without a path, and pairs of a vertex with itself, are absent. Paths that lose the tie are not enumerated.
+
+    The search goes from both ends. A round takes, for each pair on its own, the end with fewer vertices on its last
+    level one level on, so no vertex beyond the level where the two meet is looked at; a pair leaves when they meet or
+    one end has nowhere to go. A vertex carries the smallest sequence between it and its end: all sequences of a level
+    are equally long, so the smallest through a vertex is the smallest to it followed by the smallest from it.
     """
-    return _extend_paths(edges, pairs, None, None, list(group_cols), True, hot_rows)
+    groups = list(group_cols)
+    pair = [*groups, "src", "dst"]
+    named = [*groups, "_from", "_to"]
+    simple = checkpointed(simple_edges(edges, groups))
+    ends = pairs.select(*pair).filter(F.col("src") != F.col("dst")).distinct().toDF(*named)
+    both = [
+        ends.select("*", F.lit(forward).alias("forward"), F.col(end).alias("id"), F.array(end).alias("path"))
+        for forward, end in ((True, "_from"), (False, "_to"))
+    ]
+    last, left = settle(union_all(both), rows=F.count(F.lit(1)))
+    seen = [last.select(*named, "forward", "id")]
+    found = []
+    leaving = Adjacency(simple, "src", groups, hot_rows or HUB_EDGES)
+    entering = Adjacency(simple, "dst", groups, hot_rows or HUB_EDGES)
+    try:
+        while left["rows"]:
+            sizes = last.groupBy(*named).agg(F.count_if("forward").alias("ahead"), F.count_if(~F.col("forward")).alias("back"))
+            sizes = sizes.filter((F.col("ahead") > 0) & (F.col("back") > 0))
+            moves = F.col("forward") == (F.col("ahead") <= F.col("back"))
+            dealt = checkpointed(
+                join_spread(last, sizes, named, rows=left["rows"], hot_rows=hot_rows)
+                .withColumn("moves", moves).drop("ahead", "back")
+            )
+            waiting = dealt.filter(~F.col("moves")).drop("moves")
+            moving = dealt.filter("moves").drop("moves")
+            ahead = leaving.attach(moving.filter("forward")).drop("src").withColumnRenamed("dst", "id")
+            ahead = ahead.withColumn("path", F.concat("path", F.array("id")))
+            back = entering.attach(moving.filter(~F.col("forward"))).drop("dst").withColumnRenamed("src", "id")
+            back = back.withColumn("path", F.concat(F.array("id"), "path"))
+            level = ahead.unionByName(back).groupBy(*named, "forward", "id").agg(F.min("path").alias("path"))
+            level = checkpointed(level.join(union_all(seen), [*named, "forward", "id"], "left_anti"))
+            seen.append(level.select(*named, "forward", "id"))
+
+            other = waiting.select(*named, "id", F.col("path").alias("half"))
+            whole = F.when(F.col("forward"), F.concat("path", F.slice("half", F.lit(2), F.size("half") - 1)))
+            whole = whole.otherwise(F.concat("half", F.slice("path", F.lit(2), F.size("path") - 1)))
+            met = level.join(other, [*named, "id"]).groupBy(*named).agg(F.min(whole).alias("path"))
+            found.append(checkpointed(met))
+            last = level.unionByName(waiting).join(found[-1], named, "left_anti")
+            last, left = settle(last, rows=F.count(F.lit(1)))
+    finally:
+        leaving.release()
+        entering.release()
+    if not found:
+        found = [ends.select(*named, F.array("_from").alias("path")).filter(F.lit(False))]
+    result = union_all(found).withColumn("distance", F.size("path") - 1)
+    return result.select(*groups, F.col("_from").alias("src"), F.col("_to").alias("dst"), "distance", "path")

@@ -207,6 +207,7 @@ ORACLES: dict[str, str] = {
     "line_graph": with_(CHAIN, "s AS MATERIALIZED (SELECT DISTINCT src, dst FROM chain)")
     + "SELECT a.src, a.dst AS via, b.dst FROM s a JOIN s b ON a.dst = b.src",
     "index_vertices": with_(VERTICES) + 'SELECT id, row_number() OVER (ORDER BY id) - 1 AS "index" FROM vtx',
+    "random_vertex": with_(VERTICES) + "SELECT id FROM vtx ORDER BY md5('7:' || id), id LIMIT 1",
     "count_graph": with_(CHAIN, *graph(["rel_type"]))
     + "SELECT v.g AS rel_type, count(*) AS vertices, any_value(n) AS edges FROM v "
     "JOIN (SELECT rel_type, count(*) AS n FROM chain GROUP BY 1) c ON c.rel_type = v.g GROUP BY v.g",
