@@ -153,6 +153,27 @@ def test_features_do_not_depend_on_neighbouring_documents():
         assert np.allclose(features[document == i], alone) and np.allclose(weight[document == i], own_weight)
 
 
+def test_training_measures_some_texts_at_a_time(monkeypatch):
+    import tracemalloc
+
+    random = np.random.default_rng(5)
+    texts = [" ".join(random.choice(["some", "words", "|", "of", "Text.", "12"], 60).tolist()).encode() * 3 + b"\nx y\n" for _ in range(2500)]
+    quality = np.arange(len(texts)) % 2
+    monkeypatch.setattr(quality_crf, "STEPS", 2)
+    monkeypatch.setattr(quality_crf, "AT_ONCE", 10**9)
+    whole = quality_crf.learned(texts, quality)
+    monkeypatch.undo()
+    monkeypatch.setattr(quality_crf, "STEPS", 2)
+    tracemalloc.start()
+    try:
+        parts = quality_crf.learned(texts, quality)
+        assert tracemalloc.get_traced_memory()[1] < 25 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    for name in ("edges", "weights", "transition"):
+        assert np.array_equal(getattr(parts, name), getattr(whole, name))
+
+
 def test_quality_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
     rows = {row.doc_id: row for row in quality_crf.train_and_score(docs, labels).collect()}

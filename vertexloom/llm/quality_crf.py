@@ -23,6 +23,7 @@ BINS = 8
 PASSES = 2  # trainings; between two of them the lines of bad documents are labelled anew
 STEPS = 250  # gradient steps of a training
 RIDGE = 1e-4
+AT_ONCE = 500_000  # bytes of text whose lines are measured at once in training, one text at least
 SURE = 0.9  # a line of a bad document becomes good above this marginal
 
 FEATURES = [
@@ -193,8 +194,23 @@ class Field:
         return np.clip(np.bincount(document, weight * good, minlength=len(texts)) / total, 0.0, 1.0)
 
 
+def _features_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(features, document)`` as of ``line_features``, some texts at a time: it needs about forty times their size."""
+    features, documents, first = [], [], 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= AT_ONCE:
+            size += len(texts[last])
+            last += 1
+        own, _, document = line_features(texts[first:last])
+        features.append(own)
+        documents.append(document + first)
+        first = last
+    return np.concatenate(features), np.concatenate(documents)
+
+
 def learned(texts: list[bytes], quality: np.ndarray) -> Field:
-    features, _, document = line_features(texts)
+    features, document = _features_in_parts(texts)
     field = Field.empty(features)
     indices = field.indices(features, document)
     labels = quality[document].astype(np.float64)
