@@ -59,6 +59,20 @@ def test_pieces_give_what_the_library_gives(path):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_words_are_learned_once_whatever_marks_follow(path, monkeypatch):
+    own, library = PieceEncoder(path), Tokenizer.from_file(path)
+    own.known, learned, learn = {"": b""}, Counter(), own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (learned.update(pieces), learn(pieces))[1])
+    words = ["thonat", "Übung", "niño", "x", "İK", "ab1", "no'"]
+    texts = [" ".join(word + marks for word in words) + "\n" for marks in ("", ",", ".", "!!", "&&&", ",***", ".###", ";:")]
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert set(learned.values()) == {1}
+    assert not any("nat" in piece.lower() and not piece.strip().isalpha() for piece in learned)
+
+
 def test_pieces_after_forgetting(monkeypatch):
     monkeypatch.setattr("vertexloom.llm.pieces.MOST_PIECES", 40)
     own = PieceEncoder(BYTES)

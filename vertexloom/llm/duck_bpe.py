@@ -115,7 +115,8 @@ class Coder:
         """Matches never join what stands before a lone space or line break with what follows it."""
         from vertexloom.llm.pieces import PieceEncoder
 
-        return PieceEncoder._keeping_spaces(text)
+        cut = PieceEncoder._keeping_spaces(text)
+        return [text] if cut is None else cut.split("\0")
 
     def _learn(self, words: list[str]) -> None:
         new = []
