@@ -73,6 +73,15 @@ def test_words_are_learned_once_whatever_marks_follow(path, monkeypatch):
     assert not any("nat" in piece.lower() and not piece.strip().isalpha() for piece in learned)
 
 
+def test_token_files_ask_the_library_for_each_word_once(monkeypatch):
+    own, library, asked = PieceEncoder(WORDS, "<u2"), Tokenizer.from_file(WORDS), Counter()
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (asked.update(pieces), learn(pieces))[1])
+    text = "Thonat, thonat. THONAT!! thonat&&& thonat"
+    assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked["thonat"] == 1 and not any(piece.startswith("thonat") and piece != "thonat" for piece in asked)
+
+
 def test_pieces_after_forgetting(monkeypatch):
     monkeypatch.setattr("vertexloom.llm.pieces.MOST_PIECES", 40)
     own = PieceEncoder(BYTES)
