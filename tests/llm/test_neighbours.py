@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from vertexloom.functions.rounds import scratch_path
 from vertexloom.llm import passages, shingle_join
 from vertexloom.llm.ann import nearest, survivors
+from vertexloom.llm.common import drop_stored, stored
 from vertexloom.llm.linking import components, roots
 from vertexloom.llm.near_vectors import near_vectors
 from vertexloom.llm.passages import cut_passages, repeated_passages, without
@@ -359,3 +364,86 @@ def test_recall_of_short_edited_passages(spark):
         texts += [placed(own, random), placed([*own[:25], "edited", *own[26:]], random)]
     assert passages.FUNCTIONS == 6 and 0.2**6 <= passages.MISSED
     assert named_documents(spark, texts) == set(range(400))
+
+
+def tables_made(spark, run) -> set[str]:
+    """Names of the scratch tables that are there after ``run`` and were not before."""
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.iterdir())
+    run()
+    return {path.name.rsplit("-", 1)[0] for path in set(folder.iterdir()) - before}
+
+
+def test_passages_leave_no_large_tables(spark, passage_docs):
+    assert not {"runs", "texts", "windows"} & tables_made(spark, lambda: repeated_passages(passage_docs))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    blocks = lambda: set(shuffle_blocks(spark))
+    before = blocks()
+    table = stored(spark.range(1000).repartition(3, "id"), "numbers")
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    drop_stored(table)
+    kept = spark.range(3)
+    drop_stored(kept)
+    assert kept.count() == 3
+
+
+def shuffle_blocks(spark) -> list[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return [name for name in names if name.startswith("shuffle_")]
+
+
+def test_tables_outside_the_scratch_folder_stay(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/own")
+    own = spark.read.parquet(f"{tmp_path}/own")
+    drop_stored(own)
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 5
+
+
+def lists_of_windows(random) -> pa.Table:
+    """Small lists: edited copies of a passage in several rows, some of them of few words that repeat."""
+    made = []
+    for key in range(60):
+        base = random.integers(0, 2 if key % 5 == 0 else 30 if key % 5 == 1 else 10**9, 100)
+        for row in sorted(random.integers(0, 9, int(random.integers(1, 12))).tolist()):
+            starts = int(random.integers(1, 55))
+            own = base[: starts + passages.LEAST - 1].astype("<u4")
+            edits = np.flatnonzero(random.random(len(own)) < random.choice([0, 0.05, 0.2]))
+            own[edits] = random.integers(0, 10**9, len(edits))
+            made.append((key, 0, 0, 0, row, int(random.integers(0, 500)), int(random.integers(0, 2**starts)), own.tobytes()))
+    names = ["key", "low", "high", "block", "row", "start", "open", "content"]
+    return pa.table(dict(zip(names, map(list, zip(*made)))))
+
+
+def test_small_lists_together_are_as_one_by_one():
+    several = 0
+    for seed in range(5):
+        table = lists_of_windows(np.random.default_rng(seed))
+        key = table.column("key").to_numpy()
+        first = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+        sizes = np.diff(np.append(first, len(key)))
+        alone = [x for at, n in zip(first.tolist(), sizes.tolist()) for x in passages._block_matches(table.slice(at, n))]
+        assert passages._few_matches(table, first) == alone
+        cut = list(passages._whole_lists(iter(table.to_batches(max_chunksize=7)), ["key", "low", "high"]))
+        assert pa.concat_tables([part for part, _ in cut]).equals(table)
+        several += len(alone)
+    assert several > 500
+
+
+def test_similarities_of_runs():
+    random = np.random.default_rng(2)
+    for kinds in (10**9, 60, 3):
+        x = random.integers(0, kinds, 60)
+        y = np.where(random.random(58) < 0.1, random.integers(0, kinds, 58), x[2:])
+        found = passages.run_similarities(x, y, x[:, None] == y)
+        for a in range(len(x) - passages.LEAST + 1):
+            for b in range(len(y) - passages.LEAST + 1):
+                one, two = set(x[a : a + passages.LEAST].tolist()), set(y[b : b + passages.LEAST].tolist())
+                assert abs(found[a, b] - len(one & two) / len(one | two)) < 1e-9

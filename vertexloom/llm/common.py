@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,40 @@ def exact(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"_c{i}").alias(name) for i, name in zip(positions, names)])
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs meanwhile go with its end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = path or f"{scratch_path(spark, name)}"
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the tables of frames as ``stored`` returned them, once nothing that is still to run reads them. What does
+    not lie in the folder of the checkpoints stays."""
+    for frame in frames:
+        spark = frame.sparkSession
+        scratch = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+        files = scratch.getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().toUri().getPath() == scratch.toUri().getPath():
+                files.delete(path, True)
+
+
 _KEPT: dict[str, dict[object, object]] = {}
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
+from vertexloom.llm.common import arrow_map, drop_stored, exact, numbered, row_key, slices, stored
 from vertexloom.llm.linking import bloom_filter, maybe_in, runs
 from vertexloom.llm.shingles import _power, mixed, shingles, words
 
@@ -32,8 +32,10 @@ MISSED = 1e-4  # chance that two runs just at the threshold agree under no min-h
 FUNCTIONS = math.ceil(math.log(MISSED) / math.log(1 - SIMILAR))
 BLOCK = 1024  # windows of one signature that are held against as many others at once
 COLUMNS = 4096  # shingles that are counted at once
+SMALL = 64  # lists of so many windows or fewer are held against each other many at a time
+ROWS = 10_000  # windows that are taken at a time
 
-SIGNED = "key long, low long, high long, open boolean"
+SIGNED = "key long, low long, high long, open boolean, m long"
 RUNS = "run long, row long, start int, lead long, lead_start int"
 FOUND = "row long, start int, n int, lead long, lead_start int, similarity double"
 WINDOWS = "key long, row long, start int, anchor int, open long, content binary"
@@ -106,19 +108,22 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _per_key(made: list[np.ndarray]) -> pa.RecordBatch:
-    """Lowest and highest row of each key of a task, and whether a start is open there, from ``(key, row, open)``."""
+    """Lowest and highest row of each key of a task, whether a start is open there and the number of windows, from
+    ``(key, row, open)``."""
     rows = np.concatenate(made) if made else np.empty((0, 3), dtype=np.int64)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     at = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)])
     last = np.append(at[1:], len(rows)) - 1 if len(at) else at
     some = np.maximum.reduceat(rows[:, 2], at) > 0 if len(at) else np.empty(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[at, 0], rows[at, 1], rows[last, 1], some)], ["key", "low", "high", "open"])
+    columns = [rows[at, 0], rows[at, 1], rows[last, 1], some, last - at + 1]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "low", "high", "open", "m"])
 
 
-def _shared(parts: DataFrame, name: str) -> np.ndarray:
-    """A filter of the keys that stand in two documents, with an open start."""
-    keys = parts.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"))
-    return bloom_filter(stored(keys.filter("low <> high AND open").select("key"), name))
+def _shared(parts: DataFrame, name: str) -> DataFrame:
+    """``(key, m)``: the keys that stand in two documents, with an open start, and how many windows have them."""
+    keys = parts.groupBy("key").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.max("open").alias("open"), F.sum("m").alias("m"))
+    return stored(keys.filter("low <> high AND open").select("key", "m"), name)
 
 
 # ---- equal runs ----
@@ -283,12 +288,6 @@ def _left_windows(bloom: np.ndarray, functions: int):
 # ---- runs that are alike ----
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    one, two = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return both / max(1, len(one) + len(two) - both)
-
-
 def _before(x: np.ndarray) -> np.ndarray:
     """Place of the same number further left, -1 without one."""
     order = np.argsort(x, kind="stable")
@@ -298,12 +297,19 @@ def _before(x: np.ndarray) -> np.ndarray:
     return result
 
 
-def run_similarities(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The similarity of every run of ``x`` with every run of ``y``.
+def run_similarities(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The similarity of every run of ``x`` with every run of ``y``; ``same`` tells which of their shingles are equal.
 
     A shingle counts at its first place in a run: for the starts after its last place before, up to itself.
     """
     starts_x, starts_y = len(x) - LEAST + 1, len(y) - LEAST + 1
+    if same.sum(axis=0).max() <= 1 and same.sum(axis=1).max() <= 1 and _all_differ(x) and _all_differ(y):
+        total = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
+        np.cumsum(same, axis=0, out=total[1:, 1:])
+        np.cumsum(total, axis=1, out=total)
+        rows = total[LEAST:] - total[:-LEAST]
+        both = rows[:, LEAST:] - rows[:, :-LEAST]
+        return both / (2 * LEAST - both)
     before_x, before_y = _before(x), _before(y)
 
     def span(p, before, starts):
@@ -313,7 +319,7 @@ def run_similarities(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     def sizes(before, starts):
         a, b = span(np.arange(len(before)), before, starts)
         return np.cumsum(np.bincount(a, minlength=starts + 1) - np.bincount(b, minlength=starts + 1))[:starts]
-    p, q = np.nonzero(x[:, None] == y)
+    p, q = np.nonzero(same)
     (a, b), (c, d) = span(p, before_x, starts_x), span(q, before_y, starts_y)
     wide = starts_y + 1
     corner = lambda i, j: np.bincount(i * wide + j, minlength=(starts_x + 1) * wide)
@@ -322,9 +328,19 @@ def run_similarities(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both / (sizes(before_x, starts_x)[:, None] + sizes(before_y, starts_y) - both)
 
 
-def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """``(start, end, source start, source end, similarity)`` of passages of ``x`` with open starts that are alike one of ``y``."""
-    scores = run_similarities(x, y)
+def _all_differ(x: np.ndarray) -> bool:
+    ordered = np.sort(x)
+    return not (ordered[1:] == ordered[:-1]).any()
+
+
+def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray, least: float = 0.0) -> list[tuple[int, int, int, int, float]]:
+    """``(start, end, source start, source end, similarity)`` of passages of ``x`` with open starts that are alike one of
+    ``y``. No run with fewer than ``least`` shingles of ``y`` can be."""
+    same = x[:, None] == y
+    held = np.append(0, np.cumsum(same.any(axis=1)))
+    if not ((held[LEAST:] - held[:-LEAST] >= least) & open_).any():
+        return []
+    scores = run_similarities(x, y, same)
     best = scores.argmax(axis=1)
     score = scores[np.arange(len(scores)), best]
     hits = np.flatnonzero((score >= SIMILAR) & open_)
@@ -333,9 +349,9 @@ def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> list[tuple[int, in
         top = part[np.argmax(score[part])]
         spans = [(part[0], part[-1] + LEAST, best[part].min(), best[part].max() + LEAST), (top, top + LEAST, best[top], best[top] + LEAST)]
         for a, b, c, d in spans:
-            shared = np.flatnonzero(np.isin(x[a:b], y[c:d]))  # less ends that the other does not have
+            shared = np.flatnonzero(same[a:b, c:d].any(axis=1))  # less ends that the other does not have
             a, b = int(a + shared[0]), int(a + shared[-1] + 1)
-            shared = np.flatnonzero(np.isin(y[c:d], x[a:b]))
+            shared = np.flatnonzero(same[a:b, c:d].any(axis=0))
             c, d = int(c + shared[0]), int(c + shared[-1] + 1)
             if (result := similarity(x[a:b], y[c:d])) >= SIMILAR:
                 found.append((a, b, c, d, result))
@@ -343,12 +359,17 @@ def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray) -> list[tuple[int, in
     return found
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    one, two = set(a.tolist()), set(b.tolist())
+    both = len(one & two)
+    return both / max(1, len(one) + len(two) - both)
+
+
 def fewest_distinct(x: np.ndarray) -> int:
     """The number of different shingles in the run of ``x`` that has the fewest."""
-    before, starts = _before(x), len(x) - LEAST + 1
-    if (before < 0).all():
+    if _all_differ(x):
         return LEAST
-    return min(len(np.unique(x[s : s + LEAST])) for s in range(starts))
+    return min(len(np.unique(x[s : s + LEAST])) for s in range(len(x) - LEAST + 1))
 
 
 def _presence(contents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -394,12 +415,10 @@ def _block_matches(table: pa.Table) -> list[tuple]:
     if low != high:
         possible &= block != block[:, None]
     result = []
-    for i in np.flatnonzero(mask != 0).tolist():
+    for i in np.flatnonzero((mask != 0) & possible.any(axis=1)).tolist():
         x = contents[i]
-        open_ = (mask[i : i + 1].view(np.uint64) >> np.arange(len(x) - LEAST + 1, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        open_ = _open_starts(mask[i], len(x))
         sources = np.flatnonzero(possible[i])
-        if not len(sources):
-            continue
         held = np.zeros((len(x) + 1, len(sources)), dtype=np.int16)
         np.cumsum(present[lines[i][:, None], sources], axis=0, out=held[1:])
         enough = held[LEAST:] - held[:-LEAST] >= SIMILAR / (1 + SIMILAR) * (least[i] + least[sources]) - 1e-3
@@ -412,26 +431,130 @@ def _block_matches(table: pa.Table) -> list[tuple]:
                 j = sources[next_ + candidate]
                 if found := alike(x, contents[j], open_):
                     break
-            s = np.arange(len(open_))
-            for a, b, c, d, score in found:
-                result.append((int(row[i]), int(start[i] + a), b - a, int(row[j]), int(start[j] + c), score))
-                open_ &= np.minimum(b, s + LEAST) - np.maximum(a, s) < SIMILAR * LEAST
+            _take_over(result, open_, found, row, start, i, j)
             next_ += candidate + 1
     return result
 
 
+def _few_matches(table: pa.Table, first: np.ndarray) -> list[tuple]:
+    """What ``_block_matches`` finds in each of many small lists, that begin at ``first``: the shingles that windows of a list
+    share are counted for all lists at once."""
+    row, start, mask = (table.column(name).to_numpy().astype(np.int64) for name in ("row", "start", "open"))
+    contents = [np.frombuffer(x, dtype="<u4") for x in table.column("content").to_pylist()]
+    m = np.diff(np.append(first, len(row)))
+    list_ = np.repeat(np.arange(len(m)), m)
+    window = np.repeat(np.arange(len(row)), [len(x) for x in contents])
+    spot = np.concatenate([np.arange(len(x)) for x in contents])
+    code = (list_[window].astype(np.uint64) << np.uint64(32)) | np.concatenate(contents)
+    order = np.argsort(code, kind="stable")  # of equal shingles of a list, those of the first window first
+    code, window, spot = code[order], window[order], spot[order]
+    again = np.append(False, (code[1:] == code[:-1]) & (window[1:] == window[:-1]))
+    least, repeats = np.full(len(row), LEAST), np.zeros(len(row), dtype=bool)
+    for i in np.unique(window[again]).tolist():
+        least[i], repeats[i] = fewest_distinct(contents[i]), True
+    code, window, spot = code[~again], window[~again], spot[~again]
+
+    # A place per list and two of its windows, with the number of shingles they share.
+    place = np.cumsum(m * m) - m * m
+    shared = np.zeros(int((m * m).sum()), dtype=np.int64)
+
+    def meetings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A shingle of a window and the place of that window and an earlier one that has it too."""
+        at, step = np.arange(len(code)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(code)]
+            at = at[code[at + step] == code[at]]
+            i, j = window[at + step], window[at]
+            yield at + step, place[list_[i]] + (i - first[list_[i]]) * m[list_[i]] + j - first[list_[i]]
+    for _, met in meetings():
+        shared += np.bincount(met, minlength=len(shared))
+    some = np.flatnonzero(shared)
+    own = np.searchsorted(place, some, side="right") - 1
+    i, j = first[own] + (some - place[own]) // m[own], first[own] + (some - place[own]) % m[own]
+    bound = SIMILAR / (1 + SIMILAR) * (least[i] + least[j]) - 1e-3
+    possible = (shared[some] >= bound) & (row[j] < row[i]) & (mask[i] != 0)
+    some, i, j, bound = some[possible], i[possible], j[possible], bound[possible]
+
+    # The runs of a window that hold enough shingles of the other; where shingles repeat in it, all may.
+    pair = np.full(len(shared), -1)
+    pair[some] = np.arange(len(some))
+    size = np.array([len(x) for x in contents])
+    held = np.zeros((len(some), size.max() + 1), dtype=np.int16)
+    for at, met in meetings():
+        at, met = at[pair[met] >= 0], met[pair[met] >= 0]
+        held[pair[met], spot[at] + 1] = 1
+    np.cumsum(held, axis=1, out=held)
+    starts = np.arange(held.shape[1] - LEAST)
+    enough = (held[:, LEAST:] - held[:, :-LEAST] >= bound[:, None]) | repeats[i][:, None]
+    enough &= mask[i].view(np.uint64)[:, None] >> np.minimum(starts, 63).astype(np.uint64) & np.uint64(1) > 0
+    result: list[tuple] = []
+    last = -1
+    for at in np.flatnonzero(enough.any(axis=1)).tolist():
+        a, b = int(i[at]), int(j[at])
+        if a != last:
+            open_, last = _open_starts(mask[a], len(contents[a])), a
+        if (enough[at, : len(open_)] & open_).any():
+            _take_over(result, open_, alike(contents[a], contents[b], open_, bound[at]), row, start, a, b)
+    return result
+
+
+def _open_starts(mask: np.int64, size: int) -> np.ndarray:
+    return (np.array([mask]).view(np.uint64) >> np.arange(size - LEAST + 1, dtype=np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _take_over(result: list[tuple], open_: np.ndarray, found: list[tuple], row: np.ndarray, start: np.ndarray, i: int, j: int) -> None:
+    """Note the passages that window ``i`` has from window ``j``; starts that lie in them by four fifths are no longer open."""
+    s = np.arange(len(open_))
+    for a, b, c, d, score in found:
+        result.append((int(row[i]), int(start[i] + a), b - a, int(row[j]), int(start[j] + c), score))
+        open_ &= np.minimum(b, s + LEAST) - np.maximum(a, s) < SIMILAR * LEAST
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole lists, of about ``ROWS`` rows unless a list has more, and where each list begins."""
+    held: list[pa.RecordBatch] = []
+
+    def cut() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for group in groups:
+            column = table.column(group).to_numpy()
+            change |= column[1:] != column[:-1]
+        return table, np.append(0, np.flatnonzero(change) + 1)
+
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= ROWS:
+            table, first = cut()
+            if len(first) > 1:
+                yield table.slice(0, first[-1]), first[:-1]
+            held = table.slice(first[-1]).to_batches()  # the last list may go on
+            size = 0
+    if held:
+        yield cut()
+
+
 def _matches(groups: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in FOUND.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
-        found: list[tuple] = []
-        for table in runs(batches, groups):
-            found += _block_matches(table)
-            if len(found) > 10_000:
+        for table, first in _whole_lists(batches, groups):
+            found: list[tuple] = []
+            m = np.diff(np.append(first, table.num_rows))
+            few = m <= SMALL
+            few &= table.column("low").to_numpy()[first] == table.column("high").to_numpy()[first]
+            for at, n in zip(first[~few].tolist(), m[~few].tolist()):
+                found += _block_matches(table.slice(at, n))
+            if few.any():
+                small = table.filter(pa.array(np.repeat(few, m)))
+                found += _few_matches(small, np.cumsum(m[few]) - m[few])
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], names)
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], names)
     return run
 
 
@@ -448,29 +571,33 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def equal_passages(rows: DataFrame) -> DataFrame:
     """Passages of equal runs: of each run that stands in several documents, one keeps it and is the others' source."""
     text = rows.select("row", "text")
-    bloom = _shared(arrow_map(text, _first_keys, SIGNED), "first_keys")
+    bloom = bloom_filter(_shared(arrow_map(text, _first_keys, SIGNED), "first_keys").select("key"))
     found = stored(arrow_map(text, _equal_runs(bloom), RUNS), "runs")
     firsts = found.filter("lead IS NULL").select("run", "row", "start")
     firsts = arrow_map(firsts.repartition("run").sortWithinPartitions("run", "row", "start"), _first_of_all, RUNS)
     pairs = found.filter("lead IS NOT NULL").unionByName(firsts).select("row", "start", "lead", "lead_start")
-    return stored(arrow_map(pairs.repartition("row").sortWithinPartitions("row", "start", "lead", "lead_start"), _joined_runs, FOUND), "equal")
+    equal = stored(arrow_map(pairs.repartition("row").sortWithinPartitions("row", "start", "lead", "lead_start"), _joined_runs, FOUND), "equal")
+    drop_stored(found)
+    return equal
 
 
 def alike_passages(rows: DataFrame, equal: DataFrame) -> DataFrame:
     """Passages of runs that are alike, among the runs that have no equal source."""
     spans = equal.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     text = stored(rows.select("row", "text").join(spans, "row", "left"), "texts")
-    bloom = _shared(arrow_map(text, _left_keys(FUNCTIONS), SIGNED), "left_keys")
-    left = stored(arrow_map(text, _left_windows(bloom, FUNCTIONS), WINDOWS), "windows")
-    lists = left.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.min("row").alias("least"), F.max("row").alias("most"), F.max(F.col("open") != 0).alias("some"))
-    lists = lists.filter("least <> most AND some").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = left.join(lists, "key").withColumn("block", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int"))
+    keys = _shared(arrow_map(text, _left_keys(FUNCTIONS), SIGNED), "left_keys")
+    frequent = stored(keys.filter(F.col("m") > BLOCK).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "frequent")
+    # The content of a window is dealt once: the windows of rare keys, nearly all, need no join.
+    left = arrow_map(text, _left_windows(bloom_filter(keys.select("key")), FUNCTIONS), WINDOWS)
+    dealt = left.join(frequent, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     groups = ["key", "low", "high"]
     dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "row", "start")
-    return stored(arrow_map(dealt, _matches(groups), FOUND).distinct(), "alike")
+    found = stored(arrow_map(dealt, _matches(groups), FOUND).distinct(), "alike")
+    drop_stored(text)
+    return found
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
