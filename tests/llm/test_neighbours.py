@@ -378,6 +378,10 @@ def test_passages_leave_no_large_tables(spark, passage_docs):
     assert not {"runs", "texts", "windows"} & tables_made(spark, lambda: repeated_passages(passage_docs))
 
 
+def test_shingle_join_leaves_no_large_tables(spark, texts):
+    assert not {"sets", "shared"} & tables_made(spark, lambda: linked_documents(texts))
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     blocks = lambda: set(shuffle_blocks(spark))
     before = blocks()

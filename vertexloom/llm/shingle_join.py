@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import arrow_map, exact, numbered, row_key, slices, stored
+from vertexloom.llm.common import arrow_map, drop_stored, exact, numbered, row_key, slices, stored
 from vertexloom.llm.linking import bloom_filter, components, maybe_in, runs
 from vertexloom.llm.shingles import mixed, shingle_sets
 
@@ -86,6 +86,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
             break
     more = _overlaps(sets, stored(_open_pairs(shared, compared, groups), "open_pairs"))
     everything = _joined(groups, more.filter(F.col("overlap") >= least_sql("n_a", "n_b")).select("a", "b"))
+    drop_stored(sets, shared)
 
     # Ids of a component: the smallest over all its documents, equal sets included.
     nodes = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"))
