@@ -441,6 +441,48 @@ def test_small_lists_together_are_as_one_by_one():
     assert several > 500
 
 
+def test_windows_that_share_a_line_alone_are_not_compared():
+    random = np.random.default_rng(3)
+    line = random.integers(0, 10**9, 30)
+    fresh = lambda n: random.integers(0, 10**9, n)
+    own = [np.concatenate([fresh(20), line, fresh(20)]) for _ in range(40)]
+    own += [np.append(own[0][:-3], fresh(3)), np.tile(fresh(10), 7)]
+    rows = [(0, 0, 0, 0, row, 0, 2**25 - 1, x.astype("<u4").tobytes()) for row, x in enumerate(own)]
+    table = pa.table(dict(zip(["key", "low", "high", "block", "row", "start", "open", "content"], map(list, zip(*rows)))))
+    left, first = passages._thinned(table, np.array([0]))
+    assert left.column("row").to_pylist() == [0, 40] and first.tolist() == [0]
+    assert passages._block_matches(left) == passages._block_matches(table) != []
+    table = table.set_column(6, "open", pa.array(np.zeros(len(rows), np.int64)))
+    assert passages._thinned(table, np.array([0]))[0].num_rows == 0
+
+
+def test_lists_in_chunks_are_as_in_one(monkeypatch):
+    several = 0
+    for seed in range(4):
+        table = lists_of_windows(np.random.default_rng(seed))
+        table = table.sort_by("row").set_column(0, "key", pa.array(np.zeros(table.num_rows, np.int64)))
+        whole = passages._block_matches(table)
+        monkeypatch.setattr(passages, "CHUNK", 50)
+        assert sorted(passages._block_matches(table)) == sorted(whole)
+        monkeypatch.undo()
+        thinned, first = passages._thinned(table, np.array([0]))
+        assert thinned.num_rows < table.num_rows and passages._block_matches(thinned) == whole
+        several += len(whole)
+    assert several > 100
+
+
+def test_what_is_known_is_not_open():
+    text = " ".join(f"w{i}" for i in range(160))
+    spans = [{"start": 20, "n": 60, "equal": False}, {"start": 120, "n": 5, "equal": False}]
+    starts = lambda equal: {
+        (int(first + i), bool(mask >> i & 1))
+        for _, _, at, n, masks, _, _ in passages._left(
+            pa.RecordBatch.from_pylist([{"row": 1, "text": text, "spans": [{**span, "equal": equal} for span in spans[:1]] + spans[1:]}]), range(1))
+        for first, size, mask in zip(at, n, masks.tolist()) for i in range(size)}
+    assert starts(False) == {(s, not 11 <= s <= 43) for s in range(111)}
+    assert starts(True) == {(s, not 11 <= s <= 43) for s in range(111) if not 20 <= s <= 34}
+
+
 def test_similarities_of_runs():
     random = np.random.default_rng(2)
     for kinds in (10**9, 60, 3):

@@ -8,7 +8,8 @@ memorization evaluation", 2022). So the runs of a text fall into windows of cons
 Equal runs have equal signatures under every function. The runs of windows whose first signature stands in two documents
 are dealt by a hash of their whole content: every run but that of one document has its source then, without any comparison.
 Of the runs that are left, no two in different documents are equal. Those that share a signature under any function are
-held against each other, all with all, in blocks; a block is first thinned by the number of shared shingles.
+held against each other, all with all, in blocks; a block is first thinned by the number of shared shingles. The first
+functions come first: what lies in a passage that they found is not looked for under the others.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ LEAST = 46  # shingles of the shortest passage: 50 words
 SIMILAR = 0.8
 MISSED = 1e-4  # chance that two runs just at the threshold agree under no min-hash function and are never compared
 FUNCTIONS = math.ceil(math.log(MISSED) / math.log(1 - SIMILAR))
-BLOCK = 1024  # windows of one signature that are held against as many others at once
+EARLY = 2  # functions whose passages are known before the others are tried
+BLOCK = 4096  # windows of one signature that one task holds against as many others
+CHUNK = 1024  # windows that are held against as many others at once
 COLUMNS = 4096  # shingles that are counted at once
 SMALL = 64  # lists of so many windows or fewer are held against each other many at a time
 ROWS = 10_000  # windows that are taken at a time
@@ -38,45 +42,41 @@ ROWS = 10_000  # windows that are taken at a time
 SIGNED = "key long, low long, high long, open boolean, m long"
 RUNS = "run long, row long, start int, lead long, lead_start int"
 FOUND = "row long, start int, n int, lead long, lead_start int, similarity double"
-WINDOWS = "key long, row long, start int, anchor int, open long, content binary"
+WINDOWS = "key long, row long, start int, open long, content binary"
 
 
 # ---- windows of a batch of texts ----
 
 
 def nodes(values: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(c, l, r)`` of the Cartesian tree's nodes with an extent of at least ``least``, for all segments at once.
+    """``(c, l, r)`` of the Cartesian tree's nodes with an extent of at least ``least``, for all segments at once, in order of
+    place. Extents are given as far as runs of ``least`` around c reach.
 
-    One level of all trees per step: the smallest values of a segment cut it. Of equal ones the leftmost in a window is
-    its node, so all of them cut at once and constant texts are one level deep.
+    A run's node is its smallest value, of equal ones the leftmost. The next run has another node if its smallest value
+    differs or if the node is the value that is left behind.
     """
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    padded = np.append(values, np.uint64(0))
     keep = high - low >= least
     low, high = low[keep], high[keep]
-    while len(low):
-        smallest = np.minimum.reduceat(padded, np.stack([low, high], axis=1).ravel())[::2]
-        sizes = high - low
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(int(sizes.sum())) + np.repeat(low - first, sizes)
-        segment = np.repeat(np.arange(len(low)), sizes)
-        hit = np.flatnonzero(values[at] == smallest[segment])
-        c, own = at[hit], segment[hit]
-        opens = np.append(True, own[1:] != own[:-1])
-        left = np.where(opens, low[own], np.append(0, c[:-1]) + 1)
-        right = high[own]  # exclusive
-        wide = right - left >= least
-        found.append((c[wide], left[wide], right[wide] - 1))
-        closes = np.append(opens[1:], True)
-        starts = np.concatenate([left, c[closes] + 1])
-        ends = np.concatenate([c, high[own[closes]]])
-        keep = ends - starts >= least
-        order = np.argsort(starts[keep], kind="stable")
-        low, high = starts[keep][order], ends[keep][order]
-    if not found:
+    if not len(low):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    c, left, right = (np.concatenate(x) for x in zip(*found))
-    return c, left, right
+    smallest, width = values, 1
+    while 2 * width <= least:
+        smallest, width = np.minimum(smallest[:-width], smallest[width:]), 2 * width
+    if width < least:
+        smallest = np.minimum(smallest[: width - least], smallest[least - width :])
+    n = high - low - least + 1
+    end = np.cumsum(n)
+    start = np.arange(end[-1]) + np.repeat(low - (end - n), n)
+    own = smallest[start]
+    opens = np.append(True, (own[1:] != own[:-1]) | (values[start[:-1]] == own[:-1]))
+    opens[end[:-1]] = True
+    at = np.flatnonzero(opens)
+    first, last, own = start[at], start[np.append(at[1:], len(start)) - 1], own[at]
+    c = last.copy()
+    ahead = np.flatnonzero(values[last] != own)
+    spots = np.minimum(last[ahead][:, None] + np.arange(least), len(values) - 1)
+    c[ahead] += (values[spots] == own[ahead][:, None]).argmax(axis=1)
+    return c, first, last + least - 1
 
 
 def starts_of(tree: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,60 +228,69 @@ def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- windows of what is left ----
 
 
-def _left(batch: pa.RecordBatch, functions: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per function ``(key, owner, first, n, anchor, open)`` of the windows without runs that have an equal source, and the
+def _left(batch: pa.RecordBatch, functions: range) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per function ``(key, owner, first, n, open)`` of the windows without runs that have an equal source, and the
     shingles and where each text begins among them. ``open`` has a bit per start: not set where at least ``SIMILAR`` of
     the run lie in a passage that is known."""
     values, low, high = sequences(batch.column("text").cast(pa.binary()).to_pylist())
     gone, known = np.zeros(len(values) + 1, dtype=np.int64), np.zeros(len(values) + 1, dtype=np.int64)
+    edge = LEAST - int(np.ceil(SIMILAR * LEAST))
     for i, spans in enumerate(batch.column("spans").to_pylist()):
         for span in spans or ():
             a, n = low[i] + span["start"], span["n"]
-            gone[a] += 1
-            gone[a + n - LEAST + 1] -= 1
-            edge = LEAST - int(np.ceil(SIMILAR * LEAST))
-            known[max(low[i], a - edge)] += 1
-            known[min(high[i], a + n - LEAST + 1 + edge)] -= 1
+            if span["equal"]:
+                gone[a] += 1
+                gone[a + n - LEAST + 1] -= 1
+            if n >= LEAST - edge:
+                known[max(low[i], a - edge)] += 1
+                known[min(high[i], a + n - LEAST + 1 + edge)] -= 1
     gone, known = np.cumsum(gone) > 0, np.cumsum(known) > 0
-    for function in range(functions):
-        key, first, last, anchor = signed(values, low, high, function)
+    gone_before, known_before = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(known))
+    for function in functions:
+        key, first, last, _ = signed(values, low, high, function)
         n = last - first + 1
-        start = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        window = np.repeat(np.arange(len(first)), n)
-        keep = ~gone[start]
-        start, window = start[keep], window[keep]
-        if not len(start):
-            continue
-        at = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(window) != 0)))
-        size = np.diff(np.append(at, len(start)))
-        bit = (start - np.repeat(start[at], size)).astype(np.uint64)
-        mask = np.bitwise_or.reduceat(np.where(known[start], np.uint64(0), np.uint64(1) << bit), at).view(np.int64)
-        own = window[at]
-        yield key[own], _owner(low, high, start[at]), start[at], size, anchor[own], mask, values, low
-
-
-def _left_keys(functions: int):
+        n_gone, n_known = (before[last + 1] - before[first] for before in (gone_before, known_before))
+        plain = (n_gone == 0) & ((n_known == 0) | (n_known == n))
+        mask = np.where(n_known[plain] > 0, np.uint64(0), (np.uint64(1) << n[plain].astype(np.uint64)) - np.uint64(1)).view(np.int64)
+        window, at, size = np.flatnonzero(plain), first[plain], n[plain]
+        other = np.flatnonzero(~plain & (n_gone < n))
+        if len(other):
+            m = n[other]
+            start = np.arange(m.sum()) + np.repeat(first[other] - (np.cumsum(m) - m), m)
+            own = np.repeat(other, m)[~gone[start]]
+            start = start[~gone[start]]
+            cut = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(own) != 0)))
+            run = np.diff(np.append(cut, len(start)))
+            bit = (start - np.repeat(start[cut], run)).astype(np.uint64)
+            bits = np.bitwise_or.reduceat(np.where(known[start], np.uint64(0), np.uint64(1) << bit), cut).view(np.int64)
+            window, at, size, mask = (np.append(x, y) for x, y in ((window, own[cut]), (at, start[cut]), (size, run), (mask, bits)))
+        if len(at):
+            yield key[window], _owner(low, high, at), at, size, mask, values, low
+
+
+def _left_keys(functions: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[np.ndarray] = []
         for batch in slices(batches, "text", 1_000_000):
-            for key, owner, _, _, _, mask, _, _ in _left(batch, functions):
+            for key, owner, _, _, mask, _, _ in _left(batch, functions):
                 made.append(np.stack([key, batch.column("row").to_numpy()[owner], mask != 0], axis=1))
         yield _per_key(made)
     return run
 
 
-def _left_windows(bloom: np.ndarray, functions: int):
+def _left_windows(bloom: np.ndarray, functions: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
-            for key, owner, first, n, anchor, mask, values, low in _left(batch, functions):
+            short = None
+            for key, owner, first, n, mask, values, low in _left(batch, functions):
                 keep = np.flatnonzero(maybe_in(bloom, key))
                 owner, first, n = owner[keep], first[keep], n[keep]
-                short = (values >> np.uint64(32)).astype("<u4")
+                short = (values >> np.uint64(32)).astype("<u4") if short is None else short
                 content = [short[a : a + m + LEAST - 1].tobytes() for a, m in zip(first.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[keep]), batch.column("row").take(pa.array(owner)), pa.array((first - low[owner]).astype(np.int32)),
-                     pa.array((anchor[keep] - low[owner]).astype(np.int32)), pa.array(mask[keep]), pa.array(content, pa.binary())],
-                    ["key", "row", "start", "anchor", "open", "content"])
+                     pa.array(mask[keep]), pa.array(content, pa.binary())],
+                    ["key", "row", "start", "open", "content"])
     return run
 
 
@@ -297,6 +306,18 @@ def _before(x: np.ndarray) -> np.ndarray:
     return result
 
 
+def _counting(p: np.ndarray, before: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts ``[a, b)`` of the runs in which the shingles at the places ``p`` count."""
+    low = np.maximum(np.maximum(before[p], p - LEAST) + 1, 0)
+    return np.minimum(low, starts), np.maximum(np.minimum(p + 1, starts), np.minimum(low, starts))
+
+
+def _distinct(before: np.ndarray, starts: int) -> np.ndarray:
+    """The number of different shingles in each run."""
+    a, b = _counting(np.arange(len(before)), before, starts)
+    return np.cumsum(np.bincount(a, minlength=starts + 1) - np.bincount(b, minlength=starts + 1))[:starts]
+
+
 def run_similarities(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarray:
     """The similarity of every run of ``x`` with every run of ``y``; ``same`` tells which of their shingles are equal.
 
@@ -312,25 +333,17 @@ def run_similarities(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarr
         return both / (2 * LEAST - both)
     before_x, before_y = _before(x), _before(y)
 
-    def span(p, before, starts):
-        low = np.maximum(np.maximum(before[p], p - LEAST) + 1, 0)
-        return np.minimum(low, starts), np.maximum(np.minimum(p + 1, starts), np.minimum(low, starts))
-
-    def sizes(before, starts):
-        a, b = span(np.arange(len(before)), before, starts)
-        return np.cumsum(np.bincount(a, minlength=starts + 1) - np.bincount(b, minlength=starts + 1))[:starts]
     p, q = np.nonzero(same)
-    (a, b), (c, d) = span(p, before_x, starts_x), span(q, before_y, starts_y)
+    (a, b), (c, d) = _counting(p, before_x, starts_x), _counting(q, before_y, starts_y)
     wide = starts_y + 1
     corner = lambda i, j: np.bincount(i * wide + j, minlength=(starts_x + 1) * wide)
     both = (corner(a, c) - corner(a, d) - corner(b, c) + corner(b, d)).reshape(starts_x + 1, wide)
     both = both.cumsum(axis=0).cumsum(axis=1)[:starts_x, :starts_y]
-    return both / (sizes(before_x, starts_x)[:, None] + sizes(before_y, starts_y) - both)
+    return both / (_distinct(before_x, starts_x)[:, None] + _distinct(before_y, starts_y) - both)
 
 
 def _all_differ(x: np.ndarray) -> bool:
-    ordered = np.sort(x)
-    return not (ordered[1:] == ordered[:-1]).any()
+    return len(set(x.tolist())) == len(x)
 
 
 def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray, least: float = 0.0) -> list[tuple[int, int, int, int, float]]:
@@ -340,6 +353,9 @@ def alike(x: np.ndarray, y: np.ndarray, open_: np.ndarray, least: float = 0.0) -
     held = np.append(0, np.cumsum(same.any(axis=1)))
     if not ((held[LEAST:] - held[:-LEAST] >= least) & open_).any():
         return []
+    held = np.append(0, np.cumsum(same.any(axis=0)))
+    if (held[LEAST:] - held[:-LEAST]).max() < least:
+        return []
     scores = run_similarities(x, y, same)
     best = scores.argmax(axis=1)
     score = scores[np.arange(len(scores)), best]
@@ -365,11 +381,35 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(one) + len(two) - both)
 
 
-def fewest_distinct(x: np.ndarray) -> int:
-    """The number of different shingles in the run of ``x`` that has the fewest."""
-    if _all_differ(x):
-        return LEAST
-    return min(len(np.unique(x[s : s + LEAST])) for s in range(len(x) - LEAST + 1))
+def _of_runs(size: np.ndarray, before: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """The number of different shingles in each run of many windows, all runs in order of place, or only of those shingles that
+    ``counts`` has. ``before`` is the place of the same shingle further left in its window, -1 without one."""
+    n = size - LEAST + 1
+    first = np.cumsum(n + 1) - n - 1
+    window = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
+    last = n[window]
+    low = np.minimum(np.maximum(before, place - LEAST) + 1, last)
+    low = np.maximum(low, 0)
+    high = np.maximum(np.minimum(place + 1, last), low)
+    if counts is not None:
+        window, low, high = window[counts], low[counts], high[counts]
+    slots = int((n + 1).sum())
+    total = np.cumsum(np.bincount(first[window] + low, minlength=slots) - np.bincount(first[window] + high, minlength=slots))
+    inside = np.ones(slots, dtype=bool)
+    inside[first + n] = False
+    return total[inside]
+
+
+def _repeats(order: np.ndarray, same: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Place of the same shingle further left in its window, -1 without one: of all places in an ``order`` in which equal
+    shingles stand together, and which of them are the ``same`` as the one before."""
+    window = np.repeat(np.arange(len(size)), size)
+    begin = np.cumsum(size) - size
+    again = np.flatnonzero(same & (window[order[1:]] == window[order[:-1]]))
+    before = np.full(len(order), -1)
+    before[order[again + 1]] = order[again] - begin[window[order[again]]]
+    return before
 
 
 def _presence(contents: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -398,15 +438,36 @@ def _overlaps(present: np.ndarray) -> np.ndarray:
 def _block_matches(table: pa.Table) -> list[tuple]:
     """Passages of two blocks of windows with one signature, each with a source in a document further up in the order.
 
-    A window goes through the sources until no start is open. A source is looked at if it has enough shingles of one of the
-    runs that are still open.
+    A window goes through the sources until no start is open, ``CHUNK`` windows and sources at a time.
     """
-    row, start, mask = (table.column(name).to_numpy().astype(np.int64) for name in ("row", "start", "open"))
+    result: list[tuple] = []
+    for at in range(0, table.num_rows, CHUNK):
+        own = table.slice(at, CHUNK)
+        mask = own.column("open").to_numpy().copy()
+        for before in range(0, at, CHUNK):
+            if mask.any():
+                _chunk_matches(pa.concat_tables([table.slice(before, CHUNK), own]), np.append(np.zeros(CHUNK, np.int64), mask), CHUNK, result, mask)
+        _chunk_matches(own, mask, 0, result, mask)
+    return result
+
+
+def _chunk_matches(table: pa.Table, mask: np.ndarray, sources: int, result: list[tuple], left: np.ndarray) -> None:
+    """Note what windows have from the first ``sources`` ones, or from any if there are none such, and which of their starts
+    are ``left`` open. A source is looked at if it has enough shingles of one of the runs that are still open."""
+    row, start = (table.column(name).to_numpy().astype(np.int64) for name in ("row", "start"))
     block = table.column("block").to_numpy()
     if row.min() == row.max() or not mask.any():
-        return []
+        return
     contents = [np.frombuffer(x, dtype="<u4") for x in table.column("content").to_pylist()]
-    least = np.array([fewest_distinct(x) for x in contents])
+    size = np.array([len(x) for x in contents])
+    flat = np.concatenate(contents)
+    code = (np.repeat(np.arange(len(size)), size).astype(np.uint64) << np.uint64(32)) | flat
+    order = np.argsort(code, kind="stable")
+    before = _repeats(order, code[order][1:] == code[order][:-1], size)
+    distinct = _of_runs(size, before)
+    run_ends = np.cumsum(size - LEAST + 1)
+    least = np.minimum.reduceat(distinct, run_ends - (size - LEAST + 1))
+    begin = np.cumsum(size) - size
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     present, lines = _presence(contents)
     # Runs of m and n different shingles that are alike share SIMILAR / (1 + SIMILAR) * (m + n) or more, and so do their windows.
@@ -414,26 +475,30 @@ def _block_matches(table: pa.Table) -> list[tuple]:
     possible &= row < row[:, None]
     if low != high:
         possible &= block != block[:, None]
-    result = []
+    if sources:
+        possible[:, sources:] = False
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i in np.flatnonzero((mask != 0) & possible.any(axis=1)).tolist():
         x = contents[i]
         open_ = _open_starts(mask[i], len(x))
-        sources = np.flatnonzero(possible[i])
-        held = np.zeros((len(x) + 1, len(sources)), dtype=np.int16)
-        np.cumsum(present[lines[i][:, None], sources], axis=0, out=held[1:])
-        enough = held[LEAST:] - held[:-LEAST] >= SIMILAR / (1 + SIMILAR) * (least[i] + least[sources]) - 1e-3
+        others = np.flatnonzero(possible[i])
+        a, b = _counting(np.arange(len(x)), before[begin[i] : begin[i] + len(x)], len(open_))
+        at = np.arange(len(open_))[:, None]
+        held = ((a <= at) & (at < b)).astype(np.float32) @ present[lines[i][:, None], others].astype(np.float32)
+        own = distinct[run_ends[i] - len(open_) : run_ends[i], None]
+        enough = held >= np.maximum(SIMILAR * own, SIMILAR / (1 + SIMILAR) * (own + least[others])) - 1e-3
         next_ = 0
         while open_.any():
             candidates = np.flatnonzero(enough[open_, next_:].any(axis=0))
             if not len(candidates):
                 break
             for candidate in candidates.tolist():
-                j = sources[next_ + candidate]
-                if found := alike(x, contents[j], open_):
+                j = others[next_ + candidate]
+                if found := alike(x, contents[j], open_, SIMILAR / (1 + SIMILAR) * (least[i] + least[j]) - 1e-3):
                     break
             _take_over(result, open_, found, row, start, i, j)
             next_ += candidate + 1
-    return result
+        left[i - sources] = np.bitwise_or.reduce(bits[: len(open_)][open_], initial=np.uint64(0)).view(np.int64)
 
 
 def _few_matches(table: pa.Table, first: np.ndarray) -> list[tuple]:
@@ -449,9 +514,11 @@ def _few_matches(table: pa.Table, first: np.ndarray) -> list[tuple]:
     order = np.argsort(code, kind="stable")  # of equal shingles of a list, those of the first window first
     code, window, spot = code[order], window[order], spot[order]
     again = np.append(False, (code[1:] == code[:-1]) & (window[1:] == window[:-1]))
-    least, repeats = np.full(len(row), LEAST), np.zeros(len(row), dtype=bool)
-    for i in np.unique(window[again]).tolist():
-        least[i], repeats[i] = fewest_distinct(contents[i]), True
+    repeats = np.zeros(len(row), dtype=bool)
+    repeats[window[again]] = True
+    size = np.array([len(x) for x in contents])
+    runs_of = size - LEAST + 1
+    least = np.minimum.reduceat(_of_runs(size, _repeats(order, code[1:] == code[:-1], size)), np.cumsum(runs_of) - runs_of)
     code, window, spot = code[~again], window[~again], spot[~again]
 
     # A place per list and two of its windows, with the number of shingles they share.
@@ -479,7 +546,6 @@ def _few_matches(table: pa.Table, first: np.ndarray) -> list[tuple]:
     # The runs of a window that hold enough shingles of the other; where shingles repeat in it, all may.
     pair = np.full(len(shared), -1)
     pair[some] = np.arange(len(some))
-    size = np.array([len(x) for x in contents])
     held = np.zeros((len(some), size.max() + 1), dtype=np.int16)
     for at, met in meetings():
         at, met = at[pair[met] >= 0], met[pair[met] >= 0]
@@ -539,11 +605,55 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], groups: list[str]) -> Iterat
         yield cut()
 
 
+def _thinned(table: pa.Table, first: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """The lists less windows without a run that could be alike one of another row, and less lists without such a run that is
+    open.
+
+    Runs of m and n different shingles that are alike share ``SIMILAR`` of each and ``SIMILAR / (1 + SIMILAR) * (m + n)``. So many
+    of a run must stand in other rows of the list.
+    """
+    size = pc.binary_length(table.column("content")).to_numpy().astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(table.column("content").to_pylist()), dtype="<u4")
+    m = np.diff(np.append(first, table.num_rows))
+    list_, window = np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(size)), size)
+    # Equal shingles of a list next to each other, in order of place: the place takes the low bits of a hash.
+    bits = np.uint64(len(flat).bit_length())
+    code = mixed((list_[window].astype(np.uint64) << np.uint64(32)) | flat) >> bits << bits
+    code |= np.arange(len(flat), dtype=np.uint64)
+    code.sort()
+    place = (code & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    code >>= bits
+    same, own = code[1:] == code[:-1], window[place]
+    opens = np.flatnonzero(np.append(True, ~same))
+    count = np.diff(np.append(opens, len(code)))
+    row = table.column("row").to_numpy()
+    elsewhere = np.zeros(len(flat), dtype=bool)
+    elsewhere[place] = np.repeat(row[own[opens]] != row[own[opens + count - 1]], count)
+    before = _repeats(place, same, size)
+    distinct, shared = _of_runs(size, before), _of_runs(size, before, elsewhere)
+
+    n = size - LEAST + 1
+    at = np.cumsum(n) - n
+    fewest = np.minimum.reduceat(np.minimum.reduceat(distinct, at), first)
+    window = np.repeat(np.arange(len(size)), n)
+    enough = shared >= np.maximum(SIMILAR * distinct, SIMILAR / (1 + SIMILAR) * (distinct + fewest[list_[window]])) - 1e-3
+    bit = (np.arange(len(window)) - at[window]).astype(np.uint64)
+    open_ = table.column("open").to_numpy().view(np.uint64)[window] >> bit & np.uint64(1) > 0
+    wanted = np.bincount(list_, np.logical_or.reduceat(enough & open_, at)) > 0
+    keep = np.logical_or.reduceat(enough, at) & wanted[list_]
+    m = np.bincount(list_[keep], minlength=len(m))
+    m = m[m > 0]
+    return table.filter(pa.array(keep)), np.cumsum(m) - m
+
+
 def _matches(groups: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in FOUND.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
         for table, first in _whole_lists(batches, groups):
+            table, first = _thinned(table, first)
+            if not table.num_rows:
+                continue
             found: list[tuple] = []
             m = np.diff(np.append(first, table.num_rows))
             few = m <= SMALL
@@ -582,22 +692,43 @@ def equal_passages(rows: DataFrame) -> DataFrame:
 
 
 def alike_passages(rows: DataFrame, equal: DataFrame) -> DataFrame:
-    """Passages of runs that are alike, among the runs that have no equal source."""
-    spans = equal.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    text = stored(rows.select("row", "text").join(spans, "row", "left"), "texts")
-    keys = _shared(arrow_map(text, _left_keys(FUNCTIONS), SIGNED), "left_keys")
+    """Passages of runs that are alike, among the runs that have no equal source.
+
+    The first functions find nearly all; what lies in a passage that they found is not looked for under the others.
+    """
+    spans = equal.select("row", "start", "n", F.lit(True).alias("equal"))
+    text = stored(_with_spans(rows.select("row", "text"), spans), "texts")
+    first = _alike_under(text, range(EARLY))
+    spans = first.select("row", "start", "n", F.lit(False).alias("equal"))
+    more = _with_spans(text.withColumnRenamed("spans", "earlier"), spans)
+    none = F.array().cast(more.schema["spans"].dataType)
+    more = more.select("row", "text", F.concat(F.coalesce("earlier", none), F.coalesce("spans", none)).alias("spans"))
+    more = stored(more, "texts")
+    drop_stored(text)
+    second = _alike_under(more, range(EARLY, FUNCTIONS))
+    drop_stored(more)
+    return first.unionByName(second)
+
+
+def _with_spans(text: DataFrame, spans: DataFrame) -> DataFrame:
+    """The small side is hashed, so that texts need no sorting."""
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", "n", "equal")).alias("spans"))
+    return text.join(spans.hint("shuffle_hash"), "row", "left")
+
+
+def _alike_under(text: DataFrame, functions: range) -> DataFrame:
+    """Passages of runs that are alike and agree in one of some min-hash functions."""
+    keys = _shared(arrow_map(text, _left_keys(functions), SIGNED), "left_keys")
     frequent = stored(keys.filter(F.col("m") > BLOCK).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "frequent")
     # The content of a window is dealt once: the windows of rare keys, nearly all, need no join.
-    left = arrow_map(text, _left_windows(bloom_filter(keys.select("key")), FUNCTIONS), WINDOWS)
+    left = arrow_map(text, _left_windows(bloom_filter(keys.select("key")), functions), WINDOWS)
     dealt = left.join(frequent, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     groups = ["key", "low", "high"]
     dealt = dealt.repartition(*groups).sortWithinPartitions(*groups, "row", "start")
-    found = stored(arrow_map(dealt, _matches(groups), FOUND).distinct(), "alike")
-    drop_stored(text)
-    return found
+    return stored(arrow_map(dealt, _matches(groups), FOUND).distinct(), "alike")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
