@@ -293,3 +293,12 @@ def test_words_are_forgotten_and_ids_decoded_in_parts(monkeypatch):
     assert [coder.encode([text])[0] for text in texts] == expected
     assert len(coder.known) + len(coder.earlier) < 80
     assert coder.decode([*expected, b""]) == [*[text.encode() for text in texts], b""]
+
+
+def test_ranks_are_looked_up_once_per_distinct_piece(monkeypatch):
+    coder, asked = Coder(RANKS, public_tokenizers.PATTERN), []
+    ids_of = Coder._ids_of
+    monkeypatch.setattr(Coder, "_ids_of", lambda self, pieces: asked.extend(pieces) or ids_of(self, pieces))
+    texts = ["one two one two", "two one", "", "a\0b  c"]
+    ids = coder.encode(texts)
+    assert len(asked) == len(set(asked)) and coder.decode(ids) == [text.encode() for text in texts]

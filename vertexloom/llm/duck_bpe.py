@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import arrow_map, exact, slices, worker_memory
+from vertexloom.llm.pieces import PieceEncoder, joined_pieces
 
 MOST_WORDS = 700_000  # remembered per worker; beyond that those not met for long are forgotten
 LONG = 64  # bytes; longer words are contracted in parts of this length, which are then joined
@@ -59,7 +60,7 @@ WHERE NOT swallowed
 """
 
 DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (id) GROUP BY doc
+SELECT doc, array_to_string(list(hex ORDER BY pos), '') AS hex FROM ids JOIN vocabulary USING (id) GROUP BY doc
 """
 
 
@@ -87,23 +88,26 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32 bit numbers."""
-        cuts = [self._pieces(text) for text in texts]
-        wanted: set[str] = set()
-        for pieces in cuts:
-            wanted.update(pieces)
-        if len(self.known) + len(wanted) > MOST_WORDS // 2:
+        cuts = [self._cut(text) for text in texts]
+        some = [cut for cut in cuts if cut is not None]
+        joined = iter(joined_pieces(some, self._ids_of, np.dtype("<u4")) if some else [])
+        return [self._ids_of([text])[0] if cut is None else next(joined) for text, cut in zip(texts, cuts)]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.known) + len(pieces) > MOST_WORDS // 2:
             self.earlier, self.known = self.known, {"": b""}
         known = self.known
-        words = {piece: self.pattern.findall(piece) for piece in self._unknown(wanted)}
+        words = {piece: self.pattern.findall(piece) for piece in self._unknown(pieces)}
         self._learn(sorted(self._unknown({word for split in words.values() for word in split})))
         for piece, split in words.items():
-            known[piece] = b"".join([known[word] for word in split])
-        return [b"".join([known[piece] for piece in pieces]) for pieces in cuts]
+            known[piece] = known[split[0]] if len(split) == 1 else b"".join([known[word] for word in split])
+        return [known[piece] for piece in pieces]
 
-    def _unknown(self, pieces: set[str]) -> list[str]:
+    def _unknown(self, pieces: Iterable[str]) -> list[str]:
         """Those without ids so far; the ids of those that return are kept on."""
         missing = []
-        for piece in pieces.difference(self.known):
+        for piece in [piece for piece in pieces if piece not in self.known]:
             if (ids := self.earlier.get(piece)) is not None:
                 self.known[piece] = ids
             else:
@@ -111,12 +115,9 @@ class Coder:
         return missing
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
+    def _cut(text: str) -> str | None:
         """Matches never join what stands before a lone space or line break with what follows it."""
-        from vertexloom.llm.pieces import PieceEncoder
-
-        cut = PieceEncoder._keeping_spaces(text)
-        return [text] if cut is None else cut.split("\0")
+        return PieceEncoder._keeping_spaces(text)
 
     def _learn(self, words: list[str]) -> None:
         new = []

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,23 @@ def encoder(path: str, id_type: str = "<u4") -> PieceEncoder:
     return worker_memory("pieces", (path, id_type), lambda: PieceEncoder(path, id_type))
 
 
+def joined_pieces(cuts: list[str], ids_of: Callable[[list[str]], list[bytes]], id_type: np.dtype) -> list[bytes]:
+    """The ids of texts whose pieces a null character parts, from those of the distinct pieces. Arrow tells the distinct
+    pieces of all texts; only these are Python strings."""
+    split = pc.split_pattern(pa.array(["\0".join(cuts)], pa.large_string()), "\0").values.dictionary_encode()
+    ids = ids_of(split.dictionary.to_pylist())
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // id_type.itemsize
+    own = split.indices.to_numpy()
+    number = sizes[own]
+    end = np.cumsum(number)
+    at = np.repeat((np.cumsum(sizes) - sizes)[own] - (end - number), number)
+    at += np.arange(len(at))
+    raw = memoryview(np.frombuffer(b"".join(ids), id_type)[at]).cast("B")
+    last = np.cumsum([cut.count("\0") + 1 for cut in cuts]) - 1
+    ends = (end[last] * id_type.itemsize).tolist()
+    return [bytes(raw[start:stop]) for start, stop in zip([0, *ends], ends)]
+
+
 class PieceEncoder:
     """``encode(texts)`` gives, per text, the little-endian ids that the library gives for the whole text."""
 
@@ -90,26 +108,14 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """``tests`` compare this with the library on whole texts.
 
-        ``cut`` puts a null character between two pieces, or gives nothing for a text that is not cut. Arrow tells the
-        distinct pieces of all texts; only these are Python strings.
+        ``cut`` puts a null character between two pieces, or gives nothing for a text that is not cut.
         """
         cuts = [self.cut(text) for text in texts]
         some = [cut for cut in cuts if cut is not None]
         if not some:
             return [self._library_ids(text) for text in texts]
-        split = pc.split_pattern(pa.array(["\0".join(some)], pa.large_string()), "\0").values.dictionary_encode()
-        ids = self._ids_of(split.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.id_type.itemsize
-        own = split.indices.to_numpy()
-        number = sizes[own]
-        end = np.cumsum(number)
-        at = np.repeat((np.cumsum(sizes) - sizes)[own] - (end - number), number)
-        at += np.arange(len(at))
-        raw = memoryview(np.frombuffer(b"".join(ids), self.id_type)[at]).cast("B")
-        last = np.cumsum([cut.count("\0") + 1 for cut in some]) - 1
-        ends = (end[last] * self.id_type.itemsize).tolist()
-        spans = iter(zip([0, *ends], ends))
-        return [self._library_ids(text) if cut is None else bytes(raw[slice(*next(spans))]) for text, cut in zip(texts, cuts)]
+        joined = iter(joined_pieces(some, self._ids_of, self.id_type))
+        return [self._library_ids(text) if cut is None else next(joined) for text, cut in zip(texts, cuts)]
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
