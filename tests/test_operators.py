@@ -336,3 +336,28 @@ def test_a_batch_writes_only_what_changed(spark, tmp_path):
     size = {kind: sum(f.stat().st_size for f in target.glob(f"{kind}=*/**/*.parquet")) for kind in ("base", "delta")}
     assert size["delta"] * 100 < size["base"]
     assert updates.read_current(spark, str(target)).filter("n = 1").count() == 1
+
+
+def test_users_skip_leaves_that_hold_nothing_better(monkeypatch):
+    """Every score as by the whole product; a user meets few of the leaves of a large block."""
+    random = np.random.default_rng(3)
+    factors = random.uniform(-1, 1, (20_000, 3))
+    ids, own = random.permutation(20_000).astype(np.int32), random.uniform(-1, 1, (300, 3))
+    hidden = [random.choice(ids, 40, replace=False) if u % 3 else None for u in range(300)]
+    met, scores = [np.array([], np.int32)] * 300, [np.array([])] * 300
+    frame = recommend.pd.DataFrame({"user": range(300), "features": list(own), "met": met, "scores": scores, "hidden": hidden})
+    found = recommend.pd.concat(recommend._meet(5, False, ids, factors, None, iter([frame]))).sort_values("user")
+    products = sum(own[:, k : k + 1] * factors[:, k] for k in range(3))
+    for u, (names, values) in enumerate(zip(found["met"], found["scores"])):
+        free = ~np.isin(ids, [] if hidden[u] is None else hidden[u])
+        best = np.lexsort((ids[free], -products[u, free]))[:5]
+        assert list(names) == list(ids[free][best]) and list(values) == list(products[u, free][best])
+    assert {len(leaf) <= recommend.LEAF for leaf in recommend._leaves(factors)} == {True}
+    assert sorted(np.concatenate(recommend._leaves(factors))) == list(range(20_000))
+
+
+def test_training_blocks_grow_with_the_ratings(spark):
+    """A task's share of the ratings stays the same; small trainings keep the blocks they had."""
+    assert [recommend.training_blocks(n) for n in (0, 40_000_000, 216_000_000, 10**10)] == [10, 10, 54, 64]
+    ratings = spark.createDataFrame([(u, i, 1.0 + (u * i) % 4) for u in range(6) for i in range(5)], "user int, item int, rating double")
+    assert recommend.train_implicit(ratings, iterations=3).userFactors.count() == 6
