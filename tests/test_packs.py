@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from tests.graphs import ALL, as_map, grouped_frame
 from vertexloom.functions import packs
-from vertexloom.operators import betweenness, searches, traversal
+from vertexloom.operators import betweenness, components, searches, traversal
 
 # A hub with more edges than are met one by one, more than 64 vertices, and ways back from its leaves.
 HUB = [(0, i) for i in range(1, 90)] + [(i, 0) for i in range(1, 90, 3)] + [(i, i + 1) for i in range(1, 89, 2)]
@@ -110,3 +110,12 @@ def test_communities_are_split_in_tasks(spark, monkeypatch):
 def test_half_a_millionth_is_rounded_up(spark):
     """As Spark rounds: a score ending in a five in the seventh place."""
     assert searches.np.floor(0.0078125 * 1e6 + 0.5) / 1e6 == spark.range(1).select(F.round(F.lit(0.0078125), 6)).first()[0]
+
+
+def test_strong_components_in_tasks_and_beside_joins(spark, monkeypatch):
+    wanted = {(n, v): c for n, edges in GRAPHS.items() for v, c in brute.strong_components(edges).items()}
+    monkeypatch.setattr(packs, "PACK_EDGES", 12)  # the ring and the hub take a round of joins
+    assert as_map(components.strongly_connected_components(grouped_frame(spark, GRAPHS), group_cols=["g"])) == wanted
+    monkeypatch.undo()
+    monkeypatch.setattr(components, "first_origin", None)
+    assert as_map(components.strongly_connected_components(grouped_frame(spark, GRAPHS), group_cols=["g"])) == wanted
